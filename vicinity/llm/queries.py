@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import chat_format, license_scan, quality_rules, source_mix
+from vicinity.llm import chat_format, license_scan, quality_classifier, quality_rules, source_mix
+from vicinity.llm.shared import crc_mod
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,17 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_classifier.Model:
+    """Fitted to ``labels.quality``, without the held-out third of the documents."""
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
+    return quality_classifier.train(table(spark, sf_dir, "documents"), labels)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_by_document(table(spark, sf_dir, "documents"))
 
