@@ -1,0 +1,31 @@
+"""Connected components of an edge table by alternating stars, each round written to the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vicinity.llm.shared import cut
+
+
+def _star(edges: DataFrame) -> DataFrame:
+    """Each node's larger (and, in the small star, own) ends moved to the least node around it."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()  # a > b from here on
+    least = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(least, "a")
+    moved = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b longs) as (node, root): root is the least node of the component. Nodes without edges don't occur."""
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    while True:
+        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+        if seen == state or seen.n == 0:
+            break
+        state, now = seen, cut(_star(now))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

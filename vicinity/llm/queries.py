@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import chat_format, license_scan, quality_classifier, quality_rules, source_mix
+from vicinity.llm import chat_format, license_scan, quality_classifier, quality_rules, simhash, source_mix
 from vicinity.llm.shared import crc_mod
 
 
@@ -33,6 +33,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality_classifier.Model:
     """Fitted to ``labels.quality``, without the held-out third of the documents."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
