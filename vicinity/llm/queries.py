@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import chat_format, license_scan, quality_classifier, quality_rules, simhash, source_mix
+from vicinity.llm import chat_format, license_scan, quality_classifier, quality_rules, simhash, source_mix, suffix_dedup
 from vicinity.llm.shared import crc_mod
 
 
@@ -48,6 +48,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_by_document(table(spark, sf_dir, "documents"))
 
