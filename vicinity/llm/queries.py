@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import chat_format, decontamination, license_scan, quality_classifier, quality_rules, simhash, source_mix, suffix_dedup
+from vicinity.llm import chat_format, decontamination, html_extract, license_scan, quality_classifier, quality_rules, simhash, source_mix, suffix_dedup
 from vicinity.llm.shared import crc_mod
 
 
@@ -42,6 +42,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality_classifier.Model:
     """Fitted to ``labels.quality``, without the held-out third of the documents."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1).select("doc_id", F.col("quality").alias("label"))
