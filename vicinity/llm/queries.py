@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vicinity.llm import chat_format, decontamination, html_extract, license_scan, quality_classifier, quality_rules, simhash, source_mix, suffix_dedup
+from vicinity.llm import attention_lm, chat_format, decontamination, html_extract, license_scan, quality_classifier, quality_rules, simhash, source_mix, suffix_dedup
 from vicinity.llm.shared import crc_mod
 
+#: Fixed value: the pre-tokenisation pattern of byte-level vocabularies.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,6 +46,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    """``tokenizer`` is a file of byte-pair ranks that the driver reads."""
+    return attention_lm.score(table(spark, sf_dir, "documents"), Path(tokenizer).read_bytes(), WORD_PATTERN)
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
