@@ -12,6 +12,9 @@ about ``SHARD_IDS`` ids; each shard trains from the common parameters, and the m
 parameters is the next round's. So what is trained on grows with the corpus, and what reaches the
 driver (one set of parameters, and counts by id) doesn't.
 
+A token's probability is the mean (``MIX``) of the product of its ids' and, if the training
+documents have it, of its share among their tokens, as smoothed below.
+
 Scoring cuts a document's ids into windows that overlap by ``CONTEXT``; a window scores the ids
 after its context, so each id is scored once. Beside the model's log10 probability of the text
 stands that of unigram counts smoothed with 0.1 over all training documents: blocks ask buckets
@@ -36,21 +39,23 @@ from vicinity.llm import docblocks as db
 from vicinity.llm import textblocks as tb
 from vicinity.llm.shared import cut
 
-CONTEXT, SCORED = 32, 32
+CONTEXT, SCORED = 24, 40
 WIDTH = 16
-OWN_CLASSES, SHARED_CLASSES = 192, 64
+OWN_CLASSES, SHARED_CLASSES = 160, 32
 HASHED_ROWS = 2048
 ROUNDS, STEPS, WINDOWS_A_STEP = 2, 400, 64
 RATE = 0.01
-TRAIN_SHARE = 1 / 16
+TRAIN_SHARE = 1 / 32
 SHARD_IDS = 1 << 20
 BLOCK_BYTES = 3 << 20
 ALPHA = 0.1
+MIX = 0.5
+_LOG2_10 = float(np.log2(10))
 _END = np.uint64(0xE4D0E4D0E4D0E4D1)  # the end's word hash
 _ASKS = "bucket long, block long, hashes binary, counts binary"
 _ANSWERS = "block long, bucket long, counts binary, tokens long, types long"
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-_PARAMETERS = ("emb", "wq", "wk", "wv", "rel", "w1", "w2", "b")
+_PARAMETERS = ("emb", "wq", "wk", "wv", "wo", "rel", "w", "b")
 
 
 def is_held_out(ids: np.ndarray) -> np.ndarray:
@@ -123,7 +128,8 @@ class Tokens:
         table[np.repeat(begin[real], sizes) + np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = ids
         n = count[self.which]
         self.ids = table[np.repeat(begin[self.which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        self.ids_at = np.concatenate([[0], np.cumsum(n)])[self.at]
+        self.token_at = np.concatenate([[0], np.cumsum(n)])  # each token's first id
+        self.ids_at = self.token_at[self.at]
 
 
 def id_counts(docs: DataFrame, shared, size: int) -> DataFrame:
@@ -164,7 +170,7 @@ def start(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     d, c = WIDTH, OWN_CLASSES + SHARED_CLASSES
     square = lambda m, n: rng.normal(0, m**-0.5, (m, n)).astype(np.float32)
     return {"emb": rng.normal(0, 0.3, (OWN_CLASSES + HASHED_ROWS, d)).astype(np.float32), "wq": square(d, d), "wk": square(d, d), "wv": square(d, d),
-            "rel": np.zeros(CONTEXT + SCORED, np.float32), "w1": square(d, c) * 0.1, "w2": square(d, c) * 0.1, "b": vocabulary.log_class.copy()}
+            "wo": square(d, d), "rel": np.zeros(CONTEXT + SCORED, np.float32), "w": square(d, c) * np.float32(0.3), "b": vocabulary.log_class.copy()}
 
 
 _OFFSET = (np.arange(SCORED)[:, None] + CONTEXT) - np.arange(CONTEXT + SCORED)[None, :]
@@ -175,12 +181,16 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     e = p["emb"][np.maximum(x, 0)]
     xq = e[:, CONTEXT:]
     q, k, v = xq @ p["wq"], e @ p["wk"], e @ p["wv"]
-    s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + p["rel"][np.maximum(_OFFSET, 0)]
-    s = np.where((_OFFSET >= 0)[None] & (x >= 0)[:, None, :], s, np.float32(-1e9))
-    a = np.exp(s - s.max(2, keepdims=True))
+    s = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    s += np.where(_OFFSET >= 0, p["rel"][np.maximum(_OFFSET, 0)], np.float32(-1e9))
+    if (x < 0).any():
+        s += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+    a = s if s.max() < 60 and (x[:, CONTEXT] >= 0).all() else s - s.max(2, keepdims=True)  # a window without targets has no inputs
+    a = np.exp(a, out=a)
     a /= a.sum(2, keepdims=True)
     o = a @ v
-    return xq @ p["w1"] + o @ p["w2"] + p["b"], (e, xq, q, k, v, a, o)
+    h = xq + o @ p["wo"]
+    return (h.reshape(-1, WIDTH) @ p["w"]).reshape(*h.shape[:2], -1) + p["b"], (e, xq, q, k, v, a, o, h)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -206,31 +216,33 @@ def _inputs(source: np.ndarray, ids: np.ndarray, vocabulary: Vocabulary) -> np.n
     return np.where(source >= 0, rows[np.maximum(source, 0)], np.where(source == -2, vocabulary.rows[-1], -1))
 
 
-def log_probabilities(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.ndarray, batch: int = 512) -> np.ndarray:
+def log_probabilities(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.ndarray, batch: int = 48) -> np.ndarray:
     """Natural log probability of each id given those before it in its text."""
     out = np.zeros(len(ids))
     source, target = windows(ids, ids_at)
     for i in range(0, len(source), batch):
         t = target[i : i + batch]
         z, _ = forward(p, _inputs(source[i : i + batch], ids, vocabulary))
-        z -= z.max(2, keepdims=True)
-        norm = np.log(np.exp(z).sum(2))
+        shift = 0.0 if z.max() < 60 else z.max(2, keepdims=True)
+        z -= shift
         b, s = np.nonzero(t >= 0)
         at = t[b, s]
-        out[at] = z[b, s, vocabulary.classes[ids[at]]] - norm[b, s] + vocabulary.log_share[ids[at]]
+        chosen = z[b, s, vocabulary.classes[ids[at]]]
+        out[at] = chosen - np.log(np.exp(z, out=z).sum(2))[b, s] + vocabulary.log_share[ids[at]]
     return out
 
 
 def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross entropy of the classes y (-1: none) of windows x."""
-    z, (e, xq, q, k, v, a, o) = forward(p, x)
+    z, (e, xq, q, k, v, a, o, h) = forward(p, x)
     g = np.exp(_log_softmax(z))
     b, s = np.nonzero(y >= 0)
     g[b, s, y[b, s]] -= 1
     g[y < 0] = 0
     g /= max(len(b), 1)
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    do, dx = g @ p["w2"].T, g @ p["w1"].T
+    dx = g @ p["w"].T
+    do = dx @ p["wo"].T
     da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
     ds = a * (da - (da * a).sum(2, keepdims=True))
     scale = np.float32(WIDTH**-0.5)
@@ -241,7 +253,7 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     emb = np.column_stack([np.bincount(x[ok], de[..., j][ok], minlength=len(p["emb"])) for j in range(WIDTH)])
     rel = np.bincount(np.maximum(_OFFSET, 0).ravel(), np.where(_OFFSET >= 0, ds.sum(0), 0).ravel(), minlength=CONTEXT + SCORED)
     return {"emb": emb, "wq": flat(xq).T @ flat(dq), "wk": flat(e).T @ flat(dk), "wv": flat(e).T @ flat(dv), "rel": rel,
-            "w1": flat(xq).T @ flat(g), "w2": flat(o).T @ flat(g), "b": flat(g).sum(0)}
+            "wo": flat(o).T @ flat(dx), "w": flat(h).T @ flat(g), "b": flat(g).sum(0)}
 
 
 def train_shard(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = 3) -> dict:
@@ -337,7 +349,7 @@ def _answer(rows: pa.Table) -> pa.Table:
     return db.table_of(out, _ANSWERS)
 
 
-def score(docs: DataFrame, ranks: bytes, pattern: str, *, block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA, **options) -> DataFrame:
+def score(docs: DataFrame, ranks: bytes, pattern: str, *, block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA, mix: float = MIX, **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
 
     ``ranks`` are the lines of a byte-pair vocabulary, ``pattern`` its pre-tokenisation.
@@ -368,8 +380,9 @@ def score(docs: DataFrame, ranks: bytes, pattern: str, *, block_bytes: int = BLO
         each = np.log10((c + alpha) / (tokens + alpha * (types + 1)))[t.which]
         base = np.bincount(t.rows, each, minlength=len(d.ids))
         seen = np.bincount(t.rows, (c > 0)[t.which], minlength=len(d.ids)).astype(np.int64)
-        log_p = np.concatenate([[0], np.cumsum(log_probabilities(*model.value, t.ids, t.ids_at))])
-        model_score = np.diff(log_p[t.ids_at]) / np.log(10)
+        attention = np.add.reduceat(log_probabilities(*model.value, t.ids, t.ids_at), t.token_at[:-1]) / np.log(10)
+        mixed = np.where((c > 0)[t.which], np.logaddexp2(np.log2(mix) + attention * _LOG2_10, np.log2(1 - mix) + each * _LOG2_10) / _LOG2_10, np.log10(mix) + attention)
+        model_score = np.bincount(t.rows, mixed, minlength=len(d.ids))
         ids = pa.array([None if i == db.NO_ID else i for i in d.ids.tolist()], pa.int64())
         return pa.table({"doc_id": ids, "n_tokens": pa.array(np.diff(t.at)), "n_known": pa.array(seen), "base_score": pa.array(base), "score": pa.array(model_score)})
 
