@@ -11,8 +11,8 @@ mostly share theirs, so a block is a row of short segments, one a seed. Then
    documents or more, anywhere;
 2. each block sends its distinct segments around those seeds to the seeds' buckets, each with the
    least doc_id that has it there;
-3. each bucket sorts all suffixes of its segments up to depth ``LENGTH``: initial 8-gram buckets
-   are refined by sorting on the bucket pointers 8, then 16, then ``LENGTH`` - 32 bytes on, where
+3. each bucket sorts all suffixes of its segments up to depth ``LENGTH``: initial 5-gram buckets
+   are refined by sorting on the bucket pointers 5, 10, 20, then ``LENGTH`` - 40 bytes on, where
    each pass writes the pointers that the next one reads and single suffixes drop out. Strings
    that end in one bucket are equal; the bucket answers, a bit a string, whether a smaller
    doc_id has it;
@@ -28,67 +28,32 @@ another. A null doc_id is larger than all others. Empty tables give empty result
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from vicinity.llm import docblocks as db
 from vicinity.llm import textblocks as tb
 
 LENGTH = 50
 SEED_BYTES = 16
+INITIAL = 5  # bytes of the initial buckets
 BLOCK_BYTES = 3 << 20
-_LAST = np.iinfo(np.int64).max
-_BLOBS = "block long, ids binary, sums binary, sizes binary, text binary"
 _SEEDS = "bucket long, block long, hashes binary, several binary"
 _ANSWERS = "block long, bucket long, pass int, bits binary"
 _SEGMENTS = "bucket long, block long, docs binary, sizes binary, text binary"
+_TEXTS = "doc_id long, text string, carried string"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
-
-
-def _unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def _blobs(batches, blocks: int):
-    """The documents of each batch, packed by block."""
-    for batch in batches:
-        data, at = tb.raw_buffers(batch.column("text"))
-        ids = batch.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-        raw = memoryview(data)
-        sums = np.array([zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], dtype=np.int64)
-        block = (tb.mix(ids.view(np.uint64) * np.uint64(31) + sums.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0, [True]])) if len(order) else [0]
-        out = []
-        for s, e in zip(edges[:-1], edges[1:], strict=True):
-            rows = order[s:e]
-            text = b"".join(raw[at[i] : at[i + 1]] for i in rows)
-            out.append((int(block[rows[0]]), ids[rows].tobytes(), sums[rows].tobytes(), (at[rows + 1] - at[rows]).tobytes(), _pack(text)))
-        for i in range(0, len(out), 64):
-            cols = list(zip(*out[i : i + 64], strict=True))
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["block", "ids", "sums", "sizes", "text"])
-
-
-class _Part:
+class _Part(db.Documents):
     """A block's documents in one order, and their segments: ``[first, last + length)``, by seed."""
 
     def __init__(self, blobs: pa.Table, length: int):
-        rows = blobs.to_pylist()
-        ids, sums, sizes = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in ("ids", "sums", "sizes"))
-        text = np.frombuffer(b"".join(_unpack(r["text"]) for r in rows), np.uint8)
-        order = np.lexsort((sizes, sums, ids))
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        self.ids, self.sizes = ids[order], sizes[order]
-        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.text = np.concatenate([text[a : a + n] for a, n in zip(starts[order], self.sizes, strict=True)]) if len(text) else text
+        super().__init__(blobs)
         self.length = length
         self._segments()
 
@@ -138,39 +103,22 @@ class _Part:
     def shared(self, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The segments around shared seeds; the first of each distinct content, by bucket; which of those each one is."""
         h, _ = self.seeds()
-        bucket = _bucket(h, buckets)
+        bucket = db.bucket_of(h, buckets)
         is_shared = np.zeros(len(h), bool)
         for r in answers.to_pylist():
             mine = np.flatnonzero(bucket == r["bucket"])
             is_shared[mine] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(mine)).astype(bool)
         rows = np.flatnonzero(is_shared[np.searchsorted(h, self.seed)]) if len(h) else np.zeros(0, np.int64)
         _, first, which = np.unique(self.content[rows], return_index=True, return_inverse=True)  # the first is of the least doc_id
-        order = np.lexsort((first, _bucket(self.seed[rows[first]], buckets)))
+        order = np.lexsort((first, db.bucket_of(self.seed[rows[first]], buckets)))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         return rows, rows[first[order]], rank[which]
 
 
-def _bucket(seed: np.ndarray, buckets: int) -> np.ndarray:
-    return (tb.mix(seed) % np.uint64(buckets)).astype(np.int64)
-
-
-def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]])) if len(order) else [0]
-    return [(int(bucket[order[s]]), order[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
-
-
-def _table(rows: list[tuple], schema: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-    fields = [x.split() for x in schema.split(", ")]
-    cols = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
-    return pa.table({name: pa.array(list(c), kinds[kind]) for (name, kind), c in zip(fields, cols, strict=True)})
-
-
 def _send_seeds(block: int, part: _Part, buckets: int) -> pa.Table:
     h, several = part.seeds()
-    return _table([(b, block, h[rows].tobytes(), np.packbits(several[rows]).tobytes()) for b, rows in _by_bucket(_bucket(h, buckets))], _SEEDS)
+    return db.table_of([(b, block, h[rows].tobytes(), np.packbits(several[rows]).tobytes()) for b, rows in db.by_bucket(db.bucket_of(h, buckets))], _SEEDS)
 
 
 def _answer_seeds(rows: pa.Table) -> pa.Table:
@@ -181,17 +129,29 @@ def _answer_seeds(rows: pa.Table) -> pa.Table:
     several = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(h)) for r, h in zip(parts, hashes, strict=True)]).astype(bool)
     yes = (count[which] > 1) | (np.bincount(which, several, minlength=len(count)) > 0)[which]
     at = np.cumsum([0, *map(len, hashes)])
-    return _table([(r["block"], r["bucket"], 1, np.packbits(yes[a:b]).tobytes()) for r, a, b in zip(parts, at[:-1], at[1:], strict=True)], _ANSWERS)
+    return db.table_of([(r["block"], r["bucket"], 1, np.packbits(yes[a:b]).tobytes()) for r, a, b in zip(parts, at[:-1], at[1:], strict=True)], _ANSWERS)
 
 
 def _send_segments(block: int, part: _Part, answers: pa.Table, buckets: int) -> pa.Table:
     _, chosen, _ = part.shared(answers, buckets)
     sizes = part.last[chosen] + part.length - part.first[chosen]
     out = []
-    for b, rows in _by_bucket(_bucket(part.seed[chosen], buckets)):
+    for b, rows in db.by_bucket(db.bucket_of(part.seed[chosen], buckets)):
         text = b"".join(part.text[s : s + n] for s, n in zip(part.first[chosen[rows]].tolist(), sizes[rows].tolist(), strict=True))
-        out.append((b, block, part.ids[part.doc[chosen[rows]]].tobytes(), sizes[rows].astype(np.int32).tobytes(), _pack(text)))
-    return _table(out, _SEGMENTS)
+        out.append((b, block, part.ids[part.doc[chosen[rows]]].tobytes(), sizes[rows].astype(np.int32).tobytes(), db.pack(text)))
+    return db.table_of(out, _SEGMENTS)
+
+
+def _sorted(high: np.ndarray, low: np.ndarray, low_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (high, low) in order, and where each one was. Where key and place fit 64 bits together, they are sorted as one number."""
+    n = len(high)
+    key = high.astype(np.uint64) << np.uint64(low_bits) | low.astype(np.uint64)
+    place = max(n - 1, 1).bit_length()
+    if n and int(high.max()).bit_length() + low_bits + place <= 64:
+        key = np.sort(key << np.uint64(place) | np.arange(n, dtype=np.uint64))
+        return key >> np.uint64(place), (key & np.uint64((1 << place) - 1)).astype(np.int64)
+    order = np.argsort(key)
+    return key[order], order
 
 
 def _refine(pointer: np.ndarray, at: np.ndarray, on: int) -> None:
@@ -199,46 +159,42 @@ def _refine(pointer: np.ndarray, at: np.ndarray, on: int) -> None:
 
     A pointer is the place of a bucket's first suffix in the order so far; buckets of one suffix are left alone.
     """
-    count = np.bincount(pointer[at])
-    at = at[count[pointer[at]] > 1]
+    own = pointer[at]
+    at = at[np.bincount(own)[own] > 1]
     if not len(at):
         return
-    key = pointer[at].astype(np.uint64) << np.uint64(32) | pointer[at + on].astype(np.uint64)
-    order = np.argsort(key)
-    key = key[order]
-    old = key >> np.uint64(32)
-    place = np.arange(len(key))
+    bits = len(pointer).bit_length()
+    key, order = _sorted(pointer[at], pointer[at + on], bits)
+    old = key >> np.uint64(bits)
+    place = np.arange(len(key), dtype=np.int32)
     fresh = np.concatenate([[True], key[1:] != key[:-1]])
     bucket = np.concatenate([[True], old[1:] != old[:-1]])
     begin = np.maximum.accumulate(np.where(fresh, place, 0)) - np.maximum.accumulate(np.where(bucket, place, 0))
-    pointer[at[order]] = (old.astype(np.int64) + begin).astype(pointer.dtype)
+    pointer[at[order]] = old.astype(pointer.dtype) + begin.astype(pointer.dtype)
 
 
 def repeated(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each ``length``-byte string of each segment, in order: does a segment of a smaller document have it?"""
     ends = np.cumsum(sizes)
-    starts = ends - sizes
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    n, q = len(text), INITIAL
+    padded = np.concatenate([text, np.zeros(q, np.uint8)])
     gram = np.zeros(n, np.uint64)
-    for j in range(8):
+    for j in range(q):
         gram = (gram << np.uint64(8)) | padded[j : n + j]
-    room = np.repeat(ends, sizes) - np.arange(n)  # bytes from here to the segment's end
-    at = np.flatnonzero(room >= 8)
-    order = at[np.argsort(gram[at])]
-    fresh = np.concatenate([[True], gram[order[1:]] != gram[order[:-1]]])
-    pointer = np.zeros(n, np.int64)
-    pointer[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-    del gram, order, fresh
-    depth = 8
+    room = (np.repeat(ends, sizes) - np.arange(n)).astype(np.int32)  # bytes from here to the segment's end
+    at = np.flatnonzero(room >= q)
+    key, order = _sorted(gram[at], np.zeros(len(at), np.uint64), 0)
+    pointer = np.zeros(n, np.int32 if n < 2**31 else np.int64)
+    pointer[at[order]] = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key), dtype=pointer.dtype), 0))
+    del gram, order, key
+    depth = q
     while 2 * depth < length:
         _refine(pointer, np.flatnonzero(room >= 2 * depth), depth)
         depth *= 2
     first = np.flatnonzero(room >= length)
-    key = pointer[first].astype(np.uint64) << np.uint64(32) | pointer[first + length - depth].astype(np.uint64)
-    order = np.argsort(key)
+    key, order = _sorted(pointer[first], pointer[first + length - depth], n.bit_length())
     owner = np.repeat(docs, sizes - length + 1)
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(order) else order
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(order) else order
     least = np.repeat(np.minimum.reduceat(owner[order], edge), np.diff([*edge, len(order)])) if len(order) else owner
     out = np.zeros(len(first), bool)
     out[order] = least < owner[order]
@@ -249,10 +205,10 @@ def _answer_segments(rows: pa.Table, length: int) -> pa.Table:
     parts = rows.to_pylist()
     sizes = [np.frombuffer(r["sizes"], np.int32).astype(np.int64) for r in parts]
     docs = [np.frombuffer(r["docs"], np.int64) for r in parts]
-    text = np.frombuffer(b"".join(_unpack(r["text"]) for r in parts), np.uint8)
+    text = np.frombuffer(b"".join(db.unpack(r["text"]) for r in parts), np.uint8)
     yes = repeated(text, np.concatenate(sizes), np.concatenate(docs), length)
     at = np.cumsum([0, *[int((s - length + 1).sum()) for s in sizes]])
-    return _table([(r["block"], r["bucket"], 2, np.packbits(yes[a:b]).tobytes()) for r, a, b in zip(parts, at[:-1], at[1:], strict=True)], _ANSWERS)
+    return db.table_of([(r["block"], r["bucket"], 2, np.packbits(yes[a:b]).tobytes()) for r, a, b in zip(parts, at[:-1], at[1:], strict=True)], _ANSWERS)
 
 
 def _removed(part: _Part, answers: pa.Table, buckets: int) -> np.ndarray:
@@ -263,7 +219,7 @@ def _removed(part: _Part, answers: pa.Table, buckets: int) -> np.ndarray:
     at = np.concatenate([[0], np.cumsum(strings)])
     yes = np.zeros(at[-1], bool)
     got = {r["bucket"]: r["bits"] for r in answers.filter(pa.array(kind == 2)).to_pylist()}
-    for b, mine in _by_bucket(_bucket(part.seed[chosen], buckets)):
+    for b, mine in db.by_bucket(db.bucket_of(part.seed[chosen], buckets)):
         lo, hi = at[mine[0]], at[mine[-1] + 1]  # the segments of a bucket stand together
         yes[lo:hi] = np.unpackbits(np.frombuffer(got[b], np.uint8), count=hi - lo).astype(bool)
     n = strings[which]
@@ -281,42 +237,52 @@ def _results(part: _Part, gone: np.ndarray) -> pa.Table:
     for i, (doc, size) in enumerate(zip(part.ids.tolist(), part.sizes.tolist(), strict=True)):
         text, cut = part.text[part.at[i] : part.at[i + 1]], gone[part.at[i] : part.at[i + 1]]
         spans = int((cut[1:] & ~cut[:-1]).sum() + cut[:1].sum()) if size else 0
-        out.append((None if doc == _LAST else doc, size, int(cut.sum()), spans, hashlib.sha256(text[~cut].tobytes()).hexdigest()))
-    return _table(out, _RESULT)
+        out.append((None if doc == db.NO_ID else doc, size, int(cut.sum()), spans, hashlib.sha256(text[~cut].tobytes()).hexdigest()))
+    return db.table_of(out, _RESULT)
 
 
 def _texts(part: _Part, gone: np.ndarray) -> pa.Table:
     kept = [part.text[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(part.at[:-1], part.at[1:], strict=True)]
-    return _table([(None if d == _LAST else d, t) for d, t in zip(part.ids.tolist(), kept, strict=True)], "doc_id long, text string")
+    return db.table_of([(None if d == db.NO_ID else d, t, c) for d, t, c in zip(part.ids.tolist(), kept, part.carried, strict=True)], _TEXTS)
 
 
 def _dedup(docs: DataFrame, finish, schema: str, length: int, block_bytes: int) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(16, -(-total // block_bytes))  # blocks, and buckets
-    blobs = docs.select("doc_id", "text").mapInArrow(lambda it: _blobs(it, n), _BLOBS)
+    n = max(16, -(-total // block_bytes))  # blocks
+    m = 2 * n  # buckets
+    blobs = docs.mapInArrow(lambda it: db.pack_documents(it, n), db.PACKED)
     by_block = blobs.groupBy("block")
     block_of = lambda t: t.column("block")[0].as_py()
-    seeds = by_block.applyInArrow(lambda t: _send_seeds(block_of(t), _Part(t, length), n), _SEEDS)
+    seeds = by_block.applyInArrow(lambda t: _send_seeds(block_of(t), _Part(t, length), m), _SEEDS)
     shared = seeds.groupBy("bucket").applyInArrow(_answer_seeds, _ANSWERS)
 
     def send(blob: pa.Table, answers: pa.Table) -> pa.Table:
-        return _send_segments(block_of(blob), _Part(blob, length), answers, n)
+        return _send_segments(block_of(blob), _Part(blob, length), answers, m)
 
     segments = by_block.cogroup(shared.groupBy("block")).applyInArrow(send, _SEGMENTS)
     found = segments.groupBy("bucket").applyInArrow(lambda t: _answer_segments(t, length), _ANSWERS)
 
     def end(blob: pa.Table, answers: pa.Table) -> pa.Table:
         part = _Part(blob, length)
-        return finish(part, _removed(part, answers, n))
+        return finish(part, _removed(part, answers, m))
 
     return by_block.cogroup(shared.unionByName(found).groupBy("block")).applyInArrow(end, schema)
 
 
 def removed_spans(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text)."""
-    return _dedup(docs, _results, _RESULT, length, block_bytes)
+    return _dedup(docs.select("doc_id", "text"), _results, _RESULT, length, block_bytes)
 
 
 def kept_texts(docs: DataFrame, *, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id and what is left of the text of every row; a character cut in the middle goes as a whole."""
-    return _dedup(docs, _texts, "doc_id long, text string", length, block_bytes)
+    """``docs`` with what is left of each text; a character that is cut in the middle goes as a whole.
+
+    The other columns are carried as JSON, so they must be of types that JSON holds.
+    """
+    others = [f for f in docs.schema if f.name not in ("doc_id", "text")]
+    carried = F.to_json(F.struct(*[F.col(f"`{f.name}`") for f in others])) if others else F.lit("{}")
+    left = _dedup(docs.select("doc_id", "text", carried.alias("carried")), _texts, _TEXTS, length, block_bytes)
+    if not others:
+        return left.select("doc_id", "text")
+    back = left.withColumn("o", F.from_json("carried", T.StructType(others)))
+    return back.select(*[F.col(f"o.`{c}`") if c not in ("doc_id", "text") else F.col(c) for c in docs.columns])
