@@ -1 +1,103 @@
-"""Queries."""
+"""Queries of keyed memories, losses, pooling and schedules."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vicinity.functions import schedules
+from vicinity.functions import vectors as vec
+from vicinity.operators import losses as lo
+from vicinity.operators import memory as me
+from vicinity.operators.groups import normalized_centroids
+from vicinity.operators.pairwise import pairs
+from vicinity.plans.association import _DIMS, exploded
+from vicinity.plans.neighbours import DOT, feats
+from vicinity.plans.registry import FEAT, query
+from vicinity.sources import fixtures
+
+BANK = f"{FEAT}, cm AS (SELECT pid AS key, k, avg(v[k]) AS x FROM feat, {_DIMS} WHERE idx % 2 = 0 GROUP BY pid, k), c0 AS (SELECT key, list(x ORDER BY k) AS c FROM cm GROUP BY key), bank AS (SELECT key, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS m FROM c0), batch AS (SELECT pid AS key, idx, v FROM feat WHERE idx % 7 = 1 AND pid <> 3), sc AS (SELECT b.*, bank.m, list_dot_product(b.v, m) AS s FROM batch b JOIN bank USING (key))"
+_MOVE = "mv AS (SELECT bank.key, CASE WHEN ch.v IS NULL THEN m ELSE list_transform(range(1, 65), lambda n: m[n] * 0.2 + ch.v[n] * 0.8) END AS u, ch.v IS NULL AS still FROM bank LEFT JOIN ch USING (key)) SELECT key, k, round(CASE WHEN still THEN u[k] ELSE u[k] / sqrt(list_dot_product(u, u)) END, 6) AS x FROM mv, " + _DIMS
+
+
+def bank_and_batch(spark, d):
+    f = feats(spark, d)
+    bank = normalized_centroids(f.where("idx % 2 = 0"), "pid").select(F.col("pid").alias("key"), F.col("v").alias("m"))
+    return bank, f.where("idx % 7 = 1 and pid <> 3").select(F.col("pid").alias("key"), "idx", "v")
+
+
+def _out(bank):
+    return exploded(bank.withColumnRenamed("m", "v"), "key")
+
+
+query("m1_update_each")(lambda spark, d: _out(me.update_each(*bank_and_batch(spark, d))))
+_MEANS = f"bm AS (SELECT key, k, avg(v[k]) AS x FROM batch, {_DIMS} GROUP BY key, k), ch AS (SELECT key, list(x ORDER BY k) AS v FROM bm GROUP BY key)"
+query("m2_update_mean", f"WITH {BANK}, {_MEANS}, {_MOVE}")(lambda spark, d: _out(me.update_mean(*bank_and_batch(spark, d))))
+query("m3_update_hardest", f"WITH {BANK}, ch AS (SELECT key, arg_min(v, (s, idx)) AS v FROM sc GROUP BY key), {_MOVE}")(lambda spark, d: _out(me.update_hardest(*bank_and_batch(spark, d))))
+query("m4_update_easiest", f"WITH {BANK}, ch AS (SELECT key, arg_max(v, (s, -idx)) AS v FROM sc GROUP BY key), {_MOVE}")(lambda spark, d: _out(me.update_easiest(*bank_and_batch(spark, d))))
+query("m5_update_weighted", f"WITH {BANK}, bm AS (SELECT key, k, sum(v[k] * exp(-s / 0.09)) / sum(exp(-s / 0.09)) AS x FROM sc, {_DIMS} GROUP BY key, k), ch AS (SELECT key, list(x ORDER BY k) AS v FROM bm GROUP BY key), {_MOVE}")(lambda spark, d: _out(me.update_weighted(*bank_and_batch(spark, d))))
+query("m6_update_hybrid")(lambda spark, d: me.update_hybrid(*bank_and_batch(spark, d)).select("key", F.round(F.element_at("mean", 1), 6).alias("mean_1"), F.round(F.element_at("hard", 1), 6).alias("hard_1")))
+query("m7_scores", f"WITH {BANK} SELECT idx, bank.key, batch.key AS label, round(list_dot_product(v, m), 6) AS z FROM batch, bank")(
+    lambda spark, d: me.scores(*bank_and_batch(spark, d)).select("idx", "key", "label", F.round("z", 6).alias("z")))
+_CE = f"WITH {BANK}, z AS (SELECT idx, bank.key, batch.key AS label, list_dot_product(v, m) / {{t}} AS z FROM batch, bank), t AS (SELECT idx, max(z) AS top, max(z) FILTER (key = label) AS own FROM z GROUP BY idx), l AS (SELECT z.idx, top + ln(sum(exp(z - top))) - own AS loss FROM z JOIN t USING (idx) GROUP BY z.idx, top, own)"
+query("m8_memory_loss", _CE.format(t="0.05") + " SELECT idx, round(loss, 6) AS loss FROM l")(
+    lambda spark, d: me.cross_entropy(me.scores(*bank_and_batch(spark, d), 0.05)).select("idx", F.round("loss", 6).alias("loss")))
+query("m9_centre_loss", _CE.format(t="0.05") + f", bm AS (SELECT key, k, avg(v[k]) AS x FROM batch, {_DIMS} GROUP BY key, k) SELECT round(0.5 * (avg(loss) + greatest(0.0, avg(loss) - 0.2)), 6) AS loss FROM l")(
+    lambda spark, d: me.cross_entropy(me.scores(*bank_and_batch(spark, d), 0.05)).agg(F.avg("loss").alias("l")).select(F.round(0.5 * (F.col("l") + F.greatest(F.lit(0.0), F.col("l") - 0.2)), 6).alias("loss")))
+query("m10_model_average", f"WITH {FEAT} SELECT idx, round(v[1] * 0.999 + v[2] * (1 - 0.999), 9) AS x FROM feat")(
+    lambda spark, d: feats(spark, d).select("idx", F.round(F.element_at("v", 1) * F.lit(0.999) + F.element_at("v", 2) * (1 - F.lit(0.999)), 9).alias("x")))
+query("a26_running_average", "SELECT o_orderkey, round(sum(o_totalprice * (o_orderkey % 5 + 1)) OVER w / sum(o_orderkey % 5 + 1) OVER w, 4) AS avg FROM orders WHERE o_orderkey < 2000 WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")(
+    lambda spark, d: (lambda w: fixtures.table(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey", F.round(F.sum(F.col("o_totalprice") * (F.col("o_orderkey") % 5 + 1)).over(w) / F.sum(F.col("o_orderkey") % 5 + 1).over(w), 4).alias("avg")))(Window.orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)))
+
+FOUND = f"{FEAT}, s AS (SELECT * FROM feat WHERE idx % 4 = 0), f AS (SELECT a.idx AS i, b.idx AS j, sqrt(greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * {DOT}, 1e-12)) AS d, {DOT} AS z, a.pid = b.pid AS same, a.cam = b.cam AS same_cam FROM s a, s b)"
+
+
+def found(spark, d):
+    f = feats(spark, d).where("idx % 4 = 0")
+    dots = pairs(f, f, metric="dot").select("i", "j", F.col("d").alias("z"), F.col("same_pid").alias("same"), "same_cam")
+    return dots.join(pairs(f, f, metric="euclid").select("i", "j", F.sqrt(F.greatest("d", F.lit(1e-12))).alias("d")), ["i", "j"])
+
+
+_HARD = ", h AS (SELECT i, max(d) FILTER (same) AS hp, min(d) FILTER (NOT same) AS hn, arg_max(j, (d, -j)) FILTER (same) AS jp, arg_min(j, (d, j)) FILTER (NOT same) AS jn FROM f GROUP BY i)"
+_L = lambda df: df.select(F.round("loss", 6).alias("loss"))
+query("w13_hardest_pairs", f"WITH {FOUND}{_HARD} SELECT i, round(hp, 6) AS hp, round(hn, 6) AS hn, jp, jn FROM h")(lambda spark, d: lo.hardest(found(spark, d)).select("i", F.round("hp", 6).alias("hp"), F.round("hn", 6).alias("hn"), "jp", "jn"))
+query("l1_triplet", f"WITH {FOUND}{_HARD} SELECT round(avg(greatest(0.0, hp - hn + 0.3)), 6) AS loss FROM h")(lambda spark, d: _L(lo.triplet(found(spark, d))))
+query("l2_soft_triplet", f"WITH {FOUND}{_HARD} SELECT round(avg(ln(1 + exp(hp * 1.1 - hn * 0.9))), 6) AS loss FROM h")(lambda spark, d: _L(lo.triplet(found(spark, d), None, 0.1)))
+query("l3_weighted_triplet", f"WITH {FOUND}, h AS (SELECT i, sum(d * exp(d)) FILTER (same) / sum(exp(d)) FILTER (same) AS p, sum(d * exp(-d)) FILTER (NOT same) / sum(exp(-d)) FILTER (NOT same) AS n FROM f GROUP BY i) SELECT round(avg(ln(1 + exp(p - n))), 6) AS loss FROM h")(lambda spark, d: _L(lo.weighted_triplet(found(spark, d))))
+_LP = "lp AS (SELECT *, z - ln(sum(exp(z)) OVER (PARTITION BY {i})) AS lp FROM {t})"
+_ZB = f"WITH {BANK}, z AS (SELECT idx, bank.key, batch.key AS label, {{e}} AS z FROM batch, bank), {_LP.format(i='idx', t='z')}"
+_SMOOTH = " SELECT round(avg(t), 6) AS loss FROM (SELECT idx, sum(-lp * (CASE WHEN key = label THEN 0.9 ELSE 0.0 END + 0.1 / 10)) AS t FROM lp{w} GROUP BY idx)"
+query("l4_smoothed_cross_entropy", _ZB.format(e="list_dot_product(v, m)") + _SMOOTH.format(w=""))(lambda spark, d: _L(lo.smoothed_cross_entropy(me.scores(*bank_and_batch(spark, d)))))
+query("l10_p18_ignored_label", _ZB.format(e="list_dot_product(v, m)") + _SMOOTH.format(w=" WHERE label <> 2"))(lambda spark, d: _L(lo.smoothed_cross_entropy(me.scores(*bank_and_batch(spark, d)), ignore=2)))
+query("l7_margin_loss", _ZB.format(e="(list_dot_product(v, m) - CASE WHEN bank.key = batch.key THEN 0.3 ELSE 0.0 END) * 30") + " SELECT round(avg(-lp), 6) AS loss FROM lp WHERE key = label")(
+    lambda spark, d: me.cross_entropy(lo.margin_scores(me.scores(*bank_and_batch(spark, d)))).agg(F.round(F.avg("loss"), 6).alias("loss")))
+query("l5_supervised_contrast", f"WITH {FOUND}, {_LP.format(i='i', t='f')} SELECT round(-avg(x), 6) AS loss FROM (SELECT i, avg(lp) AS x FROM lp WHERE same GROUP BY i)")(lambda spark, d: _L(lo.supervised_contrast(found(spark, d))))
+query("l6_top_k_contrast", f"WITH {FOUND}, g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i, same ORDER BY z, j) AS n FROM f) WHERE NOT same OR n <= 8), {_LP.format(i='i', t='g')} SELECT round(-avg(x), 6) AS loss FROM (SELECT i, avg(lp) AS x FROM lp WHERE same GROUP BY i)")(lambda spark, d: _L(lo.top_k_contrast(found(spark, d))))
+query("l8_same_camera_rescaled", f"WITH {FOUND}, g AS (SELECT i, j, same, z * CASE WHEN same_cam AND NOT same THEN 0.012 ELSE 1.0 END * 30 AS z FROM f), {_LP.format(i='i', t='g')} SELECT round(-avg(x), 6) AS loss FROM (SELECT i, avg(lp) AS x FROM lp WHERE same GROUP BY i)")(
+    lambda spark, d: _L(lo.supervised_contrast(found(spark, d).withColumn("z", F.col("z") * F.when(F.col("same_cam") & ~F.col("same"), F.lit(0.012)).otherwise(F.lit(1.0)) * 30))))
+query("l9_camera_contrast", f"WITH {FOUND}, g AS (SELECT i, j, same, (z - CASE WHEN same THEN 0.1 ELSE 0.0 END) / 0.07 AS z FROM f WHERE same_cam), {_LP.format(i='i', t='g')} SELECT round(-avg(x), 6) AS loss FROM (SELECT i, avg(lp) AS x FROM lp WHERE same GROUP BY i)")(lambda spark, d: _L(lo.camera_contrast(found(spark, d), margin=0.1)))
+
+_V = f"WITH {FEAT} SELECT idx, {{}} FROM feat"
+query("f1_unit_length", f"WITH {FEAT} SELECT idx, k, round(v[k] / (sqrt(list_dot_product(v, v)) + 1e-12), 6) AS x FROM feat, {_DIMS}")(lambda spark, d: exploded(feats(spark, d).withColumn("v", vec.normalize(F.col("v"), 1e-12)), "idx"))
+query("f2_flip_average", f"WITH {FEAT} SELECT idx, k, round((v[k] + v[65 - k]) / 2, 6) AS x FROM feat, {_DIMS}")(lambda spark, d: exploded(feats(spark, d).withColumn("v", vec.flip_average(F.col("v"))), "idx"))
+query("f5_clamp_and_round", _V.format("CAST(round_even(v[1] * 10, 0) AS DOUBLE) AS r, least(greatest(v[1], 0.0), 0.1) AS c, round(ln(greatest(v[1], 1e-6)), 6) AS l"))(
+    lambda spark, d: feats(spark, d).select("idx", F.bround(F.element_at("v", 1) * 10, 0).alias("r"), F.least(F.greatest(F.element_at("v", 1), F.lit(0.0)), F.lit(0.1)).alias("c"), F.round(F.log(F.greatest(F.element_at("v", 1), F.lit(1e-6))), 6).alias("l")))
+query("a29_power_mean", _V.format("round(pow(list_avg(list_transform(v, lambda x: pow(greatest(x, 1e-6), 3))), 1.0 / 3), 6) AS gem"))(lambda spark, d: feats(spark, d).select("idx", F.round(vec.power_mean(F.col("v")), 6).alias("gem")))
+query("a30_pooling", _V.format("round(list_avg(v), 6) AS avg, round(list_max(v), 6) AS max, round(list_avg(v) + list_max(v), 6) AS both"))(
+    lambda spark, d: (lambda mean: feats(spark, d).select("idx", F.round(mean, 6).alias("avg"), F.round(F.array_max("v"), 6).alias("max"), F.round(mean + F.array_max("v"), 6).alias("both")))(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")))
+query("p22_column_concat", f"WITH {FEAT} SELECT pid, count(*) AS n FROM (SELECT * FROM feat WHERE idx % 2 = 0 UNION ALL SELECT * FROM feat WHERE idx % 2 = 1) GROUP BY pid")(
+    lambda spark, d: feats(spark, d).where("idx % 2 = 0").unionByName(feats(spark, d).where("idx % 2 = 1")).groupBy("pid").agg(F.count("*").alias("n")))
+query("f9_multi_step_rate", "SELECT range AS epoch, round(3.5e-4 * CASE WHEN range < 10 THEN 0.01 * (1 - range / 10.0::DOUBLE) + range / 10.0::DOUBLE ELSE 1.0 END * pow(0.1, CAST(range >= 20 AS INT) + CAST(range >= 40 AS INT)), 12) AS lr FROM range(60)")(
+    lambda spark, d: spark.range(60).select(F.col("id").alias("epoch"), F.round(schedules.multi_step(F.col("id"), 3.5e-4, [20, 40]), 12).alias("lr")))
+query("f10_cosine_rate", "SELECT range AS epoch, round(CASE WHEN range < 5 THEN 0.01 + range * ((0.1 - 0.01) / 5) WHEN range // 30 < 2 THEN 0.001 + (0.1 * pow(0.5, range // 30) - 0.001) * 0.5 * (1 + cos(pi() * (range % 30) / 30)) ELSE 0.001 END, 9) AS lr FROM range(70)")(
+    lambda spark, d: spark.range(70).select(F.col("id").alias("epoch"), F.round(schedules.cosine(F.col("id"), 0.1, 30, 0.001, 5, 0.01, 0.5, 2), 9).alias("lr")))
+query("f12_curriculum", "SELECT range AS epoch, CASE WHEN range < 5 THEN 2 WHEN range < 15 THEN 4 ELSE 8 END AS value FROM range(40)")(
+    lambda spark, d: spark.range(40).select(F.col("id").alias("epoch"), schedules.curriculum(F.col("id"), [(2, 5), (4, 10), (8, 5)]).alias("value")))
+
+
+@query("f14_unescaped_text")
+def _(spark, d):
+    """Character references decoded twice, outer white space taken off."""
+    from vicinity.functions.text import unescape_twice
+
+    return fixtures.table(spark, d, "documents").select("doc_id", unescape_twice("text").alias("text"))
