@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vicinity.functions import schedules
+from vicinity.functions import pixels, schedules
 from vicinity.functions import vectors as vec
 from vicinity.operators import losses as lo
 from vicinity.operators import memory as me
@@ -15,6 +15,7 @@ from vicinity.plans.association import _DIMS, exploded
 from vicinity.plans.neighbours import DOT, feats
 from vicinity.plans.registry import FEAT, query
 from vicinity.sources import fixtures
+from vicinity.streaming.running import running_averages
 
 BANK = f"{FEAT}, cm AS (SELECT pid AS key, k, avg(v[k]) AS x FROM feat, {_DIMS} WHERE idx % 2 = 0 GROUP BY pid, k), c0 AS (SELECT key, list(x ORDER BY k) AS c FROM cm GROUP BY key), bank AS (SELECT key, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS m FROM c0), batch AS (SELECT pid AS key, idx, v FROM feat WHERE idx % 7 = 1 AND pid <> 3), sc AS (SELECT b.*, bank.m, list_dot_product(b.v, m) AS s FROM batch b JOIN bank USING (key))"
 _MOVE = "mv AS (SELECT bank.key, CASE WHEN ch.v IS NULL THEN m ELSE list_transform(range(1, 65), lambda n: m[n] * 0.2 + ch.v[n] * 0.8) END AS u, ch.v IS NULL AS still FROM bank LEFT JOIN ch USING (key)) SELECT key, k, round(CASE WHEN still THEN u[k] ELSE u[k] / sqrt(list_dot_product(u, u)) END, 6) AS x FROM mv, " + _DIMS
@@ -101,3 +102,29 @@ def _(spark, d):
     from vicinity.functions.text import unescape_twice
 
     return fixtures.table(spark, d, "documents").select("doc_id", unescape_twice("text").alias("text"))
+
+
+query("f17_luma", f"WITH {FEAT} SELECT idx, k, round(v[k] * 0.2989 + v[k + 16] * 0.5870 + v[k + 32] * 0.1140, 6) AS x FROM feat, range(1, 17) t(k)")(
+    lambda spark, d: exploded(feats(spark, d).select("idx", pixels.luma(_image()).alias("v")), "idx"))
+query("f18_erased", f"WITH {FEAT} SELECT idx, k, round(CASE WHEN k IN (6, 7, 10, 11) THEN 0.5 ELSE v[k] END, 6) AS x FROM feat, range(1, 17) t(k)")(
+    lambda spark, d: exploded(feats(spark, d).select("idx", F.element_at(pixels.erased(_image(), 4, F.lit(1), F.lit(1), F.lit(2), F.lit(2), (0.5, 0.4, 0.3)), 1).alias("v")), "idx"))
+
+
+def _image():
+    """A 4 x 4 image of three channels, from a vector's first 48 numbers."""
+    return F.array(*[F.slice("v", 1 + 16 * c, 16) for c in range(3)])
+
+
+@query("f15_f16_token_rows")
+def _(spark, d, vocabulary: str = "/opt/tokenizers/word_bpe_49k.json"):
+    """``vocabulary`` is a tokenizer file that the driver reads."""
+    from pathlib import Path
+
+    from vicinity.functions.text import token_rows
+
+    encode = token_rows(Path(vocabulary).read_text(), 77, truncate=True)
+    return fixtures.table(spark, d, "documents").select("doc_id", encode("text").alias("ids"))
+
+
+query("a26_meters", "SELECT event_type, round(sum(value), 4) AS sum, count(*) AS count, round(avg(value), 6) AS avg FROM events GROUP BY event_type")(
+    lambda spark, d: running_averages(fixtures.table(spark, d, "events"), "event_type", "value").select("event_type", F.round("sum", 4).alias("sum"), "count", F.round("avg", 6).alias("avg")))
