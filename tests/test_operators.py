@@ -1,0 +1,177 @@
+"""Operators on small inputs made by hand."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from vicinity.operators import clustering as cl
+from vicinity.operators import evaluation as ev
+from vicinity.operators import labels, losses, memory, sampling
+from vicinity.operators import neighbours as nb
+from vicinity.operators.pairwise import pairs
+
+VECTORS = "idx long, pid int, cam int, v array<double>"
+
+
+def vectors(spark, n=40, dim=8, seed=0, pids=4, cams=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x, spark.createDataFrame([(i, i % pids, i % cams, x[i].tolist()) for i in range(n)], VECTORS)
+
+
+def test_pairs_equal_numpy_whatever_the_blocks(spark):
+    x, df = vectors(spark)
+    want = np.maximum(2 - 2 * x @ x.T, 0)
+    for block in (3, 256):
+        got = pairs(df, df, block_rows=block).collect()
+        assert len(got) == 1600
+        assert max(abs(r.d - want[r.i, r.j]) for r in got) < 1e-12
+        top = pairs(df, df, k=5, block_rows=block).collect()
+        for i in range(40):
+            assert [r.j for r in sorted(top, key=lambda r: r.rk) if r.i == i] == np.lexsort((np.arange(40), want[i]))[:5].tolist()
+
+
+def test_ties_go_to_the_lower_id(spark):
+    df = spark.createDataFrame([(i, 0, i, [1.0, 0.0]) for i in range(5)], VECTORS)
+    assert [(r.i, r.j) for r in pairs(df, df, k=2).orderBy("i", "rk").collect()] == [(i, j) for i in range(5) for j in (0, 1)]
+
+
+def test_structured_jaccard_equals_dense(spark):
+    x, df = vectors(spark, 30)
+    n, ks, ki, kc, tau, beta = 30, 10, 4, 4, 2.0, 0.5
+    d = np.maximum(2 - 2 * x @ x.T, 0)
+    cam, pid = np.arange(n) % 3, np.arange(n) % 4
+    same_cam = cam[:, None] == cam
+    tier = np.where(same_cam & (pid[:, None] == pid), 0, np.where(same_cam, 2, 1))
+    order = [np.lexsort((np.arange(n), d[i], tier[i]))[:ks] for i in range(n)]
+    near = [[j for j in order[i] if tier[i, j] == 0][:ki] + [j for j in order[i] if tier[i, j] == 1 and i in order[j]][:kc] for i in range(n)]
+    v = np.zeros((n, n))
+    for i in range(n):
+        for t, a, temp in ((0, 0.3, tau), (1, 0.7, 1.0)):
+            js = [j for j in near[i] if tier[i, j] == t]
+            if js:
+                e = np.exp(-d[i, js] / temp)
+                v[i, js] = a * e / e.sum()
+        v[i] /= v[i].sum()
+    q = np.zeros((n, n))
+    for i in range(n):
+        parts = [v[[j for j in near[i] if tier[i, j] == t]].mean(0) for t in (0, 1) if any(tier[i, j] == t for j in near[i])]
+        q[i] = parts[0] if len(parts) == 1 else beta * parts[0] + (1 - beta) * parts[1]
+    m = np.minimum(q[:, None], q[None]).sum(2)
+    want = np.maximum(0, 1 - m / (2 - m + 1e-12))
+    got = np.ones((n, n))
+    for r in nb.structured_jaccard(df, k_search=ks, k_intra=ki, k_cross=kc, tau=tau, beta=beta).collect():
+        got[r.i, r.j] = r.jaccard
+    assert np.abs(got - want).max() < 1e-9
+    assert np.abs(got - got.T).max() < 1e-12
+
+
+def test_softmax_rows_sum_to_one_and_mutual_is_symmetric(spark):
+    _, df = vectors(spark)
+    top = pairs(df, df, k=7)
+    sums = nb.softmax_weights(top).groupBy("i").agg(F.sum("w").alias("s")).collect()
+    assert all(abs(r.s - 1) < 1e-12 for r in sums)
+    m = {(r.i, r.j) for r in nb.mutual(top.select("i", "j")).collect()}
+    assert m == {(j, i) for i, j in m}
+
+
+def test_components_of_a_chain_and_singletons(spark):
+    nodes = spark.range(11).withColumnRenamed("id", "idx")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    assert [r.label for r in cl.component_labels(nodes, edges).orderBy("idx").collect()] == [0] * 9 + [-1, -1]
+    assert [r.label for r in cl.component_labels(nodes, edges, None).orderBy("idx").collect()] == [0] * 9 + [1, 2]
+    assert cl.component_labels(nodes, edges.where("false")).where("label <> -1").count() == 0
+
+
+def test_dbscan_border_goes_to_the_first_cluster(spark):
+    pts = [0.0, 0.1, 0.2, 0.3, 1.1, 1.9, 2.0, 2.1, 2.2, 9.0]  # the middle one is within 0.8 of one core point on either side
+    nodes = spark.createDataFrame([(i,) for i in range(len(pts))], "idx long")
+    close = spark.createDataFrame([(i, j) for i, a in enumerate(pts) for j, b in enumerate(pts) if abs(a - b) <= 0.8 + 1e-9], "i long, j long")
+    got = [r.label for r in cl.dbscan(nodes, close, 4).orderBy("idx").collect()]
+    assert got == [0, 0, 0, 0, 0, 1, 1, 1, 1, -1]
+
+
+def test_camera_exclusive_association(spark):
+    c = spark.createDataFrame([(0, 1, 0.1, 0, 1), (0, 2, 0.2, 0, 1), (2, 3, 0.3, 1, 2)], "i long, j long, d double, cam_i int, cam_j int")
+    assert {(r.a, r.b) for r in cl.camera_exclusive_edges(c).collect()} == {(0, 1), (2, 3)}
+
+
+def test_constrained_unions_keep_cameras_apart(spark):
+    nodes = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 2)], "idx long, cam int")
+    edges = spark.createDataFrame([(0, 1, 0.1), (1, 2, 0.2), (1, 3, 0.3)], "i long, j long, d double")
+    got = {r.idx: r.label for r in cl.constrained_unions(edges, nodes).collect()}
+    assert got == {0: 0, 1: 0, 3: 0, 2: 1}
+
+
+def test_multi_step_noise(spark):
+    nodes = spark.range(4).withColumnRenamed("id", "idx")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
+    close = spark.createDataFrame([(0, 1), (1, 0), (0, 0), (1, 1), (2, 2), (3, 3)], "i long, j long")
+    assert [r.label for r in cl.multi_step(nodes, edges, close).orderBy("idx").collect()] == [1, 1, 0, 0]
+    assert [r.label for r in cl.multi_step(nodes, edges, close, merge_noise=False).orderBy("idx").collect()] == [0, 0, -1, -1]
+
+
+def test_no_match_queries_count_or_are_skipped(spark):
+    q = spark.createDataFrame([(0, 1, 0, [1.0, 0.0]), (1, 99, 0, [0.0, 1.0])], VECTORS)
+    g = spark.createDataFrame([(2, 1, 1, [1.0, 0.0]), (3, 2, 1, [0.0, 1.0])], VECTORS)
+    row = ev.map_cmc(q, g).first()
+    assert (row.mAP, row.R1) == (0.5, 0.5)
+    assert ev.cmc(q, g, topk=2).collect()[0].cmc == 1.0
+
+
+def test_tied_scores_are_one_threshold(spark):
+    found = spark.createDataFrame([(0, 1, 0.5, True), (0, 2, 0.5, False), (0, 3, 0.7, True)], "i long, j long, d double, hit boolean")
+    assert ev.mean_ap(found).first().ap == pytest.approx(0.5 * 0.5 + 0.5 * 2 / 3)
+
+
+def test_identical_and_permuted_labels_agree(spark):
+    df = spark.createDataFrame([(i, i % 3, (i + 1) % 3) for i in range(12)], "idx long, a int, b int")
+    assert ev.adjusted_rand(df, "a", "b").first().ari == pytest.approx(1)
+    assert ev.normalized_mutual_information(df, "a", "b").first().nmi == pytest.approx(1)
+
+
+def test_memory_updates(spark):
+    bank = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "key int, m array<double>")
+    batch = spark.createDataFrame([(0, 0, [0.0, 1.0]), (0, 1, [1.0, 0.0])], "key int, idx long, v array<double>")
+    m = np.array([1.0, 0.0])
+    for v in ([0.0, 1.0], [1.0, 0.0]):
+        m = m * 0.2 + np.array(v) * 0.8
+        m /= np.linalg.norm(m)
+    got = {r.key: r.m for r in memory.update_each(bank, batch).collect()}
+    assert np.allclose(got[0], m) and got[1] == [0.0, 1.0]
+    hard = {r.key: r.m for r in memory.update_hardest(bank, batch).collect()}[0]
+    assert np.allclose(hard, np.array([0.2, 0.8]) / np.hypot(0.2, 0.8))
+
+
+def test_samplers_keep_their_counts_and_repeat(spark):
+    _, df = vectors(spark, 30)
+    one = sampling.k_of_each(df.select("idx", "pid"), "pid", 20, 1)
+    assert {r["count"] for r in one.groupBy("pid").count().collect()} == {20}
+    assert sorted(one.collect()) == sorted(sampling.k_of_each(df.select("idx", "pid").repartition(7), "pid", 20, 1).collect())
+    far = sampling.diverse_instances(df.select("idx", "pid", "cam"), 4, 2).collect()
+    assert len(far) == 16 and {r.idx for r in far if r.draw == 0} == {r.anchor for r in far}
+
+
+def test_label_invariant(spark):
+    _, df = vectors(spark, 30)
+    out = labels.extend_ids(df)
+    counts = labels.camera_counts(df).agg(F.sum("id_count")).first()[0]
+    assert counts == out.agg(F.max("accum_id") + 1).first()[0]
+
+
+def test_triplet_on_a_line(spark):
+    found = spark.createDataFrame([(0, 0, 0.0, True), (0, 1, 1.0, True), (0, 2, 0.5, False)], "i long, j long, d double, same boolean")
+    assert losses.triplet(found).first().loss == pytest.approx(0.8)
+
+
+def test_stream_follows_memory(spark, tmp_path):
+    from vicinity.streaming.running import follow, running_averages
+
+    spark.createDataFrame([(0, [1.0, 0.0])], "key int, m array<double>").write.parquet(str(tmp_path / "bank/0"))
+    spark.createDataFrame([(0, 0, [0.0, 1.0])], "key int, idx long, v array<double>").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key int, idx long, v array<double>").parquet(str(tmp_path / "in"))
+    follow(stream, str(tmp_path / "bank"), 0.2, str(tmp_path / "state")).awaitTermination()
+    assert np.allclose(spark.read.parquet(str(tmp_path / "bank/1")).first().m, np.array([0.2, 0.8]) / np.hypot(0.2, 0.8))
+    table = spark.createDataFrame([("a", 1.0), ("a", 3.0)], "k string, x double")
+    assert running_averages(table, "k", "x").first().avg == 2.0
