@@ -21,7 +21,7 @@ from vicinity.llm.shared import small
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.3
-THRESHOLD = -0.25
+THRESHOLD = -0.27
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
