@@ -108,7 +108,7 @@ def mix(rows: DataFrame, sources: DataFrame, *, max_epochs: int = MAX_EPOCHS, bl
 def mix_by_document(docs: DataFrame, **options) -> DataFrame:
     """Every row's doc_id, source, size, its source's size and target, and the words the mix takes of it."""
     rows = sized(docs)
-    sources = cut(targets(rows))
+    sources = cut(targets(rows, **{k: v for k, v in options.items() if k in ("max_epochs", "block_words")}))
     nothing = rows.select("uid", "doc_id", "source", "size", F.lit(0).cast("long").alias("n_words"))
     taken = mix(rows, sources, **options).select("uid", "n_words")
     taken = nothing.unionByName(taken, allowMissingColumns=True).groupBy("uid").agg(*[F.max(c).alias(c) for c in ("doc_id", "source", "size")], F.sum("n_words").cast("long").alias("taken"))
