@@ -190,7 +190,9 @@ def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
     a /= a.sum(2, keepdims=True)
     o = a @ v
     h = xq + o @ p["wo"]
-    return (h.reshape(-1, WIDTH) @ p["w"]).reshape(*h.shape[:2], -1) + p["b"], (e, xq, q, k, v, a, o, h)
+    z = h.reshape(-1, WIDTH) @ p["w"]
+    z += p["b"]
+    return z.reshape(*h.shape[:2], -1), (e, xq, q, k, v, a, o, h)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -211,18 +213,23 @@ def windows(ids: np.ndarray, ids_at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return source, target
 
 
-def _inputs(source: np.ndarray, ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    rows = vocabulary.rows[ids]
-    return np.where(source >= 0, rows[np.maximum(source, 0)], np.where(source == -2, vocabulary.rows[-1], -1))
+def _inputs(source: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Embedding rows of places; ``rows`` are those of all ids, then the end's (place -2) and -1 (place -1)."""
+    return rows[source]
+
+
+def _rows(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    return np.concatenate([vocabulary.rows[ids], [vocabulary.rows[-1], -1]]).astype(np.int32)
 
 
 def log_probabilities(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.ndarray, batch: int = 48) -> np.ndarray:
     """Natural log probability of each id given those before it in its text."""
     out = np.zeros(len(ids))
     source, target = windows(ids, ids_at)
+    rows = _rows(ids, vocabulary)
     for i in range(0, len(source), batch):
         t = target[i : i + batch]
-        z, _ = forward(p, _inputs(source[i : i + batch], ids, vocabulary))
+        z, _ = forward(p, _inputs(source[i : i + batch], rows))
         shift = 0.0 if z.max() < 60 else z.max(2, keepdims=True)
         z -= shift
         b, s = np.nonzero(t >= 0)
@@ -260,12 +267,13 @@ def train_shard(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.nda
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     source, target = windows(ids, ids_at)
+    rows = _rows(ids, vocabulary)
     classes = np.where(target >= 0, vocabulary.classes[ids[np.maximum(target, 0)]], -1)
     order = np.random.default_rng(seed).permutation(len(source))
     for step in range(1, steps + 1):
         at = order[np.arange((step - 1) * WINDOWS_A_STEP, step * WINDOWS_A_STEP) % len(order)]
         now = rate * (1 - 0.9 * step / steps)
-        for k, g in gradients(p, _inputs(source[at], ids, vocabulary), classes[at]).items():
+        for k, g in gradients(p, _inputs(source[at], rows), classes[at]).items():
             g = g.astype(np.float32)
             m[k] += 0.1 * (g - m[k])
             s[k] += 0.01 * (g * g - s[k])
@@ -273,14 +281,14 @@ def train_shard(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.nda
     return p
 
 
-def _fit(at, turn: int):
+def _fit(at, turn: int, steps: int):
     """A shard's (n, key, ids) rows to its parameters in pieces; ``at`` is a broadcast (parameters, vocabulary)."""
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("n", "ascending"), ("ids", "ascending")])
         n = table.column("n").to_numpy()
         ids = np.frombuffer(b"".join(x.as_py() for x in table.column("ids")), np.int32).astype(np.int64)
-        got = train_shard(*at.value, ids, np.concatenate([[0], np.cumsum(n)]), seed=turn)
+        got = train_shard(*at.value, ids, np.concatenate([[0], np.cumsum(n)]), steps, seed=turn)
         flat = np.concatenate([got[k].ravel() for k in _PARAMETERS]).astype(np.float32)
         cuts = range(0, len(flat), 4096)
         return db.table_of([(i, float(n.sum()), flat[i : i + 4096].tobytes()) for i in cuts], "piece long, weight double, values binary")
@@ -297,7 +305,7 @@ def _mean(table: pa.Table) -> pa.Table:
     return db.table_of([(table.column("piece")[0].as_py(), values.astype(np.float32).tobytes())], "piece long, values binary")
 
 
-def train(docs: DataFrame, shared, vocabulary: Vocabulary, *, share: float = TRAIN_SHARE, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, shared, vocabulary: Vocabulary, *, share: float = TRAIN_SHARE, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS, steps: int = STEPS) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` rounds of training on ``share`` of the training documents."""
     spark = docs.sparkSession
 
@@ -305,7 +313,7 @@ def train(docs: DataFrame, shared, vocabulary: Vocabulary, *, share: float = TRA
         subwords = _subwords(shared)
         for batch in batches:
             ids = batch.column("doc_id").fill_null(db.NO_ID).to_numpy(zero_copy_only=False)
-            chosen = ~is_held_out(ids) & (tb.mix(ids.view(np.uint64) + np.uint64(77)) < np.uint64(int(share * (2**64 - 1))))
+            chosen = ~is_held_out(ids) & (tb.mix(ids.view(np.uint64) + np.uint64(77)) < np.uint64(min(int(share * 2**64), 2**64 - 1)))
             for block in tb.blocks(batch.filter(pa.array(chosen)), "text"):
                 t = Tokens(block, subwords)
                 yield pa.record_batch({"n": pa.array(np.diff(t.ids_at)), "key": pa.array(tb.mix(t.ids_at[1:].astype(np.uint64) * np.uint64(2654435761)).view(np.int64)), "ids": pa.array([t.ids[a:b].astype(np.int32).tobytes() for a, b in zip(t.ids_at[:-1], t.ids_at[1:], strict=True)], pa.binary())})
@@ -321,7 +329,7 @@ def train(docs: DataFrame, shared, vocabulary: Vocabulary, *, share: float = TRA
     for turn in range(rounds):
         at = spark.sparkContext.broadcast((p, vocabulary))
 
-        pieces = dealt.groupBy("shard").applyInArrow(_fit(at, turn), "piece long, weight double, values binary").groupBy("piece").applyInArrow(_mean, "piece long, values binary").orderBy("piece").collect()
+        pieces = dealt.groupBy("shard").applyInArrow(_fit(at, turn, steps), "piece long, weight double, values binary").groupBy("piece").applyInArrow(_mean, "piece long, values binary").orderBy("piece").collect()
         flat, p, i = np.frombuffer(b"".join(bytes(r["values"]) for r in pieces), np.float32), {}, 0
         for k in _PARAMETERS:
             size = int(np.prod(shapes[k]))
