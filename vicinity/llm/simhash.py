@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from vicinity.llm import textblocks as tb
-from vicinity.llm.graph import components
 from vicinity.llm.shared import cut
+from vicinity.operators.clustering import components
 
 MAX_DISTANCE = 4
 SHINGLE = 4
