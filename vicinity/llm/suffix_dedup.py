@@ -42,6 +42,7 @@ LENGTH = 50
 SEED_BYTES = 16
 INITIAL = 5  # bytes of the initial buckets
 BLOCK_BYTES = 3 << 20
+SLICE_BYTES = 1 << 19
 _SEEDS = "bucket long, block long, hashes binary, several binary"
 _ANSWERS = "block long, bucket long, pass int, bits binary"
 _SEGMENTS = "bucket long, block long, docs binary, sizes binary, text binary"
@@ -58,13 +59,25 @@ class _Part(db.Documents):
         self._segments()
 
     def _segments(self) -> None:
-        n, q, length = len(self.text), SEED_BYTES, self.length
-        empty = np.zeros(0, np.int64)
-        self.first = self.last = self.doc = empty
-        self.seed = self.content = np.zeros(0, np.uint64)
-        if n < length:
-            return
-        prefix = tb.Block(self.text, np.array([0, n]), 0).prefix()
+        """The segments of all documents, found some documents at a time: only the segments stay."""
+        cuts, size = [0], 0
+        for i, n in enumerate(self.sizes.tolist()):
+            if size and size + n > SLICE_BYTES:
+                cuts.append(i)
+                size = 0
+            size += n
+        parts = [self._slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(self.sizes)], strict=True)]
+        self.first, self.last, self.seed, self.content = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.doc = np.searchsorted(self.at, self.first, "right") - 1
+
+    def _slice(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last string, seed and content hash of each segment of documents a to b."""
+        text, begin = self.text[self.at[a] : self.at[b]], self.at[a]
+        n, q, length = len(text), SEED_BYTES, self.length
+        long = self.sizes[a:b] >= length
+        if not long.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        prefix = tb.Block(text, np.array([0, n]), 0).prefix()
         i = np.arange(n - q + 1)
         grams = tb.span_hash(prefix, i, i + q)
         low = (grams & ~np.uint64((1 << 31) - 1)) | i.astype(np.uint64)  # least hash, leftmost first
@@ -74,23 +87,19 @@ class _Part(db.Documents):
         if w > have:
             low = np.minimum(low[: len(low) - (w - have)], low[w - have :])
         at = (low & np.uint64((1 << 31) - 1)).astype(np.int64)
-        del low, i
-        ok = np.zeros(n - length + 1, dtype=bool)
-        for a, size in zip(self.at[:-1], self.sizes, strict=True):
-            if size >= length:
-                ok[a : a + size - length + 1] = True
-        new = ok.copy()
-        new[1:] &= (at[1:] != at[:-1]) | ~ok[:-1]
-        end = ok.copy()
-        end[:-1] &= (at[1:] != at[:-1]) | ~ok[1:]
-        new_doc = self.at[:-1][(self.sizes >= length)]
-        new[new_doc] = True
-        ends = (new_doc + self.sizes[self.sizes >= length] - length)
-        end[ends] = True
-        self.first, self.last = np.flatnonzero(new), np.flatnonzero(end)
-        self.doc = np.searchsorted(self.at, self.first, "right") - 1
-        self.seed = grams[at[self.first]]
-        self.content = tb.span_hash(prefix, self.first, self.last + length)
+        starts, ends = (self.at[a:b] - begin)[long], (self.at[a + 1 : b + 1] - begin - length)[long]
+        ok = np.zeros(n - length + 2, dtype=np.int8)
+        ok[starts] = 1
+        ok[ends + 1] -= 1
+        ok = np.cumsum(ok)[:-1] > 0
+        ok[starts] = ok[ends] = True
+        change = at[1:] != at[:-1]
+        new, end = ok.copy(), ok.copy()
+        new[1:] &= change
+        end[:-1] &= change
+        new[starts] = end[ends] = True
+        first, last = np.flatnonzero(new), np.flatnonzero(end)
+        return first + begin, last + begin, grams[at[first]], tb.span_hash(prefix, first, last + length)
 
     def seeds(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes of seeds, and whether two doc_ids or more have each."""
@@ -145,11 +154,17 @@ def _send_segments(block: int, part: _Part, answers: pa.Table, buckets: int) ->
 def _sorted(high: np.ndarray, low: np.ndarray, low_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (high, low) in order, and where each one was. Where key and place fit 64 bits together, they are sorted as one number."""
     n = len(high)
-    key = high.astype(np.uint64) << np.uint64(low_bits) | low.astype(np.uint64)
+    key = high.astype(np.uint64)
+    key <<= np.uint64(low_bits)
+    key |= low.astype(np.uint64)
     place = max(n - 1, 1).bit_length()
     if n and int(high.max()).bit_length() + low_bits + place <= 64:
-        key = np.sort(key << np.uint64(place) | np.arange(n, dtype=np.uint64))
-        return key >> np.uint64(place), (key & np.uint64((1 << place) - 1)).astype(np.int64)
+        key <<= np.uint64(place)
+        key |= np.arange(n, dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64((1 << place) - 1)).astype(np.int32 if n < 2**31 else np.int64)
+        key >>= np.uint64(place)
+        return key, order
     order = np.argsort(key)
     return key[order], order
 
@@ -182,8 +197,8 @@ def repeated(text: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int
     for j in range(q):
         gram = (gram << np.uint64(8)) | padded[j : n + j]
     room = (np.repeat(ends, sizes) - np.arange(n)).astype(np.int32)  # bytes from here to the segment's end
-    at = np.flatnonzero(room >= q)
-    key, order = _sorted(gram[at], np.zeros(len(at), np.uint64), 0)
+    at = np.flatnonzero(room >= q).astype(np.int32 if n < 2**31 else np.int64)
+    key, order = _sorted(gram[at], np.zeros(1, np.uint64), 0)
     pointer = np.zeros(n, np.int32 if n < 2**31 else np.int64)
     pointer[at[order]] = np.maximum.accumulate(np.where(np.concatenate([[True], key[1:] != key[:-1]]), np.arange(len(key), dtype=pointer.dtype), 0))
     del gram, order, key
