@@ -112,7 +112,12 @@ class Tokens:
         inside = np.ones(len(every), bool)
         inside[self.at[1:] - 1] = False
         every[inside] = words.hashes()
-        self.hashes, first, self.which = np.unique(every, return_index=True, return_inverse=True)
+        order = np.argsort(every)
+        every = every[order]
+        new = np.concatenate([[True], every[1:] != every[:-1]])
+        self.hashes, first = every[new], order[new]  # any place of a word will do
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
         self.rows = np.repeat(np.arange(block.n), n)
         if subwords is None:
             return
@@ -230,8 +235,8 @@ def log_probabilities(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at:
     for i in range(0, len(source), batch):
         t = target[i : i + batch]
         z, _ = forward(p, _inputs(source[i : i + batch], rows))
-        shift = 0.0 if z.max() < 60 else z.max(2, keepdims=True)
-        z -= shift
+        if z.max() > 60:
+            z -= z.max(2, keepdims=True)
         b, s = np.nonzero(t >= 0)
         at = t[b, s]
         chosen = z[b, s, vocabulary.classes[ids[at]]]
