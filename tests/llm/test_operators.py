@@ -412,6 +412,26 @@ def test_quality_rules_equal_brute_force(spark, docs, empty):
     assert {r.score for r in quality_rules.quality_rules(docs, trusted.where("false")).collect()} == {0.0}
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").is_dir(), reason="no tables")
+def test_quality_verdicts_do_not_depend_on_the_table_size(spark):
+    """A tenth of the documents and all of them get the same verdicts; half of the good ones aren't trusted."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id is not null")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    trusted = labels.where("quality = 1 and crc32(cast(cast(doc_id as string) as binary)) % 2 = 1").select("doc_id")
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+
+    def kept(docs):
+        found = quality_rules.quality_rules(docs, trusted, rare=quality_rules.RARE).where("not base_failed")
+        return {r.doc_id: r.kept for r in found.select("doc_id", "kept").collect()}
+
+    tenth, whole = kept(docs.where("doc_id % 10 = 0")), kept(docs)
+    both = [i for i in tenth if i in whole]
+    assert len(both) > 500 and sum(tenth[i] != whole[i] for i in both) <= 0.02 * len(both)
+    for want in (0, 1):
+        some = [whole[i] for i in whole if quality.get(i) == want]
+        assert sum(x != bool(want) for x in some) <= 0.02 * len(some)
+
+
 def test_extra_columns_with_clashing_names(spark, docs):
     wide = docs.withColumns({c: F.lit("clash") for c in ("fp", "size", "key", "uid", "row", "seed", "words", "trusted", "block", "score", "label", "i", "carried")})
     assert simhash.near_duplicates(wide).count() == license_scan.scan(wide).count() == source_mix.mix_by_document(wide).count() == suffix_dedup.removed_spans(wide).count() == docs.count()

@@ -3,7 +3,8 @@
 The ratio compares two multinomials over hashed word 1- and 2-grams: one of trusted documents,
 one of the raw corpus. A document's score is the mean over its n-grams of
 log(p_trusted / p_raw), so length doesn't matter, and every document is kept exactly if its
-score reaches a fixed threshold. Counts cover all documents.
+score reaches a fixed threshold. Counts cover all documents: blocks of documents ask parts for the
+counts of their distinct n-grams, so the hash space (2^40) stays sparse however large the corpus.
 
 Null and empty texts have no words: they fail the base rules, with score 0. Repeated rows are
 scored one by one. If no document is trusted, or there are none, all ratios are 0.
@@ -16,17 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinity.llm import docblocks as db
 from vicinity.llm import textblocks as tb
-from vicinity.llm.shared import small
+from vicinity.llm.shared import cut, small
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 40
 SMOOTHING = 0.3
+SMOOTHED = 1 << 15
+RARE = 10.0
 THRESHOLD = -0.27
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 LABELS_TO_BROADCAST = 1_000_000
+BLOCK_BYTES = 8 << 20
+_ASKS = "part long, block long, found binary, raw binary, trusted binary"
+_ANSWERS = "block long, part long, raw binary, trusted binary, all_raw long, all_trusted long"
+_ROWS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, base_failed boolean, kept boolean"
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -40,38 +48,60 @@ def gram_buckets(words: tb.Words, hashes: np.ndarray, buckets: int) -> tuple[np.
     return (h % np.uint64(buckets)).astype(np.int64), np.concatenate([rows, rows[first]])
 
 
-def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, trusted): n-gram counts of all rows and of those with ``trusted``; one partial row a bucket and task."""
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers packed byte by byte, so that their empty high bytes cost nothing."""
+    return db.pack(np.ascontiguousarray(values.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
-    def count(batches):
-        raw, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
-            flag = np.asarray(batch.column("trusted").to_numpy(zero_copy_only=False), dtype=bool)
-            for block in tb.blocks(batch, "text"):
-                low = block.lower()
-                words = low.words(tb.NOT_SPACE)
-                b, rows = gram_buckets(words, words.hashes(), buckets)
-                raw += np.bincount(b, minlength=buckets)
-                good += np.bincount(b[flag[block.first + rows]], minlength=buckets)
-        yield pa.record_batch({"bucket": pa.array(np.arange(buckets, dtype=np.int32)), "raw": pa.array(raw), "trusted": pa.array(good)})
 
-    parts = docs.select("text", "trusted").mapInArrow(count, "bucket int, raw long, trusted long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(db.unpack(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log(p_trusted / p_raw) by bucket. ``counts`` has ``buckets`` rows, whatever the corpus."""
-    raw, good = np.zeros(buckets), np.zeros(buckets)
-    for row in counts.collect():
-        raw[row.bucket], good[row.bucket] = row.raw, row.trusted
-    if not good.sum():
-        return np.zeros(buckets)
-    # The trusted counts are smoothed towards the raw distribution, so an unseen bucket is neutral, not decisive.
-    p_raw = (raw + smoothing) / (raw.sum() + smoothing * buckets)
-    return np.log((good + smoothing * buckets * p_raw) / (good.sum() + smoothing * buckets)) - np.log(p_raw)
-
-
-def _rows_of(block: tb.Block, ratios: np.ndarray, texts: list[bytes]) -> dict:
+def _grams(block: tb.Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets in order, which one each n-gram has, and the row each is in."""
+    low = block.lower().words(tb.NOT_SPACE)
+    b, rows = gram_buckets(low, low.hashes(), buckets)
+    found, which = np.unique(b, return_inverse=True)
+    return found, which, rows
+
+
+def _ask(packed: pa.Table, buckets: int, parts: int) -> pa.Table:
+    """A block's distinct buckets with their counts in all its rows and in the trusted ones, by part."""
+    d = db.Documents(packed)
+    found, which, rows = _grams(tb.Block(d.text, d.at, 0), buckets)
+    flag = np.array(d.carried) == "1"
+    raw, good = np.bincount(which, minlength=len(found)), np.bincount(which[flag[rows]], minlength=len(found))
+    at = packed.column("block")[0].as_py()
+    return db.table_of([(p, at, _planes(np.diff(found[r], prepend=0)), _planes(raw[r]), _planes(good[r])) for p, r in db.by_bucket(db.bucket_of(found.view(np.uint64), parts))], _ASKS)
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """The counts of a part's buckets over all blocks, for each block that asked."""
+    asks = rows.to_pylist()
+    asked = [np.cumsum(_numbers(r["found"])) for r in asks]
+    found, which = np.unique(np.concatenate(asked), return_inverse=True)
+    raw, good = (np.bincount(which, np.concatenate([_numbers(r[k]) for r in asks]), minlength=len(found)).astype(np.int64) for k in ("raw", "trusted"))
+    at = np.cumsum([0, *map(len, asked)])
+    out = [(r["block"], r["part"], _planes(raw[which[i:j]]), _planes(good[which[i:j]]), 0, 0) for r, i, j in zip(asks, at[:-1], at[1:], strict=True)]
+    out[0] = (*out[0][:4], int(raw.sum()), int(good.sum()))
+    return db.table_of(out, _ANSWERS)
+
+
+def log_ratios(raw: np.ndarray, good: np.ndarray, all_raw: int, all_good: int, buckets: int, smoothing: float = SMOOTHING, rare: float = 0.0) -> np.ndarray:
+    """log(p_trusted / p_raw) of buckets with these counts, of ``all_raw`` and ``all_good`` n-grams.
+
+    ``smoothing`` a bucket, in no more than ``SMOOTHED`` buckets, draws the trusted counts towards the raw distribution;
+    ``rare`` draws each bucket's ratio to 0 as that many neutral occurrences would, whatever the corpus and the bucket space.
+    """
+    if not all_good:
+        return np.zeros(len(raw))
+    mass = smoothing * min(buckets, SMOOTHED)
+    p_raw = (raw + rare + mass / buckets) / (all_raw + mass)
+    return np.log((good + rare * all_good / all_raw + mass * p_raw) / (all_good + mass)) - np.log(p_raw)
+
+
+def _rows_of(block: tb.Block, in_row: np.ndarray, ratios: np.ndarray, texts: list[bytes]) -> dict:
+    """Counts and scores of rows; ``in_row`` and ``ratios`` are those of their n-grams."""
     words = block.words(tb.NOT_SPACE)
     prefix = block.prefix()
     n = words.counts
@@ -92,9 +122,7 @@ def _rows_of(block: tb.Block, ratios: np.ndarray, texts: list[bytes]) -> dict:
         repeated += np.bincount(start, minlength=len(rows) + 1)[: len(rows) + 1]
         repeated -= np.bincount(start + WINDOW, minlength=len(rows) + 1)[: len(rows) + 1]
     covered = np.concatenate([[0], np.cumsum(np.cumsum(repeated)[:-1] > 0)])[words.at]
-    low = block.lower().words(tb.NOT_SPACE)
-    b, in_row = gram_buckets(low, low.hashes(), len(ratios))
-    total, grams_in = np.bincount(in_row, ratios[b], minlength=block.n), np.bincount(in_row, minlength=block.n)
+    total, grams_in = np.bincount(in_row, ratios, minlength=block.n), np.bincount(in_row, minlength=block.n)
     dup = np.zeros(block.n, np.int64)
     for i, text in enumerate(texts):
         lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]
@@ -102,23 +130,30 @@ def _rows_of(block: tb.Block, ratios: np.ndarray, texts: list[bytes]) -> dict:
     return {"n_words": n.astype(np.int64), "word_chars": word_chars, "n_symbols": np.diff(symbols), "n_dup_lines": dup, "n_repeat_words": np.diff(covered), "score": total / np.maximum(grams_in, 1)}
 
 
-def apply_rules(docs: DataFrame, ratios: np.ndarray, *, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
-    """Every row's doc_id, base counts, ``base_failed``, ``score`` and ``kept``."""
-
-    def rules(batches):
-        for batch in batches:
-            for block in tb.blocks(batch, "text"):
-                raw = block.data.tobytes()
-                out = _rows_of(block, ratios, [raw[a:b] for a, b in zip(block.at[:-1], block.at[1:], strict=True)])
-                failed = (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > max_repeat_percent * out["n_words"])
-                out |= {"base_failed": failed, "kept": ~failed & (np.round(out["score"], 9) >= threshold)}
-                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(block.first, block.n)} | {k: pa.array(v) for k, v in out.items()})
-
-    return docs.select("doc_id", "text").mapInArrow(rules, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, base_failed boolean, kept boolean")
-
-
-def quality_rules(docs: DataFrame, trusted_ids: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (doc_id, text) judged against those whose doc_id is in ``trusted_ids`` (doc_id)."""
+def quality_rules(docs: DataFrame, trusted_ids: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD, rare: float = 0.0, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` (doc_id, text) judged against those whose doc_id is in ``trusted_ids`` (doc_id): every row's doc_id, base counts, ``base_failed``, ``score`` and ``kept``."""
     keys = trusted_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    flagged = docs.select("doc_id", "text").join(small(keys, LABELS_TO_BROADCAST), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    return apply_rules(docs, log_ratios(gram_counts(flagged, buckets), buckets), threshold=threshold)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    flagged = docs.join(small(keys, LABELS_TO_BROADCAST), "doc_id", "left").select("doc_id", "text", F.when(F.col("trusted"), "1").otherwise("0").alias("carried"))
+    n = max(16, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    packed = flagged.mapInArrow(lambda it: db.pack_documents(it, n), db.PACKED)
+    answers = cut(packed.groupBy("block").applyInArrow(lambda t: _ask(t, buckets, n), _ASKS).groupBy("part").applyInArrow(_answer, _ANSWERS))
+    sums = answers.agg(F.sum("all_raw").alias("raw"), F.sum("all_trusted").alias("trusted")).first()
+    all_raw, all_good = sums.raw or 0, sums.trusted or 0
+
+    def rules(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        d = db.Documents(packed)
+        block = tb.Block(d.text, d.at, 0)
+        found, which, in_row = _grams(block, buckets)
+        ratios = np.zeros(len(found))
+        got = {r["part"]: r for r in answers.to_pylist()}
+        for p, r in db.by_bucket(db.bucket_of(found.view(np.uint64), n)):
+            ratios[r] = log_ratios(_numbers(got[p]["raw"]), _numbers(got[p]["trusted"]), all_raw, all_good, buckets, rare=rare)
+        raw = d.text.tobytes()
+        out = _rows_of(block, in_row, ratios[which], [raw[a:b] for a, b in zip(d.at[:-1], d.at[1:], strict=True)])
+        failed = (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > max_repeat_percent * out["n_words"])
+        out |= {"base_failed": failed, "kept": ~failed & (np.round(out["score"], 9) >= threshold)}
+        ids = pa.array([None if i == db.NO_ID else i for i in d.ids.tolist()], pa.int64())
+        return pa.table({"doc_id": ids} | {k: pa.array(v) for k, v in out.items()})
+
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rules, _ROWS)

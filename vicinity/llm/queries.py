@@ -77,7 +77,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted are the documents that ``labels`` marks with quality 1."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted)
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), trusted, rare=quality_rules.RARE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
