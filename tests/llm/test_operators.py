@@ -215,6 +215,33 @@ def test_attention_lm_base_and_model(spark, docs):
     assert attention_lm.score(docs.where("false"), ranks, queries.WORD_PATTERN).count() == 0
 
 
+def test_attention_lm_trains_on_every_document(spark, monkeypatch):
+    """By default every document that isn't held out reaches a shard, and every window of a shard a step."""
+    docs = spark.createDataFrame([(i, f"word{i} and some more") for i in range(300)], "doc_id long, text string")
+    ranks = Path("/opt/tokenizers/byte_bpe_50k.tiktoken").read_bytes()
+    words = attention_lm.Subwords(ranks, queries.WORD_PATTERN)
+    vocabulary, dealt = attention_lm.Vocabulary(np.ones(words.size)), []
+
+    def fit(at, turn, steps):
+        return lambda table: attention_lm.db.table_of([(0, float(table.num_rows), np.zeros(sum(v.size for v in attention_lm.start(vocabulary).values()), np.float32).tobytes())], "piece long, weight double, values binary")
+
+    def mean(table):
+        values = np.frombuffer(table.column("values")[0].as_py(), np.float32) + np.float32(sum(table.column("weight").to_pylist()))
+        return attention_lm.db.table_of([(0, values.tobytes())], "piece long, values binary")
+
+    monkeypatch.setattr(attention_lm, "_fit", fit)
+    monkeypatch.setattr(attention_lm, "_mean", mean)
+    got = attention_lm.train(docs, spark.sparkContext.broadcast((ranks, queries.WORD_PATTERN)), vocabulary, rounds=1)
+    monkeypatch.undo()
+    assert got["b"][0] == sum(zlib.crc32(str(i).encode()) % 10 != 0 for i in range(300))
+
+    real = attention_lm.gradients
+    monkeypatch.setattr(attention_lm, "gradients", lambda p, x, y: dealt.append((y >= 0).sum()) or real(p, x, y))
+    n = (attention_lm.STEPS + 5) * attention_lm.WINDOWS_A_STEP
+    attention_lm.train_shard(attention_lm.start(vocabulary), vocabulary, np.zeros(n, np.int64), np.arange(n + 1))
+    assert sum(dealt) == n
+
+
 def test_attention_gradients_and_causality():
     rng = np.random.default_rng(1)
     vocabulary = attention_lm.Vocabulary(rng.integers(0, 50, 400).astype(float))

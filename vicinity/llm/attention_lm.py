@@ -7,10 +7,10 @@ position weights, plus the last id directly. It gives a class, and the class's i
 probability by their counts in the training documents: a proper distribution over the ids.
 Frequent ids are classes of their own; the others share classes by hash.
 
-Training is data parallel: a fixed share of the training documents, whole, is dealt to shards of
-about ``SHARD_IDS`` ids; each shard trains from the common parameters, and the mean of the shards'
-parameters is the next round's. So what is trained on grows with the corpus, and what reaches the
-driver (one set of parameters, and counts by id) doesn't.
+Training is data parallel: all training documents are dealt to shards of about ``SHARD_IDS`` ids;
+each shard trains from the common parameters on each of its windows, and the mean of the shards'
+parameters is the next round's. What reaches the driver (one set of parameters, and counts by id)
+doesn't grow with the corpus.
 
 A token's probability is the mean (``MIX``) of the product of its ids' and, if the training
 documents have it, of its share among their tokens, as smoothed below.
@@ -39,13 +39,12 @@ from vicinity.llm import docblocks as db
 from vicinity.llm import textblocks as tb
 from vicinity.llm.shared import cut
 
-CONTEXT, SCORED = 24, 40
+CONTEXT, SCORED = 32, 32
 WIDTH = 16
-OWN_CLASSES, SHARED_CLASSES = 160, 32
+OWN_CLASSES, SHARED_CLASSES = 192, 64
 HASHED_ROWS = 2048
 ROUNDS, STEPS, WINDOWS_A_STEP = 2, 400, 64
 RATE = 0.01
-TRAIN_SHARE = 1 / 32
 SHARD_IDS = 1 << 20
 BLOCK_BYTES = 3 << 20
 ALPHA = 0.1
@@ -268,13 +267,15 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
             "wo": flat(o).T @ flat(dx), "w": flat(h).T @ flat(g), "b": flat(g).sum(0)}
 
 
-def train_shard(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = 3) -> dict:
+def train_shard(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.ndarray, steps: int | None = None, rate: float = RATE, seed: int = 3) -> dict:
+    """Parameters after ``steps`` steps; if None, as many as take every window once, and ``STEPS`` at least."""
     p = {k: v.copy() for k, v in p.items()}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     source, target = windows(ids, ids_at)
     rows = _rows(ids, vocabulary)
     classes = np.where(target >= 0, vocabulary.classes[ids[np.maximum(target, 0)]], -1)
     order = np.random.default_rng(seed).permutation(len(source))
+    steps = max(STEPS, -(-len(order) // WINDOWS_A_STEP)) if steps is None else steps
     for step in range(1, steps + 1):
         at = order[np.arange((step - 1) * WINDOWS_A_STEP, step * WINDOWS_A_STEP) % len(order)]
         now = rate * (1 - 0.9 * step / steps)
@@ -286,17 +287,25 @@ def train_shard(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.nda
     return p
 
 
-def _fit(at, turn: int, steps: int):
+def _packed(ids: np.ndarray) -> bytes:
+    return db.pack(np.ascontiguousarray(ids.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(db.unpack(data), np.uint8).reshape(4, -1).T).view(np.int32).ravel().astype(np.int64)
+
+
+def _fit(at, turn: int, steps: int | None):
     """A shard's (n, key, ids) rows to its parameters in pieces; ``at`` is a broadcast (parameters, vocabulary)."""
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("n", "ascending"), ("ids", "ascending")])
         n = table.column("n").to_numpy()
-        ids = np.frombuffer(b"".join(x.as_py() for x in table.column("ids")), np.int32).astype(np.int64)
+        ids = np.concatenate([_unpacked(x.as_py()) for x in table.column("ids")])
         got = train_shard(*at.value, ids, np.concatenate([[0], np.cumsum(n)]), steps, seed=turn)
         flat = np.concatenate([got[k].ravel() for k in _PARAMETERS]).astype(np.float32)
-        cuts = range(0, len(flat), 4096)
-        return db.table_of([(i, float(n.sum()), flat[i : i + 4096].tobytes()) for i in cuts], "piece long, weight double, values binary")
+        cuts = range(0, len(flat), 512)
+        return db.table_of([(i, float(n.sum()), flat[i : i + 512].tobytes()) for i in cuts], "piece long, weight double, values binary")
 
     return fit
 
@@ -310,7 +319,7 @@ def _mean(table: pa.Table) -> pa.Table:
     return db.table_of([(table.column("piece")[0].as_py(), values.astype(np.float32).tobytes())], "piece long, values binary")
 
 
-def train(docs: DataFrame, shared, vocabulary: Vocabulary, *, share: float = TRAIN_SHARE, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS, steps: int = STEPS) -> dict[str, np.ndarray]:
+def train(docs: DataFrame, shared, vocabulary: Vocabulary, *, share: float = 1.0, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS, steps: int | None = None) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` rounds of training on ``share`` of the training documents."""
     spark = docs.sparkSession
 
@@ -318,17 +327,19 @@ def train(docs: DataFrame, shared, vocabulary: Vocabulary, *, share: float = TRA
         subwords = _subwords(shared)
         for batch in batches:
             ids = batch.column("doc_id").fill_null(db.NO_ID).to_numpy(zero_copy_only=False)
-            chosen = ~is_held_out(ids) & (tb.mix(ids.view(np.uint64) + np.uint64(77)) < np.uint64(min(int(share * 2**64), 2**64 - 1)))
+            chosen = ~is_held_out(ids)
+            if share < 1:
+                chosen &= tb.mix(ids.view(np.uint64) + np.uint64(77)) < np.uint64(int(share * 2**64))
             for block in tb.blocks(batch.filter(pa.array(chosen)), "text"):
                 t = Tokens(block, subwords)
-                yield pa.record_batch({"n": pa.array(np.diff(t.ids_at)), "key": pa.array(tb.mix(t.ids_at[1:].astype(np.uint64) * np.uint64(2654435761)).view(np.int64)), "ids": pa.array([t.ids[a:b].astype(np.int32).tobytes() for a, b in zip(t.ids_at[:-1], t.ids_at[1:], strict=True)], pa.binary())})
+                yield pa.record_batch({"n": pa.array(np.diff(t.ids_at)), "key": pa.array(tb.mix(t.ids_at[1:].astype(np.uint64) * np.uint64(2654435761)).view(np.int64)), "ids": pa.array([_packed(t.ids[a:b]) for a, b in zip(t.ids_at[:-1], t.ids_at[1:], strict=True)], pa.binary())})
 
     rows = cut(docs.select("doc_id", "text").mapInArrow(encode, "n long, key long, ids binary"))
     total = rows.agg(F.sum("n")).first()[0] or 0
     p = start(vocabulary)
     if not total:
         return p
-    shards = max(1, round(total / shard_ids))
+    shards = max(1, -(-total // shard_ids))
     dealt = rows.withColumn("shard", F.pmod("key", F.lit(shards)))
     shapes = {k: p[k].shape for k in _PARAMETERS}
     for turn in range(rounds):
