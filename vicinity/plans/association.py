@@ -99,6 +99,14 @@ def _(spark, d):
     return cl.multi_step(f, mnn(spark, d, 2).select(F.col("i").alias("a"), F.col("j").alias("b")), every.where("d <= 1.2").select("i", "j"))
 
 
+ASSOCIATE_RATE = 1.7
+
+
+def _most(spark, d) -> int:
+    """How many associations the reference allows: a rate of the number of (camera, identity) groups."""
+    return int(ASSOCIATE_RATE * feats(spark, d).select("cam", "pid").distinct().count())
+
+
 def _cross(spark, d, n):
     """The ``n`` nearest pairs over cameras, with cameras."""
     f = feats(spark, d)
@@ -108,7 +116,7 @@ def _cross(spark, d, n):
 
 @query("c2_camera_exclusive")
 def _(spark, d):
-    return cl.component_labels(feats(spark, d), cl.camera_exclusive_edges(_cross(spark, d, 102)), -1)
+    return cl.component_labels(feats(spark, d), cl.camera_exclusive_edges(_cross(spark, d, _most(spark, d))), -1)
 
 
 @query("c3_camera_exclusive_diagnostics")
@@ -116,7 +124,7 @@ def _(spark, d):
     """c2 with its clusters' count, coverage and adjusted Rand index."""
     from vicinity.operators.evaluation import adjusted_rand
 
-    labels = cl.cut(cl.component_labels(feats(spark, d), cl.camera_exclusive_edges(_cross(spark, d, 102)), -1))
+    labels = cl.cut(cl.component_labels(feats(spark, d), cl.camera_exclusive_edges(_cross(spark, d, _most(spark, d))), -1))
     joined = labels.join(feats(spark, d).select("idx", "pid"), "idx").where("label <> -1")
     stats = labels.agg(F.countDistinct(F.when(F.col("label") != -1, F.col("label"))).alias("clusters"), F.avg((F.col("label") != -1).cast("double")).alias("coverage"))
     return stats.crossJoin(adjusted_rand(joined, "pid", "label"))
@@ -145,7 +153,8 @@ def _(spark, d):
 @query("c13_c14_constrained_unions")
 def _(spark, d):
     f = feats(spark, d)
-    return cl.constrained_unions(pairs(f, f, k=5, rule="cross").where("i < j").select("i", "j", "d"), f, max_unions=300)
+    near = pairs(f, f, k=30, rule="cross").groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.min("d").alias("d"))
+    return cl.constrained_unions(near, f, max_unions=_most(spark, d))
 
 
 @query("c11_c15_association")
@@ -156,5 +165,5 @@ def _(spark, d):
     groups = cl.cut(groups.select(F.col("accum_id").cast("long").alias("idx"), "cam", normalize(F.col("v")).alias("v")))
     cam = lambda c: groups.select(F.col("idx").alias(c), F.col("cam").alias(f"c{c}"))
     near = nb.reciprocal_jaccard(groups, k1=10, k2=3).join(cam("i"), "i").join(cam("j"), "j").where("ci <> cj and i < j")
-    found = cl.constrained_unions(near.select("i", "j", F.col("jaccard").alias("d")), groups, max_unions=40)
+    found = cl.constrained_unions(near.select("i", "j", F.col("jaccard").alias("d")), groups, max_unions=_most(spark, d))
     return ids.join(found.withColumnRenamed("idx", "accum_id"), "accum_id").select("idx", "label")
