@@ -1,6 +1,7 @@
 """Registered queries on tables with more identities than the test tables have."""
 
 import __spark_entry__ as entry
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -33,3 +34,12 @@ def test_exclusive_pairs_scale_with_the_groups(spark, sf):
     assert sum(x != -1 for x in labels.values()) > 2 * 102
     stats = entry.queries()["c3_camera_exclusive_diagnostics"](spark, sf).first()
     assert stats.coverage == pytest.approx(sum(x != -1 for x in labels.values()) / 600)
+
+
+def test_selected_labels_beyond_ten_thousand_groups(spark, tmp_path):
+    folder = write(tmp_path, 1700, 2)
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    want = con.execute(entry.oracle_sql()["p7_selected_labels"]).fetchall()
+    got = entry.queries()["p7_selected_labels"](spark, folder).collect()
+    assert max(r[1] for r in want) > 10_000 and sorted(map(tuple, got)) == sorted(want)

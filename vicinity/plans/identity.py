@@ -98,7 +98,7 @@ query("p3_extended_ids", f"WITH {IDS} SELECT idx, pid, cam, intra_id, accum_id,
 query("p6_noise_dropped", f"WITH {FEAT} SELECT idx, CAST(pid - 1 AS INT) AS p_label, cam FROM feat WHERE pid - 1 <> -1")(
     lambda spark, d: fixtures.features(spark, d).select("idx", (F.col("pid") - 1).alias("p_label"), "cam").where("p_label <> -1"))
 query("p7_selected_labels", f"WITH {IDS} SELECT idx, accum_id, CAST(accum_id * 2 AS INT) AS prediction FROM ids WHERE accum_id % 3 = 0")(
-    lambda spark, d: fixtures.identified(spark, d).join(spark.range(10**4).where("id % 3 = 0").select(F.col("id").cast("int").alias("accum_id"), (F.col("id") * 2).cast("int").alias("prediction")), "accum_id").select("idx", "accum_id", "prediction"))
+    lambda spark, d: fixtures.identified(spark, d).join(fixtures.identified(spark, d).select("accum_id").distinct().where("accum_id % 3 = 0").withColumn("prediction", (F.col("accum_id") * 2).cast("int")), "accum_id").select("idx", "accum_id", "prediction"))
 query("p8_split_by_camera", f"WITH {FEAT} SELECT cam, array_to_string(list(idx ORDER BY idx), ',') AS rows FROM feat GROUP BY cam")(
     lambda spark, d: fixtures.features(spark, d).groupBy("cam").agg(F.concat_ws(",", F.array_sort(F.collect_list("idx")).cast("array<string>")).alias("rows")))
 query("p9_group_label_lookup", f"WITH {IDS} SELECT idx, CAST(accum_id // 2 AS INT) AS label FROM ids")(
