@@ -215,6 +215,15 @@ def test_attention_lm_base_and_model(spark, docs):
     assert attention_lm.score(docs.where("false"), ranks, queries.WORD_PATTERN).count() == 0
 
 
+def test_attention_lm_score_is_the_model_alone(spark, docs):
+    ranks = Path("/opt/tokenizers/byte_bpe_50k.tiktoken").read_bytes()
+    some, other = (attention_lm.score(docs, ranks, queries.WORD_PATTERN, rounds=1, steps=1, mix=m).collect() for m in (0.5, 0.9))
+    scores = lambda rows: sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 5)) for r in rows)
+    assert scores(some) == scores(other)
+    known = [r for r in some if r.n_known == r.n_tokens]
+    assert any(r.score < r.base_score - 0.302 * r.n_tokens for r in known) and all(r.blend_score > r.base_score - 0.302 * r.n_tokens for r in known)
+
+
 def test_attention_lm_trains_on_every_document(spark, monkeypatch):
     """By default every document that isn't held out reaches a shard, and every window of a shard a step."""
     docs = spark.createDataFrame([(i, f"word{i} and some more") for i in range(300)], "doc_id long, text string")

@@ -12,8 +12,9 @@ each shard trains from the common parameters on each of its windows, and the mea
 parameters is the next round's. What reaches the driver (one set of parameters, and counts by id)
 doesn't grow with the corpus.
 
-A token's probability is the mean (``MIX``) of the product of its ids' and, if the training
-documents have it, of its share among their tokens, as smoothed below.
+A token's probability is the product of its ids'; ``score`` is the text's. ``blend_score`` takes the
+mean (``MIX``) of it and, if the training documents have the token, of its share among their tokens,
+as smoothed below.
 
 Scoring cuts a document's ids into windows that overlap by ``CONTEXT``; a window scores the ids
 after its context, so each id is scored once. Beside the model's log10 probability of the text
@@ -53,7 +54,7 @@ _LOG2_10 = float(np.log2(10))
 _END = np.uint64(0xE4D0E4D0E4D0E4D1)  # the end's word hash
 _ASKS = "bucket long, block long, hashes binary, counts binary"
 _ANSWERS = "block long, bucket long, counts binary, tokens long, types long"
-_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double, blend_score double"
 _PARAMETERS = ("emb", "wq", "wk", "wv", "wo", "rel", "w", "b")
 
 
@@ -374,7 +375,7 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 
 def score(docs: DataFrame, ranks: bytes, pattern: str, *, block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA, mix: float = MIX, **options) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and blend_score of every row of ``docs`` (doc_id, text).
 
     ``ranks`` are the lines of a byte-pair vocabulary, ``pattern`` its pre-tokenisation.
     """
@@ -406,10 +407,10 @@ def score(docs: DataFrame, ranks: bytes, pattern: str, *, block_bytes: int = BLO
         seen = np.bincount(t.rows, (c > 0)[t.which], minlength=len(d.ids)).astype(np.int64)
         attention = np.add.reduceat(log_probabilities(*model.value, t.ids, t.ids_at), t.token_at[:-1]) / np.log(10)
         mixed = np.where((c > 0)[t.which], np.logaddexp2(np.log2(mix) + attention * _LOG2_10, np.log2(1 - mix) + each * _LOG2_10) / _LOG2_10, np.log10(mix) + attention)
-        model_score = np.bincount(t.rows, mixed, minlength=len(d.ids))
+        model_score, blend = (np.bincount(t.rows, x, minlength=len(d.ids)) for x in (attention, mixed))
         ids = pa.array([None if i == db.NO_ID else i for i in d.ids.tolist()], pa.int64())
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(np.diff(t.at)), "n_known": pa.array(seen), "base_score": pa.array(base), "score": pa.array(model_score)})
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(np.diff(t.at)), "n_known": pa.array(seen), "base_score": pa.array(base), "score": pa.array(model_score), "blend_score": pa.array(blend)})
 
     scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, _SCORES)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "blend_score")
