@@ -1,9 +1,9 @@
 """The corpus pipeline: reject, deduplicate, cut repeats, decontaminate, mix.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame, works on all rows its predecessor kept, and all
-but the last return the columns of ``documents``. Rows are documents by their doc_id: of rows with
-equal doc_id and text one stays; rows without a doc_id are taken as one document where a stage
-decides by doc_id.
+but the last return the columns of ``documents``. Near-dedup and decontamination decide by row, under
+a key of their own: rows that share a doc_id, or have none, don't fall or stay together. Of rows
+with equal doc_id and text one stays.
 """
 
 from __future__ import annotations
@@ -19,10 +19,17 @@ from vicinity.llm.shared import cut, ensure_checkpoint_dir, small
 IDS_TO_BROADCAST = 2_000_000
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of ``docs`` with distinct doc_ids, null equal to null."""
-    ids = small(ids.select(F.col("doc_id").alias("_id")).distinct(), IDS_TO_BROADCAST)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``_row``, written, so that every later reader sees the same keys."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    folder = f"{docs.sparkSession.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4()}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def _by_row(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with distinct rows."""
+    return docs.join(small(rows.select("_row").distinct(), IDS_TO_BROADCAST), "_row", how).drop("_row")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +38,12 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id."""
-    found = cut(simhash.near_duplicates(docs))
-    kept = _by_id(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    return _by_id(kept, repeated, "left_anti").unionByName(_by_id(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Of each group of near duplicates the row with the least doc_id; one without a doc_id only if none has one."""
+    keyed = _keyed(docs)
+    found = simhash.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    ranked = keyed.select("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "_row").alias("rank"))
+    first = cut(found.join(ranked, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row"))
+    return _by_row(keyed, first, "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +54,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that a benchmark item has leaked into."""
-    return _by_id(docs, decontamination.leaks(docs, queries.table(spark, sf_dir, "benchmark")), "left_anti")
+    keyed = _keyed(docs)
+    leaked = decontamination.leaks(keyed.select(F.col("_row").alias("doc_id"), "text"), queries.table(spark, sf_dir, "benchmark"))
+    return _by_row(keyed, leaked.select(F.col("doc_id").alias("_row")), "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,3 +39,16 @@ def test_stages_take_odd_rows(spark):
     for rows in (odd, odd.where("false")):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, rows, SF).count() <= rows.count()
+
+
+def test_rows_without_or_with_shared_ids_are_decided_one_by_one(spark):
+    schema = queries.table(spark, SF, "documents").schema
+    item = max((r.text for r in queries.table(spark, SF, "benchmark").collect()), key=len)
+    clean = [" ".join(f"{w}{i * 37 % 101}" for i in range(80)) for w in ("alpha", "beta", "gamma")]
+    row = lambda i, t: (i, t, "en", "s", len(t))
+    leaky = spark.createDataFrame([row(None, item), row(None, clean[0]), row(7, item), row(7, clean[1])], schema)
+    assert sorted(r.text for r in corpus_pipeline.decontaminate(spark, leaky, SF).collect()) == sorted(clean[:2])
+    copies = spark.createDataFrame([row(None, clean[0]), row(None, clean[0]), row(None, clean[1]), row(5, clean[1]), row(7, clean[2]), row(6, clean[2]), row(6, item), row(9, item)], schema)
+    got = corpus_pipeline.drop_near_duplicates(spark, copies, SF)
+    assert got.columns == copies.columns
+    assert sorted((r.doc_id or -1, r.text) for r in got.collect()) == sorted([(-1, clean[0]), (5, clean[1]), (6, clean[2]), (6, item)])
