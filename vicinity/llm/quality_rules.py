@@ -3,11 +3,18 @@
 The ratio compares two multinomials over hashed word 1- and 2-grams: one of trusted documents,
 one of the raw corpus. A document's score is the mean over its n-grams of
 log(p_trusted / p_raw), so length doesn't matter, and every document is kept exactly if its
-score reaches a fixed threshold. Counts cover all documents: blocks of documents ask parts for the
-counts of their distinct n-grams, so the hash space (2^40) stays sparse however large the corpus.
-
-Null and empty texts have no words: they fail the base rules, with score 0. Repeated rows are
-scored one by one. If no document is trusted, or there are none, all ratios are 0.
+score reaches a fixed threshold. Counts cover all documents. Each task adds its documents' n-grams up
+in a table of ``BUCKETS`` and sends what isn't 0, part by part; the sums make one table of ratios, whose size (4
+bytes a bucket) is a parameter and doesn't grow with the corpus, and which scores every document without a shuffle.
+
+The bucket space may fill up: the rare n-grams of a large corpus then lie evenly over all buckets, about 1 /
+``BUCKETS`` of the corpus in each, so an n-gram that is more frequent than that keeps its ratio, whatever the corpus's
+size, and a rarer one's goes to 0, as ``rare`` has it in small corpora anyway.
+
+Null and empty texts have no words: they fail the base rules, with score 0. Texts are read whole,
+however long. Repeated rows are scored one by one, so ties get equal verdicts. If no document is trusted,
+or there are none, all ratios are 0. Empty tables give empty results. Other columns of ``docs`` are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +26,9 @@ from pyspark.sql import functions as F
 
 from vicinity.llm import docblocks as db
 from vicinity.llm import textblocks as tb
-from vicinity.llm.shared import cut, small
+from vicinity.llm.shared import small
 
-BUCKETS = 1 << 40
+BUCKETS = 1 << 24
 SMOOTHING = 0.3
 SMOOTHED = 1 << 15
 RARE = 10.0
@@ -31,9 +38,9 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 LABELS_TO_BROADCAST = 1_000_000
-BLOCK_BYTES = 8 << 20
-_ASKS = "part long, block long, found binary, raw binary, trusted binary"
-_ANSWERS = "block long, part long, raw binary, trusted binary, all_raw long, all_trusted long"
+PART = 1 << 18
+_COUNTED = 1 << 31  # n-grams after which a task sends its counts, which are 32-bit numbers
+_COUNTS = "part long, found binary, raw binary, trusted binary"
 _ROWS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, base_failed boolean, kept boolean"
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -57,34 +64,46 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(db.unpack(data), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def _grams(block: tb.Block, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct buckets in order, which one each n-gram has, and the row each is in."""
-    low = block.lower().words(tb.NOT_SPACE)
-    b, rows = gram_buckets(low, low.hashes(), buckets)
-    found, which = np.unique(b, return_inverse=True)
-    return found, which, rows
-
-
-def _ask(packed: pa.Table, buckets: int, parts: int) -> pa.Table:
-    """A block's distinct buckets with their counts in all its rows and in the trusted ones, by part."""
-    d = db.Documents(packed)
-    found, which, rows = _grams(tb.Block(d.text, d.at, 0), buckets)
-    flag = np.array(d.carried) == "1"
-    raw, good = np.bincount(which, minlength=len(found)), np.bincount(which[flag[rows]], minlength=len(found))
-    at = packed.column("block")[0].as_py()
-    return db.table_of([(p, at, _planes(np.diff(found[r], prepend=0)), _planes(raw[r]), _planes(good[r])) for p, r in db.by_bucket(db.bucket_of(found.view(np.uint64), parts))], _ASKS)
-
-
-def _answer(rows: pa.Table) -> pa.Table:
-    """The counts of a part's buckets over all blocks, for each block that asked."""
-    asks = rows.to_pylist()
-    asked = [np.cumsum(_numbers(r["found"])) for r in asks]
-    found, which = np.unique(np.concatenate(asked), return_inverse=True)
-    raw, good = (np.bincount(which, np.concatenate([_numbers(r[k]) for r in asks]), minlength=len(found)).astype(np.int64) for k in ("raw", "trusted"))
-    at = np.cumsum([0, *map(len, asked)])
-    out = [(r["block"], r["part"], _planes(raw[which[i:j]]), _planes(good[which[i:j]]), 0, 0) for r, i, j in zip(asks, at[:-1], at[1:], strict=True)]
-    out[0] = (*out[0][:4], int(raw.sum()), int(good.sum()))
-    return db.table_of(out, _ANSWERS)
+def _packed_counts(raw: np.ndarray, good: np.ndarray) -> pa.Table:
+    """The counts that aren't 0, by part."""
+    out = []
+    for part in range(-(-len(raw) // PART)):
+        r, g = raw[part * PART :][:PART], good[part * PART :][:PART]
+        found = np.flatnonzero(r)
+        if len(found):
+            out.append((part, _planes(np.diff(found, prepend=0)), _planes(r[found]), _planes(g[found])))
+    return db.table_of(out, _COUNTS)
+
+
+def _count(batches, buckets: int):
+    """The n-grams of documents (text, trusted) by bucket: in all rows, and in the trusted ones."""
+    raw, good = np.zeros(buckets, np.uint32), np.zeros(buckets, np.uint32)
+    counted = 0
+    for batch in batches:
+        flag = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
+        for block in tb.blocks(batch, "text"):
+            words = block.lower().words(tb.NOT_SPACE)
+            b, rows = gram_buckets(words, words.hashes(), buckets)
+            np.add.at(raw, b, np.ones(len(b), np.uint32))
+            b = b[flag[block.first + rows]]
+            np.add.at(good, b, np.ones(len(b), np.uint32))
+            counted += len(rows)
+            if counted >= _COUNTED:
+                yield from _packed_counts(raw, good).to_batches()
+                raw[:], good[:], counted = 0, 0, 0
+    if counted:
+        yield from _packed_counts(raw, good).to_batches()
+
+
+def _sum(rows: pa.Table) -> pa.Table:
+    """The counts of one part's buckets over all tasks."""
+    total = np.zeros((2, PART), np.int64)
+    for row in rows.to_pylist():
+        at = np.cumsum(_numbers(row["found"]))
+        for t, k in zip(total, ("raw", "trusted"), strict=True):
+            t[at] += _numbers(row[k])
+    found = np.flatnonzero(total[0])
+    return db.table_of([(rows.column("part")[0].as_py(), _planes(np.diff(found, prepend=0)), *(_planes(t[found]) for t in total))], _COUNTS)
 
 
 def log_ratios(raw: np.ndarray, good: np.ndarray, all_raw: int, all_good: int, buckets: int, smoothing: float = SMOOTHING, rare: float = 0.0) -> np.ndarray:
@@ -100,8 +119,20 @@ def log_ratios(raw: np.ndarray, good: np.ndarray, all_raw: int, all_good: int, b
     return np.log((good + rare * all_good / all_raw + mass * p_raw) / (all_good + mass)) - np.log(p_raw)
 
 
-def _rows_of(block: tb.Block, in_row: np.ndarray, ratios: np.ndarray, texts: list[bytes]) -> dict:
-    """Counts and scores of rows; ``in_row`` and ``ratios`` are those of their n-grams."""
+def ratio_table(flagged: DataFrame, buckets: int, rare: float) -> np.ndarray:
+    """The log ratio of every bucket; ``flagged`` is (text, trusted)."""
+    parts = flagged.select("text", "trusted").mapInArrow(lambda it: _count(it, buckets), _COUNTS).groupBy("part").applyInArrow(_sum, _COUNTS).collect()
+    counts = {r["part"]: (np.cumsum(_numbers(r["found"])), _numbers(r["raw"]), _numbers(r["trusted"])) for r in parts}
+    all_raw, all_good = (sum(int(c[k].sum()) for c in counts.values()) for k in (1, 2))
+    out = np.empty(buckets, np.float32)
+    out[:] = log_ratios(np.zeros(1), np.zeros(1), all_raw, all_good, buckets, rare=rare) if all_raw else 0
+    for part, (at, raw, good) in counts.items():
+        out[part * PART + at] = log_ratios(raw, good, all_raw, all_good, buckets, rare=rare)
+    return out
+
+
+def _rows_of(block: tb.Block, ratios: np.ndarray) -> dict:
+    """Counts and scores of rows; ``ratios`` are those of the buckets."""
     words = block.words(tb.NOT_SPACE)
     prefix = block.prefix()
     n = words.counts
@@ -122,38 +153,30 @@ def _rows_of(block: tb.Block, in_row: np.ndarray, ratios: np.ndarray, texts: lis
         repeated += np.bincount(start, minlength=len(rows) + 1)[: len(rows) + 1]
         repeated -= np.bincount(start + WINDOW, minlength=len(rows) + 1)[: len(rows) + 1]
     covered = np.concatenate([[0], np.cumsum(np.cumsum(repeated)[:-1] > 0)])[words.at]
-    total, grams_in = np.bincount(in_row, ratios, minlength=block.n), np.bincount(in_row, minlength=block.n)
+    low = block.lower().words(tb.NOT_SPACE)
+    buckets, in_row = gram_buckets(low, low.hashes(), len(ratios))
+    total, grams_in = np.bincount(in_row, ratios[buckets], minlength=block.n), np.bincount(in_row, minlength=block.n)
     dup = np.zeros(block.n, np.int64)
-    for i, text in enumerate(texts):
-        lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]
+    raw = block.data.tobytes()
+    for i, (a, b) in enumerate(zip(block.at[:-1].tolist(), block.at[1:].tolist(), strict=True)):
+        lines = [x for x in raw[a:b].split(b"\n") if x.strip(b" \t\n\r\x0b\x0c")]
         dup[i] = len(lines) - len(set(lines))
     return {"n_words": n.astype(np.int64), "word_chars": word_chars, "n_symbols": np.diff(symbols), "n_dup_lines": dup, "n_repeat_words": np.diff(covered), "score": total / np.maximum(grams_in, 1)}
 
 
-def quality_rules(docs: DataFrame, trusted_ids: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD, rare: float = 0.0, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted_ids: DataFrame, *, buckets: int = BUCKETS, threshold: float = THRESHOLD, rare: float = 0.0, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> DataFrame:
     """``docs`` (doc_id, text) judged against those whose doc_id is in ``trusted_ids`` (doc_id): every row's doc_id, base counts, ``base_failed``, ``score`` and ``kept``."""
     keys = trusted_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    flagged = docs.join(small(keys, LABELS_TO_BROADCAST), "doc_id", "left").select("doc_id", "text", F.when(F.col("trusted"), "1").otherwise("0").alias("carried"))
-    n = max(16, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    packed = flagged.mapInArrow(lambda it: db.pack_documents(it, n), db.PACKED)
-    answers = cut(packed.groupBy("block").applyInArrow(lambda t: _ask(t, buckets, n), _ASKS).groupBy("part").applyInArrow(_answer, _ANSWERS))
-    sums = answers.agg(F.sum("all_raw").alias("raw"), F.sum("all_trusted").alias("trusted")).first()
-    all_raw, all_good = sums.raw or 0, sums.trusted or 0
-
-    def rules(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        d = db.Documents(packed)
-        block = tb.Block(d.text, d.at, 0)
-        found, which, in_row = _grams(block, buckets)
-        ratios = np.zeros(len(found))
-        got = {r["part"]: r for r in answers.to_pylist()}
-        for p, r in db.by_bucket(db.bucket_of(found.view(np.uint64), n)):
-            ratios[r] = log_ratios(_numbers(got[p]["raw"]), _numbers(got[p]["trusted"]), all_raw, all_good, buckets, rare=rare)
-        raw = d.text.tobytes()
-        out = _rows_of(block, in_row, ratios[which], [raw[a:b] for a, b in zip(d.at[:-1], d.at[1:], strict=True)])
-        failed = (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > max_repeat_percent * out["n_words"])
-        out |= {"base_failed": failed, "kept": ~failed & (np.round(out["score"], 9) >= threshold)}
-        ids = pa.array([None if i == db.NO_ID else i for i in d.ids.tolist()], pa.int64())
-        return pa.table({"doc_id": ids} | {k: pa.array(v) for k, v in out.items()})
-
-    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rules, _ROWS)
+    flagged = docs.join(small(keys, LABELS_TO_BROADCAST), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    table = docs.sparkSession.sparkContext.broadcast(ratio_table(flagged, buckets, rare))  # 4 bytes a bucket, whatever the data
+
+    def rules(batches):
+        for batch in batches:
+            for block in tb.blocks(batch, "text"):
+                out = _rows_of(block, table.value)
+                failed = (out["n_words"] < min_words) | (100 * out["n_repeat_words"] > max_repeat_percent * out["n_words"])
+                out |= {"base_failed": failed, "kept": ~failed & (np.round(out["score"], 9) >= threshold)}
+                yield pa.record_batch({"doc_id": batch.column("doc_id").slice(block.first, block.n)} | {k: pa.array(v) for k, v in out.items()})
+
+    return docs.mapInArrow(rules, _ROWS)
