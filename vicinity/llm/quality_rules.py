@@ -41,6 +41,7 @@ LABELS_TO_BROADCAST = 1_000_000
 PART = 1 << 18
 _COUNTED = 1 << 31  # n-grams after which a task sends its counts, which are 32-bit numbers
 _COUNTS = "part long, found binary, raw binary, trusted binary"
+_SUMS = _COUNTS + ", all_raw long, all_trusted long"
 _ROWS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double, base_failed boolean, kept boolean"
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -103,7 +104,7 @@ def _sum(rows: pa.Table) -> pa.Table:
         for t, k in zip(total, ("raw", "trusted"), strict=True):
             t[at] += _numbers(row[k])
     found = np.flatnonzero(total[0])
-    return db.table_of([(rows.column("part")[0].as_py(), _planes(np.diff(found, prepend=0)), *(_planes(t[found]) for t in total))], _COUNTS)
+    return db.table_of([(rows.column("part")[0].as_py(), _planes(np.diff(found, prepend=0)), *(_planes(t[found]) for t in total), *(int(t.sum()) for t in total))], _SUMS)
 
 
 def log_ratios(raw: np.ndarray, good: np.ndarray, all_raw: int, all_good: int, buckets: int, smoothing: float = SMOOTHING, rare: float = 0.0) -> np.ndarray:
@@ -121,13 +122,12 @@ def log_ratios(raw: np.ndarray, good: np.ndarray, all_raw: int, all_good: int, b
 
 def ratio_table(flagged: DataFrame, buckets: int, rare: float) -> np.ndarray:
     """The log ratio of every bucket; ``flagged`` is (text, trusted)."""
-    parts = flagged.select("text", "trusted").mapInArrow(lambda it: _count(it, buckets), _COUNTS).groupBy("part").applyInArrow(_sum, _COUNTS).collect()
-    counts = {r["part"]: (np.cumsum(_numbers(r["found"])), _numbers(r["raw"]), _numbers(r["trusted"])) for r in parts}
-    all_raw, all_good = (sum(int(c[k].sum()) for c in counts.values()) for k in (1, 2))
+    parts = flagged.select("text", "trusted").mapInArrow(lambda it: _count(it, buckets), _COUNTS).groupBy("part").applyInArrow(_sum, _SUMS).collect()
+    all_raw, all_good = (sum(r[k] for r in parts) for k in ("all_raw", "all_trusted"))
     out = np.empty(buckets, np.float32)
-    out[:] = log_ratios(np.zeros(1), np.zeros(1), all_raw, all_good, buckets, rare=rare) if all_raw else 0
-    for part, (at, raw, good) in counts.items():
-        out[part * PART + at] = log_ratios(raw, good, all_raw, all_good, buckets, rare=rare)
+    out[:] = log_ratios(np.zeros(1), np.zeros(1), all_raw, all_good, buckets, rare=rare)[0] if all_raw else 0
+    for r in parts:
+        out[r["part"] * PART + np.cumsum(_numbers(r["found"]))] = log_ratios(_numbers(r["raw"]), _numbers(r["trusted"]), all_raw, all_good, buckets, rare=rare)
     return out
 
 
