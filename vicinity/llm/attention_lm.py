@@ -1,29 +1,29 @@
 """A causal self-attention language model, trained in numpy on subword ids, scores every text.
 
 Tokens are lower-cased words (runs of bytes other than ASCII white space) and one end a text; a
-public tokenizer splits words into subword ids, and an end is one more id. The model predicts
-each id from the ids before it: one head of masked attention over a window, with relative
-position weights, plus the last id directly. It gives a class, and the class's ids share its
-probability by their counts in the training documents: a proper distribution over the ids.
-Frequent ids are classes of their own; the others share classes by hash.
-
-Training is data parallel: all training documents are dealt to shards of about ``SHARD_IDS`` ids;
-each shard trains from the common parameters on each of its windows, and the mean of the shards'
-parameters is the next round's. What reaches the driver (one set of parameters, and counts by id)
-doesn't grow with the corpus.
-
-A token's probability is the product of its ids'; ``score`` is the text's. ``blend_score`` takes the
-mean (``MIX``) of it and, if the training documents have the token, of its share among their tokens,
-as smoothed below.
-
-Scoring cuts a document's ids into windows that overlap by ``CONTEXT``; a window scores the ids
-after its context, so each id is scored once. Beside the model's log10 probability of the text
-stands that of unigram counts smoothed with 0.1 over all training documents: blocks ask buckets
-for the counts of their distinct words, and nothing is left out.
-
-Null and empty texts are one end. Repeated rows get a row each and count each. A null doc_id is
-never held out. With no training documents, counts are 0 and the model is uniform over its
-classes. Empty tables give empty results.
+public tokenizer splits words into subword ids, and an end is one more id. The model predicts each
+id from the ids before it. A place's input is the embedding of the id before it plus one of the two ids before
+it (hashed to ``PAIR_ROWS`` rows); one head of masked attention with relative position weights over the
+window is added, and a two-level softmax gives the id's class: first its group, then the class within the group.
+Frequent ids have a class of their own, the others share classes by hash, and the ids of a class share its
+probability by their counts in the training documents. So each id's probability is proper: all ids' sum to 1 in any context.
+
+``score`` is the sum of the log10 probabilities of a text's ids, the end included: the model's alone.
+
+Training is data parallel and takes every training document, whole. The blocks of documents are dealt by hash
+to ``TURNS``, a small one first; in a turn each task trains from the common parameters on its own blocks, in windows that
+don't overlap, and the mean of the tasks' parameters is the next turn's (embedding rows weighted by how often
+each task met them). Corpora of fewer than ``LEAST_IDS`` ids are passed over several times. What reaches the
+driver (one set of parameters, and counts by id) doesn't grow with the corpus.
+
+Scoring cuts a document's ids into windows that overlap by ``CONTEXT``; a window scores the ids after its
+context, so each id is scored once. Beside it stands ``base_score``, that of unigram counts smoothed with
+0.1 over all training documents: blocks ask buckets for the counts of their distinct words, and nothing is left out.
+
+Texts are tokenised once and whole, however long; their ids are kept in the checkpoint folder. Null and empty texts
+are one end. Repeated rows get a row each and count each; ties in frequency go to the lower id. A null
+doc_id is never held out. With no training documents, counts are 0 and the model is as it starts. Empty tables give
+empty results. Other columns of ``docs`` are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +41,29 @@ from vicinity.llm import docblocks as db
 from vicinity.llm import textblocks as tb
 from vicinity.llm.shared import cut
 
-CONTEXT, SCORED = 32, 32
-WIDTH = 16
-OWN_CLASSES, SHARED_CLASSES = 192, 64
-HASHED_ROWS = 2048
-ROUNDS, STEPS, WINDOWS_A_STEP = 2, 400, 64
-RATE = 0.01
-SHARD_IDS = 1 << 20
-BLOCK_BYTES = 3 << 20
+CONTEXT, WINDOW = 8, 32
+WIDTH, KEY_WIDTH = 16, 8
+GROUPS, MEMBERS = 32, 32
+CLASSES = GROUPS * MEMBERS
+SHARED_CLASSES = 64
+PAIR_ROWS = 1 << 14
+WINDOWS_A_STEP = 256
+RATE, ROW_RATE = 0.01, 0.1
+TURNS = (1, 3, 12)  # of 16 parts of the blocks
+LEAST_IDS = 4_000_000
+TASK_IDS = 1 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_WORDS = 1 << 21
 ALPHA = 0.1
-MIX = 0.5
-_LOG2_10 = float(np.log2(10))
 _END = np.uint64(0xE4D0E4D0E4D0E4D1)  # the end's word hash
+_BLOCKS = "block long, turn int, ids long, words long, docs binary, sizes binary, tokens binary, subwords binary, which binary, hashes binary, counts binary"
 _ASKS = "bucket long, block long, hashes binary, counts binary"
 _ANSWERS = "block long, bucket long, counts binary, tokens long, types long"
-_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double, blend_score double"
-_PARAMETERS = ("emb", "wq", "wk", "wv", "wo", "rel", "w", "b")
+_SCORED = "block long, docs binary, tokens binary, scores binary, which binary, hashes binary"
+_PIECES = "name string, piece long, weights binary, rows binary"
+_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+_MASKED = np.float32(-1e9)
+_HIGHEST = np.float32(60)
 
 
 def is_held_out(ids: np.ndarray) -> np.ndarray:
@@ -137,280 +145,393 @@ class Tokens:
         self.ids_at = self.token_at[self.at]
 
 
-def id_counts(docs: DataFrame, shared, size: int) -> DataFrame:
-    """(id, n): subword ids in the training documents; one partial row an id and task."""
+def _planes(values: np.ndarray, kind: type) -> bytes:
+    """Numbers packed byte by byte, so that their empty high bytes cost nothing."""
+    return db.pack(np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(len(values), -1).T).tobytes())
 
-    def count(batches):
-        subwords, out = _subwords(shared), np.zeros(size, np.int64)
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(db.NO_ID).to_numpy(zero_copy_only=False)
-            train = ~is_held_out(ids)
-            part = batch.filter(pa.array(train))
-            for block in tb.blocks(part, "text", 4 << 20):
-                out += np.bincount(Tokens(block, subwords).ids, minlength=size)
-        some = np.flatnonzero(out)
-        yield pa.record_batch({"id": pa.array(some), "n": pa.array(out[some])})
-
-    return docs.select("doc_id", "text").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-class Vocabulary:
-    """Class, embedding row and log share of its class of each id."""
-
-    def __init__(self, counts: np.ndarray):
-        n = len(counts)
-        mixed = tb.mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
-        own = np.argsort(-counts, kind="stable")[:OWN_CLASSES]
-        self.classes = (OWN_CLASSES + (mixed % np.uint64(SHARED_CLASSES)).astype(np.int64)).astype(np.int16)
-        self.rows = (OWN_CLASSES + (mixed % np.uint64(HASHED_ROWS)).astype(np.int64)).astype(np.int32)
-        self.classes[own] = self.rows[own] = np.arange(len(own))
-        smooth = counts + 0.5
-        total = np.bincount(self.classes, smooth, minlength=OWN_CLASSES + SHARED_CLASSES)
-        self.log_share = np.log(smooth / total[self.classes]).astype(np.float32)
-        self.log_class = np.log(np.maximum(total, 0.5) / total.sum()).astype(np.float32)
 
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(db.unpack(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def start(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(11)
-    d, c = WIDTH, OWN_CLASSES + SHARED_CLASSES
-    square = lambda m, n: rng.normal(0, m**-0.5, (m, n)).astype(np.float32)
-    return {"emb": rng.normal(0, 0.3, (OWN_CLASSES + HASHED_ROWS, d)).astype(np.float32), "wq": square(d, d), "wk": square(d, d), "wv": square(d, d),
-            "wo": square(d, d), "rel": np.zeros(CONTEXT + SCORED, np.float32), "w": square(d, c) * np.float32(0.3), "b": vocabulary.log_class.copy()}
-
-
-_OFFSET = (np.arange(SCORED)[:, None] + CONTEXT) - np.arange(CONTEXT + SCORED)[None, :]
-
-
-def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
-    """Class logits (B, SCORED, C) of windows of embedding rows (B, CONTEXT + SCORED; -1 before a text's start), and what training needs."""
-    e = p["emb"][np.maximum(x, 0)]
-    xq = e[:, CONTEXT:]
-    q, k, v = xq @ p["wq"], e @ p["wk"], e @ p["wv"]
-    s = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
-    s += np.where(_OFFSET >= 0, p["rel"][np.maximum(_OFFSET, 0)], np.float32(-1e9))
-    if (x < 0).any():
-        s += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-    a = s if s.max() < 60 and (x[:, CONTEXT] >= 0).all() else s - s.max(2, keepdims=True)  # a window without targets has no inputs
-    a = np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    o = a @ v
-    h = xq + o @ p["wo"]
-    z = h.reshape(-1, WIDTH) @ p["w"]
-    z += p["b"]
-    return z.reshape(*h.shape[:2], -1), (e, xq, q, k, v, a, o, h)
 
+def encode(docs: DataFrame, shared, block_bytes: int) -> DataFrame:
+    """``_BLOCKS``: documents in blocks, with their subword ids, distinct words and which word each token is."""
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+    def apply(batches):
+        subwords, number = _subwords(shared), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            ids = batch.column("doc_id").fill_null(db.NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            for block in tb.blocks(batch, "text", block_bytes):
+                t = Tokens(block, subwords)
+                mine = ids[block.first : block.first + block.n]
+                counts = np.bincount(t.which[~is_held_out(mine)[t.rows]], minlength=len(t.hashes))
+                part = int(tb.mix(np.array([number + 1], np.uint64))[0] % np.uint64(sum(TURNS)))
+                turn = int(np.searchsorted(np.cumsum(TURNS), part, "right"))
+                row = (number, turn, len(t.ids), len(t.hashes), mine.tobytes(), _planes(np.diff(t.ids_at), np.int64), _planes(np.diff(t.at), np.int64), _planes(t.ids, np.int32), _planes(t.which, np.int32), _planes(np.diff(t.hashes, prepend=np.uint64(0)), np.uint64), _planes(counts, np.int64))
+                yield db.table_of([row], _BLOCKS).to_batches()[0]
+                number += 1
 
+    return docs.select("doc_id", "text").mapInArrow(apply, _BLOCKS)
 
-def windows(ids: np.ndarray, ids_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of each window's inputs and targets among the ids; -1 where there are none, and an input before a text's first id is the end (-2)."""
-    n = np.diff(ids_at)
-    count = -(-n // SCORED)
-    text = np.repeat(np.arange(len(n)), count)
-    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    target = number[:, None] * SCORED + np.arange(SCORED)
-    target = np.where(target < n[text][:, None], target + ids_at[:-1][text][:, None], -1)
-    place = number[:, None] * SCORED - CONTEXT - 1 + np.arange(CONTEXT + SCORED)
-    source = np.where(place >= 0, np.minimum(place, (n[text] - 1)[:, None]) + ids_at[:-1][text][:, None], np.where(place == -1, -2, -1))
-    return source, target
 
+def _training(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a block's training documents, and where each document's begin."""
+    sizes, ids = _numbers(row["sizes"], np.int64), _numbers(row["subwords"], np.int32)
+    train = ~is_held_out(np.frombuffer(row["docs"], np.int64))
+    return ids[np.repeat(train, sizes)], np.concatenate([[0], np.cumsum(sizes[train])])
 
-def _inputs(source: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Embedding rows of places; ``rows`` are those of all ids, then the end's (place -2) and -1 (place -1)."""
-    return rows[source]
 
+def _rows_of(batches):
+    for batch in batches:
+        yield from batch.to_pylist()
 
-def _rows(ids: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    return np.concatenate([vocabulary.rows[ids], [vocabulary.rows[-1], -1]]).astype(np.int32)
 
+def id_counts(blocks: DataFrame, size: int) -> DataFrame:
+    """(id, n): subword ids in the training documents."""
 
-def log_probabilities(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.ndarray, batch: int = 48) -> np.ndarray:
-    """Natural log probability of each id given those before it in its text."""
-    out = np.zeros(len(ids))
-    source, target = windows(ids, ids_at)
-    rows = _rows(ids, vocabulary)
-    for i in range(0, len(source), batch):
-        t = target[i : i + batch]
-        z, _ = forward(p, _inputs(source[i : i + batch], rows))
-        if z.max() > 60:
-            z -= z.max(2, keepdims=True)
-        b, s = np.nonzero(t >= 0)
-        at = t[b, s]
-        chosen = z[b, s, vocabulary.classes[ids[at]]]
-        out[at] = chosen - np.log(np.exp(z, out=z).sum(2))[b, s] + vocabulary.log_share[ids[at]]
-    return out
+    def count(batches):
+        out = np.zeros(size, np.int64)
+        for row in _rows_of(batches):
+            out += np.bincount(_training(row)[0], minlength=size)
+        some = np.flatnonzero(out)
+        yield pa.record_batch({"id": pa.array(some), "n": pa.array(out[some])})
 
+    return blocks.select("docs", "sizes", "subwords").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
-def gradients(p: dict, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean cross entropy of the classes y (-1: none) of windows x."""
-    z, (e, xq, q, k, v, a, o, h) = forward(p, x)
-    g = np.exp(_log_softmax(z))
-    b, s = np.nonzero(y >= 0)
-    g[b, s, y[b, s]] -= 1
-    g[y < 0] = 0
-    g /= max(len(b), 1)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    dx = g @ p["w"].T
-    do = dx @ p["wo"].T
-    da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    scale = np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale
-    de = dk @ p["wk"].T + dv @ p["wv"].T
-    de[:, CONTEXT:] += dx + dq @ p["wq"].T
-    ok = x >= 0
-    emb = np.column_stack([np.bincount(x[ok], de[..., j][ok], minlength=len(p["emb"])) for j in range(WIDTH)])
-    rel = np.bincount(np.maximum(_OFFSET, 0).ravel(), np.where(_OFFSET >= 0, ds.sum(0), 0).ravel(), minlength=CONTEXT + SCORED)
-    return {"emb": emb, "wq": flat(xq).T @ flat(dq), "wk": flat(e).T @ flat(dk), "wv": flat(e).T @ flat(dv), "rel": rel,
-            "wo": flat(o).T @ flat(dx), "w": flat(h).T @ flat(g), "b": flat(g).sum(0)}
-
-
-def train_shard(p: dict, vocabulary: Vocabulary, ids: np.ndarray, ids_at: np.ndarray, steps: int | None = None, rate: float = RATE, seed: int = 3) -> dict:
-    """Parameters after ``steps`` steps; if None, as many as take every window once, and ``STEPS`` at least."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    source, target = windows(ids, ids_at)
-    rows = _rows(ids, vocabulary)
-    classes = np.where(target >= 0, vocabulary.classes[ids[np.maximum(target, 0)]], -1)
-    order = np.random.default_rng(seed).permutation(len(source))
-    steps = max(STEPS, -(-len(order) // WINDOWS_A_STEP)) if steps is None else steps
-    for step in range(1, steps + 1):
-        at = order[np.arange((step - 1) * WINDOWS_A_STEP, step * WINDOWS_A_STEP) % len(order)]
-        now = rate * (1 - 0.9 * step / steps)
-        for k, g in gradients(p, _inputs(source[at], rows), classes[at]).items():
-            g = g.astype(np.float32)
-            m[k] += 0.1 * (g - m[k])
-            s[k] += 0.01 * (g * g - s[k])
-            p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-8)
-    return p
 
+class Vocabulary:
+    """The class of each id, its log share of the class, and the classes' shares."""
 
-def _packed(ids: np.ndarray) -> bytes:
-    return db.pack(np.ascontiguousarray(ids.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes())
+    def __init__(self, counts: np.ndarray):
+        n, own = len(counts), CLASSES - SHARED_CLASSES
+        mixed = tb.mix(np.arange(n, dtype=np.uint64) + np.uint64(1))
+        top = np.argsort(-counts, kind="stable")[:own]
+        self.classes = (own + (mixed % np.uint64(SHARED_CLASSES)).astype(np.int64)).astype(np.int16)
+        self.classes[top] = np.arange(len(top))
+        smooth = counts + 0.5
+        total = np.bincount(self.classes, smooth, minlength=CLASSES)
+        self.log_share = np.log(smooth / total[self.classes]).astype(np.float32)
+        total = np.maximum(total, 0.5).reshape(GROUPS, MEMBERS)
+        self.log_group = np.log(total.sum(1) / total.sum()).astype(np.float32)
+        self.log_member = np.log(total / total.sum(1, keepdims=True)).astype(np.float32)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(db.unpack(data), np.uint8).reshape(4, -1).T).view(np.int32).ravel().astype(np.int64)
+#: Parameters that are tables of embedding rows; the others are dense.
+_TABLES = ("one", "two")
 
 
-def _fit(at, turn: int, steps: int | None):
-    """A shard's (n, key, ids) rows to its parameters in pieces; ``at`` is a broadcast (parameters, vocabulary)."""
+def start(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """one, two: embeddings of an id (the last row is a text's start) and of two; group, member: the softmax's levels."""
+    rng = np.random.default_rng(11)
+    d, normal = WIDTH, lambda sd, *shape: rng.normal(0, sd, shape).astype(np.float32)
+    return {"one": normal(0.1, CLASSES + 1, d), "two": normal(0.02, PAIR_ROWS, d), "wq": normal(d**-0.5, d, KEY_WIDTH), "wk": normal(d**-0.5, d, KEY_WIDTH),
+            "wv": normal(d**-0.5, d, d), "wo": normal(0.1 * d**-0.5, d, d), "rel": np.zeros(WINDOW, np.float32), "group": normal(0.3 * d**-0.5, d, GROUPS),
+            "group_b": vocabulary.log_group.copy(), "member": normal(0.3 * d**-0.5, GROUPS, d, MEMBERS), "member_b": vocabulary.log_member.copy()}
+
+
+class Windows:
+    """Texts' ids in windows of ``WINDOW`` places, of which the first ``context`` are only read."""
+
+    def __init__(self, classes: np.ndarray, at: np.ndarray, context: int):
+        self.context, self.classes, self.at = context, classes, at
+        n = np.diff(at)
+        some = at[:-1][n > 0]
+        last = np.empty(len(classes), np.int64)  # the id before each place
+        last[1:], last[some] = classes[:-1], CLASSES
+        before = np.empty_like(last)
+        before[1:], before[some] = last[:-1], CLASSES
+        self.one = last.astype(np.int16)
+        self.two = (tb.mix((before * (CLASSES + 1) + last).astype(np.uint64) + np.uint64(7)) % np.uint64(PAIR_ROWS)).astype(np.int16)
+        scored = WINDOW - context
+        count = -(-n // scored)
+        self.text = np.repeat(np.arange(len(n)), count)
+        number = np.arange(len(self.text)) - np.repeat(np.cumsum(count) - count, count)
+        self.begin = number * scored - context
+        self.end = n[self.text]
+
+    def __len__(self) -> int:
+        return len(self.text)
+
+    def places(self, chosen) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen windows' places among all ids, and whether each is in its text."""
+        place = self.begin[chosen][:, None] + np.arange(WINDOW)
+        ok = (place >= 0) & (place < self.end[chosen][:, None])
+        return np.where(ok, place + self.at[:-1][self.text[chosen]][:, None], 0), ok
+
+
+def _offsets(context: int) -> np.ndarray:
+    return np.arange(context, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+
+
+def _with_ones(x: np.ndarray, last: np.ndarray | float = 1.0) -> np.ndarray:
+    out = np.empty((*x.shape[:2], x.shape[2] + 1), np.float32)
+    out[:, :, :-1], out[:, :, -1] = x, last
+    return out
 
-    def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("n", "ascending"), ("ids", "ascending")])
-        n = table.column("n").to_numpy()
-        ids = np.concatenate([_unpacked(x.as_py()) for x in table.column("ids")])
-        got = train_shard(*at.value, ids, np.concatenate([[0], np.cumsum(n)]), steps, seed=turn)
-        flat = np.concatenate([got[k].ravel() for k in _PARAMETERS]).astype(np.float32)
-        cuts = range(0, len(flat), 512)
-        return db.table_of([(i, float(n.sum()), flat[i : i + 512].tobytes()) for i in cuts], "piece long, weight double, values binary")
 
-    return fit
+def forward(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, ok: np.ndarray, context: int) -> tuple:
+    """States (windows x scored places, WIDTH) from rows of the tables (windows, WINDOW), and what training needs."""
+    n, d = len(one), WIDTH
+    e = p["one"].take(one, 0)
+    e += p["two"].take(two, 0)
+    flat = e.reshape(-1, d)
+    x = np.ascontiguousarray(e[:, context:])
+    q = (x.reshape(-1, d) @ (p["wq"] * np.float32(KEY_WIDTH**-0.5))).reshape(n, -1, KEY_WIDTH)
+    k, v = (flat @ p["wk"]).reshape(n, WINDOW, -1), (flat @ p["wv"]).reshape(n, WINDOW, -1)
+    s = q @ k.transpose(0, 2, 1)
+    off = _offsets(context)
+    s += np.where(off >= 0, p["rel"][np.maximum(off, 0)], _MASKED)
+    if context and not ok.all():
+        s += np.where(ok, np.float32(0), _MASKED)[:, None, :]
+    if s.max() > _HIGHEST:
+        s -= s.max(2, keepdims=True)
+    a = np.exp(s, out=s)
+    v = _with_ones(v)
+    o = a @ v
+    r = 1 / (o[:, :, d:] + np.float32(1e-30))
+    o = o[:, :, :d] * r
+    return x.reshape(-1, d) + o.reshape(-1, d) @ p["wo"], (e, x, q, k, v, a, o, r)
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    if z.size and z.max() > _HIGHEST:
+        z -= z.max(1, keepdims=True)
+    return np.exp(z, out=z)
+
+
+def class_log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, train: bool) -> tuple:
+    """Log probability of class y in each state h; in training also the gradients of their mean's negative."""
+    n = len(y)
+    group = y // np.int16(MEMBERS)
+    order = np.argsort(group, kind="stable")  # 16-bit numbers: a radix sort
+    back = np.empty_like(order)
+    back[order] = np.arange(n)
+    hs, at_group = h.take(order, 0), np.arange(0, n * GROUPS, GROUPS) + group
+    at_member = np.arange(0, n * MEMBERS, MEMBERS) + (y - group * np.int16(MEMBERS)).take(order)
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
+    spans = [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    z = h @ p["group"]
+    z += p["group_b"]
+    eg = _exp(z)
+    z = np.empty((n, MEMBERS), np.float32)
+    for g, a, b in spans:
+        np.matmul(hs[a:b], p["member"][g], out=z[a:b])
+        z[a:b] += p["member_b"][g]
+    em = _exp(z)
+    sg, sm = eg @ np.ones(GROUPS, np.float32), em @ np.ones(MEMBERS, np.float32)
+    out = np.log(eg.ravel().take(at_group) / sg)
+    out += np.log(em.ravel().take(at_member) / sm).take(back)
+    if not train:
+        return out, None, None
+    eg *= (np.float32(1 / n) / sg)[:, None]
+    eg.ravel()[at_group] -= np.float32(1 / n)
+    em *= (np.float32(1 / n) / sm)[:, None]
+    em.ravel()[at_member] -= np.float32(1 / n)
+    ds, dm, db_ = np.empty_like(hs), np.zeros_like(p["member"]), np.zeros_like(p["member_b"])
+    for g, a, b in spans:
+        np.matmul(em[a:b], p["member"][g].T, out=ds[a:b])
+        np.matmul(hs[a:b].T, em[a:b], out=dm[g])
+        db_[g] = em[a:b].sum(0)
+    dh = eg @ p["group"].T
+    dh += ds.take(back, 0)
+    return out, dh, {"group": h.T @ eg, "group_b": eg.sum(0), "member": dm, "member_b": db_}
+
+
+def _row_sums(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of d by row, and how many each has."""
+    order = np.argsort(rows, kind="stable")
+    r = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    return r[first], np.add.reduceat(d.take(order, 0), first, axis=0), np.diff(first, append=len(r))
+
+
+def gradients(p: dict[str, np.ndarray], w: Windows, chosen) -> tuple[dict, dict]:
+    """Of the mean cross entropy of the classes in the chosen windows: dense ones, and (rows, sums, counts) of the tables."""
+    place, ok = w.places(chosen)
+    one, two = w.one[place], w.two[place]
+    h, (e, x, q, k, v, a, o, r) = forward(p, one, two, ok, w.context)
+    d, target = WIDTH, ok[:, w.context :].ravel()
+    y = w.classes[place[:, w.context :]].ravel()
+    if target.all():
+        _, dh, g = class_log_probabilities(p, h, y, True)
+    else:
+        _, some, g = class_log_probabilities(p, h[target], y[target], True)
+        dh = np.zeros_like(h)
+        dh[target] = some
+    flat = lambda t: t.reshape(-1, t.shape[-1])
+    g["wo"] = flat(o).T @ dh
+    do = (dh @ p["wo"].T).reshape(o.shape) * r
+    ds = _with_ones(do, -(flat(do * o) @ np.ones(d, np.float32)).reshape(o.shape[:2])) @ v.transpose(0, 2, 1)
+    dv = flat(a.transpose(0, 2, 1) @ do)
+    ds *= a
+    dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
+    scale = np.float32(KEY_WIDTH**-0.5)
+    off = _offsets(w.context)
+    g["rel"] = np.bincount(np.maximum(off, 0).ravel(), np.where(off >= 0, ds.sum(0), 0).ravel(), minlength=WINDOW).astype(np.float32)
+    g |= {"wq": flat(x).T @ dq * scale, "wk": flat(e).T @ dk, "wv": flat(e).T @ dv}
+    de = (dk @ p["wk"].T + dv @ p["wv"].T).reshape(e.shape)
+    de[:, w.context :] += (dh + (dq @ p["wq"].T) * scale).reshape(o.shape)
+    de, read = flat(de), ok.ravel()
+    if not read.all():
+        de, one, two = de[read], one.ravel()[read], two.ravel()[read]
+    return g, {"one": _row_sums(one.ravel(), de), "two": _row_sums(two.ravel(), de)}
+
+
+class Trainer:
+    """Parameters on their way: Adam for the dense ones, Adagrad by row for the tables."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.mean, self.square = ({k: np.zeros_like(v) for k, v in p.items() if k not in _TABLES} for _ in range(2))
+        self.rows = {k: np.full(len(p[k]), 1e-10, np.float32) for k in _TABLES}
+        self.met = {k: np.zeros(len(p[k])) for k in _TABLES}
+        self.steps, self.ids = 0, 0
+
+    def step(self, w: Windows, chosen) -> None:
+        self.steps += 1
+        dense, tables = gradients(self.p, w, chosen)
+        slower = 1 / (1 + self.steps / 1000)
+        for k, g in dense.items():
+            m, s = self.mean[k], self.square[k]
+            m += np.float32(0.1) * (g - m)
+            s += np.float32(0.01) * (g * g - s)
+            self.p[k] -= np.float32(RATE * slower / (1 - 0.9**self.steps)) * m / (np.sqrt(s / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
+        for k, (rows, g, met) in tables.items():
+            s = self.rows[k]
+            s[rows] += (g * g) @ np.full(WIDTH, 1 / WIDTH, np.float32)
+            g *= (np.float32(ROW_RATE * slower) / np.sqrt(s[rows]))[:, None]
+            self.p[k][rows] -= g
+            self.met[k][rows] += met
+
+    def learn(self, vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray, seed: int) -> None:
+        """Takes every window of these texts once."""
+        w = Windows(vocabulary.classes[ids], at, 0)
+        order = np.random.default_rng(seed).permutation(len(w))
+        for i in range(0, len(order), WINDOWS_A_STEP):
+            self.step(w, order[i : i + WINDOWS_A_STEP])
+        self.ids += len(ids)
+
+
+def _pieces(t: Trainer) -> pa.Table:
+    """A task's parameters by piece, with the rows' weights."""
+    out = []
+    for k, v in t.p.items():
+        rows = v if k in _TABLES else v.reshape(1, -1)
+        weight = t.met[k] + 1e-6 if k in _TABLES else np.array([t.ids + 1e-6])
+        out += [(k, i, weight[i : i + 512].astype(np.float32).tobytes(), rows[i : i + 512].tobytes()) for i in range(0, len(rows), 512)]
+    return db.table_of(out, _PIECES)
 
 
 def _mean(table: pa.Table) -> pa.Table:
-    """The mean of the shards' values of one piece, weighted by their ids."""
-    w = table.column("weight").to_numpy()
-    values = np.zeros(1)
-    for x, y in zip(table.column("values"), (w / w.sum()).tolist(), strict=True):
-        values = values + np.frombuffer(x.as_py(), np.float32) * y
-    return db.table_of([(table.column("piece")[0].as_py(), values.astype(np.float32).tobytes())], "piece long, values binary")
-
-
-def train(docs: DataFrame, shared, vocabulary: Vocabulary, *, share: float = 1.0, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS, steps: int | None = None) -> dict[str, np.ndarray]:
-    """Parameters after ``rounds`` rounds of training on ``share`` of the training documents."""
-    spark = docs.sparkSession
-
-    def encode(batches):
-        subwords = _subwords(shared)
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(db.NO_ID).to_numpy(zero_copy_only=False)
-            chosen = ~is_held_out(ids)
-            if share < 1:
-                chosen &= tb.mix(ids.view(np.uint64) + np.uint64(77)) < np.uint64(int(share * 2**64))
-            for block in tb.blocks(batch.filter(pa.array(chosen)), "text"):
-                t = Tokens(block, subwords)
-                yield pa.record_batch({"n": pa.array(np.diff(t.ids_at)), "key": pa.array(tb.mix(t.ids_at[1:].astype(np.uint64) * np.uint64(2654435761)).view(np.int64)), "ids": pa.array([_packed(t.ids[a:b]) for a, b in zip(t.ids_at[:-1], t.ids_at[1:], strict=True)], pa.binary())})
-
-    rows = cut(docs.select("doc_id", "text").mapInArrow(encode, "n long, key long, ids binary"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    p = start(vocabulary)
-    if not total:
-        return p
-    shards = max(1, -(-total // shard_ids))
-    dealt = rows.withColumn("shard", F.pmod("key", F.lit(shards)))
-    shapes = {k: p[k].shape for k in _PARAMETERS}
-    for turn in range(rounds):
-        at = spark.sparkContext.broadcast((p, vocabulary))
-
-        pieces = dealt.groupBy("shard").applyInArrow(_fit(at, turn, steps), "piece long, weight double, values binary").groupBy("piece").applyInArrow(_mean, "piece long, values binary").orderBy("piece").collect()
-        flat, p, i = np.frombuffer(b"".join(bytes(r["values"]) for r in pieces), np.float32), {}, 0
-        for k in _PARAMETERS:
-            size = int(np.prod(shapes[k]))
-            p[k], i = flat[i : i + size].reshape(shapes[k]).copy(), i + size
+    """The weighted mean of the tasks' rows of one piece."""
+    total, weights = 0.0, 0.0
+    for r in table.to_pylist():
+        w = np.frombuffer(r["weights"], np.float32).astype(np.float64)
+        total = total + np.frombuffer(r["rows"], np.float32).reshape(len(w), -1) * w[:, None]
+        weights = weights + w
+    return db.table_of([(r["name"], r["piece"], weights.astype(np.float32).tobytes(), (total / weights[:, None]).astype(np.float32).tobytes())], _PIECES)
+
+
+def train(blocks: DataFrame, vocabulary: Vocabulary, *, least_ids: int = LEAST_IDS, task_ids: int = TASK_IDS) -> dict[str, np.ndarray]:
+    """Parameters after all turns over ``_BLOCKS``."""
+    spark, p = blocks.sparkSession, start(vocabulary)
+    ids = {r["turn"]: r["ids"] for r in blocks.groupBy("turn").agg(F.sum("ids").alias("ids")).collect()}
+    passes = max(1, -(-least_ids // max(1, sum(ids.values()))))
+    for turn in sorted(ids):
+        at = spark.sparkContext.broadcast((p, vocabulary))  # its size doesn't depend on the data
+
+        def fit(batches, at=at, turn=turn):
+            trainer, kept = Trainer(at.value[0]), []
+            for row in _rows_of(batches):
+                got = _training(row)
+                trainer.learn(at.value[1], *got, seed=turn)
+                if passes > 1:  # then the whole corpus is small
+                    kept.append(got)
+            for again in range(1, passes):
+                for got in kept:
+                    trainer.learn(at.value[1], *got, seed=again * 100 + turn)
+            yield from _pieces(trainer).to_batches()
+
+        rows = blocks.where(F.col("turn") == turn).select("docs", "sizes", "subwords").coalesce(max(1, -(-ids[turn] // task_ids)))
+        pieces = rows.mapInArrow(fit, _PIECES).groupBy("name", "piece").applyInArrow(_mean, _PIECES).orderBy("name", "piece").collect()
+        p = {k: np.frombuffer(b"".join(bytes(r["rows"]) for r in pieces if r["name"] == k), np.float32).reshape(v.shape).copy() for k, v in p.items()}
     return p
 
 
-def _ask(packed: pa.Table, buckets: int) -> pa.Table:
-    docs = db.Documents(packed)
-    block = tb.Block(docs.text, docs.at, 0)
-    t = Tokens(block, None)
-    counts = np.bincount(t.which[~is_held_out(docs.ids)[t.rows]], minlength=len(t.hashes))
-    at = packed.column("block")[0].as_py()
-    return db.table_of([(b, at, t.hashes[r].tobytes(), db.pack(counts[r].tobytes())) for b, r in db.by_bucket(db.bucket_of(t.hashes, buckets))], _ASKS)
+def log_probabilities(p: dict, vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray, batch: int = WINDOWS_A_STEP) -> np.ndarray:
+    """Natural log probability of each id given those before it in its text."""
+    out = np.zeros(len(ids))
+    w = Windows(vocabulary.classes[ids], at, CONTEXT)
+    for i in range(0, len(w), batch):
+        place, ok = w.places(slice(i, i + batch))
+        h, _ = forward(p, w.one[place], w.two[place], ok, CONTEXT)
+        target = ok[:, CONTEXT:].ravel()
+        where = place[:, CONTEXT:].ravel()
+        if not target.all():
+            h, where = h[target], where[target]
+        out[where] = class_log_probabilities(p, h, w.classes[where], False)[0]
+    return out + vocabulary.log_share[ids]
+
+
+def _ask(batches, buckets: int):
+    """Each block's distinct words and their counts in its training documents, by bucket."""
+    for row in _rows_of(batches):
+        hashes, counts = np.cumsum(_numbers(row["hashes"], np.uint64), dtype=np.uint64), _numbers(row["counts"], np.int64)
+        out = [(b, row["block"], _planes(np.diff(hashes[r], prepend=np.uint64(0)), np.uint64), _planes(counts[r], np.int64)) for b, r in db.by_bucket(db.bucket_of(hashes, buckets))]
+        yield from db.table_of(out, _ASKS).to_batches()
 
 
 def _answer(rows: pa.Table) -> pa.Table:
     parts = rows.to_pylist()
-    hashes = [np.frombuffer(r["hashes"], np.uint64) for r in parts]
+    hashes = [np.cumsum(_numbers(r["hashes"], np.uint64), dtype=np.uint64) for r in parts]
     _, which = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(which, np.concatenate([np.frombuffer(db.unpack(r["counts"]), np.int64) for r in parts])).astype(np.int64)
+    total = np.bincount(which, np.concatenate([_numbers(r["counts"], np.int64) for r in parts])).astype(np.int64)
     at = np.cumsum([0, *map(len, hashes)])
-    out = [(r["block"], r["bucket"], db.pack(total[which[a:b]].tobytes()), 0, 0) for r, a, b in zip(parts, at[:-1], at[1:], strict=True)]
+    out = [(r["block"], r["bucket"], _planes(total[which[a:b]], np.int64), 0, 0) for r, a, b in zip(parts, at[:-1], at[1:], strict=True)]
     out[0] = (*out[0][:3], int(total.sum()), int((total > 0).sum()))
     return db.table_of(out, _ANSWERS)
 
 
-def score(docs: DataFrame, ranks: bytes, pattern: str, *, block_bytes: int = BLOCK_BYTES, alpha: float = ALPHA, mix: float = MIX, **options) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and blend_score of every row of ``docs`` (doc_id, text).
+def score(docs: DataFrame, ranks: bytes, pattern: str, *, block_bytes: int = BLOCK_BYTES, bucket_words: int = BUCKET_WORDS, alpha: float = ALPHA, **options) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
 
     ``ranks`` are the lines of a byte-pair vocabulary, ``pattern`` its pre-tokenisation.
     """
     sc = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     words = Subwords(ranks, pattern)
     shared = sc.broadcast((ranks, pattern))  # a vocabulary file: its size doesn't depend on the data
+    blocks = cut(encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shared, block_bytes))
     counts = np.zeros(words.size)
-    for row in id_counts(docs, shared, words.size).toArrow().to_pylist():
+    for row in id_counts(blocks, words.size).toArrow().to_pylist():
         counts[row["id"]] = row["n"]
     vocabulary = Vocabulary(counts)
-    model = sc.broadcast((train(docs, shared, vocabulary, **options), vocabulary))
-    n = max(16, -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    packed = docs.mapInArrow(lambda it: db.pack_documents(it, n), db.PACKED)
-    answers = cut(packed.groupBy("block").applyInArrow(lambda t: _ask(t, n), _ASKS).groupBy("bucket").applyInArrow(_answer, _ANSWERS))
+    model = sc.broadcast((train(blocks, vocabulary, **options), vocabulary))
+    buckets = max(16, -(-(blocks.agg(F.sum("words")).first()[0] or 0) // bucket_words))
+    asks = blocks.select("block", "hashes", "counts").mapInArrow(lambda it: _ask(it, buckets), _ASKS)
+    answers = cut(asks.groupBy("bucket").applyInArrow(_answer, _ANSWERS))
     known = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     tokens, types = known.tokens or 0, known.types or 0
 
-    def apply(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        d = db.Documents(packed)
-        t = Tokens(tb.Block(d.text, d.at, 0), _subwords(shared))
-        c = np.zeros(len(t.hashes), np.int64)
-        bucket = db.bucket_of(t.hashes, n)
+    def model_scores(batches):
+        for row in _rows_of(batches):
+            ids, at = _numbers(row["subwords"], np.int32), np.concatenate([[0], np.cumsum(_numbers(row["sizes"], np.int64))])
+            scores = np.add.reduceat(log_probabilities(*model.value, ids, at), at[:-1]) / np.log(10)  # a text has one id at least
+            yield from db.table_of([(row["block"], row["docs"], row["tokens"], scores.tobytes(), row["which"], row["hashes"])], _SCORED).to_batches()
+
+    def finish(scored: pa.Table, answers: pa.Table) -> pa.Table:
+        row = scored.to_pylist()[0]
+        hashes, which, n = np.cumsum(_numbers(row["hashes"], np.uint64), dtype=np.uint64), _numbers(row["which"], np.int32), _numbers(row["tokens"], np.int64)
+        c = np.zeros(len(hashes), np.int64)
         got = {r["bucket"]: r["counts"] for r in answers.to_pylist()}
-        for b, rows in db.by_bucket(bucket):
-            c[rows] = np.frombuffer(db.unpack(got[b]), np.int64)
-        each = np.log10((c + alpha) / (tokens + alpha * (types + 1)))[t.which]
-        base = np.bincount(t.rows, each, minlength=len(d.ids))
-        seen = np.bincount(t.rows, (c > 0)[t.which], minlength=len(d.ids)).astype(np.int64)
-        attention = np.add.reduceat(log_probabilities(*model.value, t.ids, t.ids_at), t.token_at[:-1]) / np.log(10)
-        mixed = np.where((c > 0)[t.which], np.logaddexp2(np.log2(mix) + attention * _LOG2_10, np.log2(1 - mix) + each * _LOG2_10) / _LOG2_10, np.log10(mix) + attention)
-        model_score, blend = (np.bincount(t.rows, x, minlength=len(d.ids)) for x in (attention, mixed))
-        ids = pa.array([None if i == db.NO_ID else i for i in d.ids.tolist()], pa.int64())
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(np.diff(t.at)), "n_known": pa.array(seen), "base_score": pa.array(base), "score": pa.array(model_score), "blend_score": pa.array(blend)})
-
-    scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, _SCORES)
+        for b, r in db.by_bucket(db.bucket_of(hashes, buckets)):
+            c[r] = _numbers(got[b], np.int64)
+        first = np.cumsum(n) - n
+        base = np.add.reduceat(np.log10((c + alpha) / (tokens + alpha * (types + 1)))[which], first)
+        seen = np.add.reduceat((c > 0)[which].astype(np.int64), first)
+        ids = pa.array([None if i == db.NO_ID else i for i in np.frombuffer(row["docs"], np.int64).tolist()], pa.int64())
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(n), "n_known": pa.array(seen), "base_score": pa.array(base), "score": pa.array(np.frombuffer(row["scores"], np.float64))})
+
+    scored = blocks.select("block", "docs", "sizes", "tokens", "subwords", "which", "hashes").mapInArrow(model_scores, _SCORED)
+    scored = scored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, _SCORES)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score", "blend_score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
