@@ -13,7 +13,7 @@ probability by their counts in the training documents. So each id's probability
 Training is data parallel and takes every training document, whole. The blocks of documents are dealt by hash
 to ``TURNS``, a small one first; in a turn each task trains from the common parameters on its own blocks, in windows that
 don't overlap, and the mean of the tasks' parameters is the next turn's (embedding rows weighted by how often
-each task met them). Corpora of fewer than ``LEAST_IDS`` ids are passed over several times. What reaches the
+each task met them). Corpora of fewer than ``LEAST_IDS`` ids are passed over up to ``MOST_PASSES`` times. What reaches the
 driver (one set of parameters, and counts by id) doesn't grow with the corpus.
 
 Scoring cuts a document's ids into windows that overlap by ``CONTEXT``; a window scores the ids after its
@@ -50,7 +50,7 @@ PAIR_ROWS = 1 << 14
 WINDOWS_A_STEP = 256
 RATE, ROW_RATE = 0.01, 0.1
 TURNS = (1, 3, 12)  # of 16 parts of the blocks
-LEAST_IDS = 4_000_000
+LEAST_IDS, MOST_PASSES = 4_000_000, 4
 TASK_IDS = 1 << 20
 BLOCK_BYTES = 4 << 20
 BUCKET_WORDS = 1 << 21
@@ -211,9 +211,9 @@ class Vocabulary:
         smooth = counts + 0.5
         total = np.bincount(self.classes, smooth, minlength=CLASSES)
         self.log_share = np.log(smooth / total[self.classes]).astype(np.float32)
-        total = np.maximum(total, 0.5).reshape(GROUPS, MEMBERS)
-        self.log_group = np.log(total.sum(1) / total.sum()).astype(np.float32)
-        self.log_member = np.log(total / total.sum(1, keepdims=True)).astype(np.float32)
+        total = np.maximum(total, 1e-300).reshape(GROUPS, MEMBERS)
+        logs = np.log(total.sum(1) / total.sum()), np.log(total / total.sum(1, keepdims=True))
+        self.log_group, self.log_member = (np.where(x < -200, _MASKED, x).astype(np.float32) for x in logs)  # a small vocabulary has classes without ids
 
 
 #: Parameters that are tables of embedding rows; the others are dense.
@@ -436,7 +436,7 @@ def train(blocks: DataFrame, vocabulary: Vocabulary, *, least_ids: int = LEAST_I
     """Parameters after all turns over ``_BLOCKS``."""
     spark, p = blocks.sparkSession, start(vocabulary)
     ids = {r["turn"]: r["ids"] for r in blocks.groupBy("turn").agg(F.sum("ids").alias("ids")).collect()}
-    passes = max(1, -(-least_ids // max(1, sum(ids.values()))))
+    passes = min(MOST_PASSES, max(1, -(-least_ids // max(1, sum(ids.values())))))
     for turn in sorted(ids):
         at = spark.sparkContext.broadcast((p, vocabulary))  # its size doesn't depend on the data
 
