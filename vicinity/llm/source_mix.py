@@ -106,11 +106,14 @@ def mix(rows: DataFrame, sources: DataFrame, *, max_epochs: int = MAX_EPOCHS, bl
 
 
 def mix_by_document(docs: DataFrame, **options) -> DataFrame:
-    """Every row's doc_id, source, size, its source's size and target, and the words the mix takes of it."""
+    """Every row's doc_id, source, size, its source's size and target, and the words the mix takes of it.
+
+    Of the schedule: the first and last slot that holds words of the row (null if none does), and how many do.
+    """
     rows = sized(docs)
     sources = cut(targets(rows, **{k: v for k, v in options.items() if k in ("max_epochs", "block_words")}))
     nothing = rows.select("uid", "doc_id", "source", "size", F.lit(0).cast("long").alias("n_words"))
-    taken = mix(rows, sources, **options).select("uid", "n_words")
-    taken = nothing.unionByName(taken, allowMissingColumns=True).groupBy("uid").agg(*[F.max(c).alias(c) for c in ("doc_id", "source", "size")], F.sum("n_words").cast("long").alias("taken"))
+    taken = mix(rows, sources, **options).select("uid", "n_words", "slot")
+    taken = nothing.unionByName(taken, allowMissingColumns=True).groupBy("uid").agg(*[F.max(c).alias(c) for c in ("doc_id", "source", "size")], F.sum("n_words").cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("n_slots"))
     known = small(sources.select(F.col("source").alias("of"), "source_size", "target"), SOURCES_TO_BROADCAST)
-    return taken.join(known, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return taken.join(known, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "last_slot", "n_slots")
