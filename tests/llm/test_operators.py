@@ -338,6 +338,131 @@ def test_html_extraction(spark):
     assert html_extract.main_text(pages.where("false")).count() == 0
 
 
+def plain_blocks(page):
+    """Blocks of a well-formed page by the standard parser: (text, linked, inside, place, heading, container)."""
+    from html.parser import HTMLParser
+
+    out, stack, parts, ids = [], [], [], itertools.count(1)
+
+    class Parser(HTMLParser):
+        linked, skip = 0, None
+
+        def flush(self):
+            text = " ".join("".join(parts).split())
+            if text:
+                tags = [t for t, _, _ in stack]
+                box = [i for t, _, i in stack if t in html_extract.CONTAINERS]
+                place = 2 if {"nav", "footer", "head"} & set(tags) or any(c == "ad" for _, c, _ in stack) else 0
+                out.append(html_extract.Block(text, self.linked, "article" in tags, place, "h1" in tags, box[-1] if box else 0))
+            parts.clear()
+            self.linked = 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("title", "style", "script"):
+                self.skip = tag
+            elif tag == "br":
+                parts.append(" ")
+            elif tag != "meta":
+                if tag in html_extract.BLOCK_TAGS:
+                    self.flush()
+                    while tag == "p" and any(t == "p" for t, _, _ in stack):
+                        stack.pop()
+                stack.append((tag, dict(attrs).get("class"), next(ids)))
+
+        def handle_endtag(self, tag):
+            if tag == self.skip:
+                self.skip = None
+                return
+            if tag in html_extract.BLOCK_TAGS:
+                self.flush()
+            if any(t == tag for t, _, _ in stack):
+                while stack.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not self.skip:
+                parts.append(data)
+                self.linked += len(data) if any(t == "a" for t, _, _ in stack) else 0
+
+    parser = Parser()
+    parser.feed(page)
+    parser.flush()
+    return out
+
+
+def plain_classify(found):
+    """Both passes by their definition, a block at a time, looking at all others."""
+    marked = any(b.inside for b in found)
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    stops = lambda t: sum(w in html_extract.STOP_WORDS for w in words(t))
+    some_stops = any(stops(b.text) for b in found)
+
+    def judge(group):
+        text, n = " ".join(b.text for b in group), sum(len(b.text) for b in group)
+        if group[0].place == 2 or sum(b.linked for b in group) > n / 2:
+            return False
+        if n < 70 or all(b.heading for b in group):
+            return None
+        density = stops(text) / max(len(words(text)), 1) if some_stops else 0.2 if n >= 140 else 0.05
+        if density >= (0.05 if group[0].inside else 0.35 if marked else 0.2):
+            return True
+        if group[0].inside:
+            return None
+        return False if marked or (n >= 140 and density < 0.05) else None
+
+    first = [judge([b]) for b in found]
+
+    def nearest(i, among, labels):
+        known = [j for j in among if labels[j] is not None]
+        least = min((abs(among.index(j) - among.index(i)) for j in known), default=None)
+        return None if least is None else any(labels[j] for j in known if abs(among.index(j) - among.index(i)) == least)
+
+    second = list(first)
+    for i, b in enumerate(found):
+        if first[i] is None:
+            group = [j for j, c in enumerate(found) if c.place < 2 and (c.container, c.inside) == (b.container, b.inside)]
+            second[i] = nearest(i, group, first) if any(first[j] is not None for j in group) else judge([found[j] for j in group])
+    page = [j for j, c in enumerate(found) if c.place < 2]
+    third = [nearest(i, page, second) if x is None else x for i, x in enumerate(second)]
+    return [b.inside if x is None else x for b, x in zip(found, third, strict=True)]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="no tables")
+def test_html_passes_decide(spark, monkeypatch):
+    """On all pages, and on the same without a marked article: equal to brute force, and the density rules matter."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub(r"(</?)article\b", r"\1div", x) for x in pages]
+    for page in [*pages, *bare]:
+        found = plain_blocks(page)
+        got, marked = html_extract.blocks(page)
+        assert [(b.text, b.linked > 0, b.inside, b.place, b.heading) for b in got] == [(b.text, b.linked > 0, b.inside, b.place, b.heading) for b in found]
+        assert html_extract.classify(got, marked) == plain_classify(found)
+    split = lambda x: set(html_extract.extract(x).split("\n\n"))
+    want, have = [split(x) for x in pages], [split(x) for x in bare]
+    both = sum(len(a & b) for a, b in zip(want, have, strict=True))
+    assert both >= 0.98 * sum(map(len, want)) and both >= 0.98 * sum(map(len, have))
+    monkeypatch.setattr(html_extract, "STOP_GOOD", 2.0)
+    monkeypatch.setattr(html_extract, "STOP_BAD", 1.5)
+    assert sum(split(x) != y for x, y in zip(bare, have, strict=True)) > len(bare) / 2
+
+
+def test_html_hints_and_long_open_pages():
+    dense = "This is the text of the page and it has all of the words that are in it. " * 3
+    assert html_extract.extract(f"<article><p>{dense}<div class=related>{dense}</div></article>").count("This is") == 6
+    assert html_extract.extract(f"<article><p>{dense}</article><div class=related>{dense}</div>").count("This is") == 3
+    other = "Tämä sivu kertoo kaikesta mikä liittyy vanhaan kaupunkiin sekä ihmisiin jotka asuivat siellä kauan sitten " * 2
+    assert html_extract.extract(f"<div><p>{other}</p><p>Lyhyt.</p></div>") == f"{other.strip()}\n\nLyhyt."
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_extract.extract("<b>" * n + "<p>" * n + "<div>" * n + '<a "' * n + "</i>" * n)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40000) < 16 * seconds(10000) + 1  # 0.7 MB of unclosed tags
+
+
 def test_classifier_learns_and_takes_every_row(spark, docs, empty):
     rng = np.random.default_rng(2)
     vocab = [f"word{i}" for i in range(200)]
@@ -446,6 +571,22 @@ def test_schedule_is_spread(spark):
         assert abs(part[1] - n / 2) < 5 and abs(part[2] - 0.3 * n) < 5
 
 
+def test_source_mix_returns_the_schedule(spark):
+    """Each row's first, last and number of slots are those of its pieces in the mix, and sources take turns."""
+    docs = spark.createDataFrame([(i, "w " * (40 + i % 90), f"s{i % 3}") for i in range(400)], "doc_id long, text string, source string")
+    rows = source_mix.sized(docs)
+    sources = source_mix.targets(rows, block_words=64)
+    slots = collections.defaultdict(set)
+    for r in source_mix.mix(rows, sources, block_words=64).collect():
+        slots[r.doc_id].add(r.slot)
+    got = source_mix.mix_by_document(docs, block_words=64).collect()
+    assert {r.doc_id: (r.first_slot, r.last_slot, r.n_slots) for r in got} == {i: (min(slots[i]), max(slots[i]), len(slots[i])) if slots[i] else (None, None, 0) for i in range(400)}
+    assert len({r.source_size for r in got}) == 3
+    whole = max(r.last_slot for r in got if r.n_slots) + 1
+    for size in {r.source_size for r in got}:  # no source waits for another's end
+        assert min(r.first_slot for r in got if r.source_size == size and r.n_slots) < 10 and max(r.last_slot for r in got if r.source_size == size and r.n_slots) > whole - 20
+
+
 def test_quality_rules_equal_brute_force(spark, docs, empty):
     trusted = spark.createDataFrame([(0,), (4,), (4,), (None,), (999,)], "doc_id long")
     got = quality_rules.quality_rules(docs, trusted, buckets=512).collect()

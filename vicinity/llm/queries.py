@@ -63,7 +63,7 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality_classifier.Model:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_classifier.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
-    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
