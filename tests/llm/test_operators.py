@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -521,6 +522,27 @@ def test_suffix_dedup_equals_brute_force(spark, docs, empty, block_bytes):
     assert suffix_dedup.removed_spans(empty).count() == 0
 
 
+def test_suffix_dedup_survives_equal_hashes():
+    """With one hash for all segments, a block finds the same bytes as with the real ones."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    shared = ["".join(rng.choice(list("abcdef "), 90)) for _ in range(4)]
+    texts = ["".join(rng.choice(list("abcdef "), 40)) + shared[i % 4] + shared[(i * 3 + 1) % 4] for i in range(20)]
+    packed = pa.Table.from_batches(suffix_dedup.db.pack_documents([pa.record_batch({"doc_id": pa.array(range(20), pa.int64()), "text": texts})], 1))
+    found = []
+    for same in (False, True):
+        part = suffix_dedup._Part(packed, suffix_dedup.LENGTH)
+        if same:
+            part.content[:] = 7
+        seeds = suffix_dedup._answer_seeds(suffix_dedup._send_seeds(0, part, 4))
+        segments = suffix_dedup._send_segments(0, part, seeds, 4)
+        each = [segments.filter(pa.compute.equal(segments["bucket"], b)) for b in set(segments["bucket"].to_pylist())]
+        answers = pa.concat_tables([seeds, *(suffix_dedup._answer_segments(t, suffix_dedup.LENGTH) for t in each)])
+        found.append((len(part.shared(seeds, 4)[1]), suffix_dedup._removed(part, answers, 4)))
+    assert found[1][0] > found[0][0] and found[0][1].sum() > 1000 and (found[0][1] == found[1][1]).all()
+
+
 def test_suffix_dedup_carries_columns(docs):
     out = suffix_dedup.kept_texts(docs)
     assert out.columns == docs.columns and out.count() == docs.count()

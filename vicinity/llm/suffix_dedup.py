@@ -21,8 +21,11 @@ mostly share theirs, so a block is a row of short segments, one a seed. Then
 A block answers for copies within itself, so a passage or a text in any share of the documents
 reaches a bucket once a block at most. Nothing but counts reaches the driver.
 
-Null and empty texts are kept, with nothing removed. Rows with one doc_id don't remove from one
-another. A null doc_id is larger than all others. Empty tables give empty results.
+Hashes only choose candidates: what they call equal is compared byte by byte, within a block as in a bucket. Texts are
+taken whole, however long.
+
+Null and empty texts are kept, with nothing removed. Rows with one doc_id (ties) don't remove from one
+another. Extra columns are ignored, or carried by ``kept_texts``, whatever their names. A null doc_id is larger than all others. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -112,18 +115,35 @@ class _Part(db.Documents):
     def shared(self, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The segments around shared seeds; the first of each distinct content, by bucket; which of those each one is."""
         h, _ = self.seeds()
-        bucket = db.bucket_of(h, buckets)
         is_shared = np.zeros(len(h), bool)
-        for r in answers.to_pylist():
-            mine = np.flatnonzero(bucket == r["bucket"])
-            is_shared[mine] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=len(mine)).astype(bool)
+        bits = {r["bucket"]: r["bits"] for r in answers.to_pylist()}
+        for b, mine in db.by_bucket(db.bucket_of(h, buckets)):
+            is_shared[mine] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(mine)).astype(bool)
         rows = np.flatnonzero(is_shared[np.searchsorted(h, self.seed)]) if len(h) else np.zeros(0, np.int64)
         _, first, which = np.unique(self.content[rows], return_index=True, return_inverse=True)  # the first is of the least doc_id
+        other = np.flatnonzero(~self._same(rows, rows[first[which]]))  # equal hashes, other bytes: each stands for itself
+        which[other] = len(first) + np.arange(len(other))
+        first = np.concatenate([first, other])
         order = np.lexsort((first, db.bucket_of(self.seed[rows[first]], buckets)))
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         return rows, rows[first[order]], rank[which]
 
+    def _same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether segments a and b have the same bytes, eight at a time."""
+        if not len(a):
+            return np.zeros(0, bool)
+        if self.length < 8:
+            return np.array([np.array_equal(self.text[self.first[i] : self.last[i] + self.length], self.text[self.first[j] : self.last[j] + self.length]) for i, j in zip(a, b, strict=True)])
+        eights = np.ndarray(len(self.text) - 7, np.uint64, np.ascontiguousarray(self.text), strides=(1,))
+        size = self.last[a] - self.first[a] + self.length
+        same = size == self.last[b] - self.first[b] + self.length
+        for k in range(0, int(size.max()), 8):
+            step = np.minimum(k, size - 8)
+            at = np.flatnonzero(same & (a != b))
+            same[at] = eights[(self.first[a] + step)[at]] == eights[(self.first[b] + step)[at]]
+        return same
+
 
 def _send_seeds(block: int, part: _Part, buckets: int) -> pa.Table:
     h, several = part.seeds()
