@@ -13,8 +13,6 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 from vicinity.plans import catalog  # noqa: E402
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
-#: A sample by every fifth name keeps this suite short; VICINITY_ALL=1 runs all.
-CHOSEN = sorted(ORACLES) if os.environ.get("VICINITY_ALL") else sorted(ORACLES)[::5]
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def rows(records):
     return sorted((tuple(sorted((k, "" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v)) for k, v in r.items())) for r in records))
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, duck, name):
     got = [r.asDict() for r in QUERIES[name](spark, SF).collect()]
     want = duck.execute(ORACLES[name]).df().to_dict("records")

@@ -1,5 +1,7 @@
 """Operators on small inputs made by hand."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +177,89 @@ def test_stream_follows_memory(spark, tmp_path):
     assert np.allclose(spark.read.parquet(str(tmp_path / "bank/1")).first().m, np.array([0.2, 0.8]) / np.hypot(0.2, 0.8))
     table = spark.createDataFrame([("a", 1.0), ("a", 3.0)], "k string, x double")
     assert running_averages(table, "k", "x").first().avg == 2.0
+
+
+def log_sum(z):
+    return np.log(np.exp(z).sum())
+
+
+def test_losses_of_a_bank_with_instances(spark):
+    """The three losses over banks, against plain loops."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(12, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    key = np.arange(12) % 3
+    batch = spark.createDataFrame([(int(k), i, x.tolist()) for i, (k, x) in enumerate(zip(key, v, strict=True))], "key long, idx long, v array<double>")
+    centre = rng.normal(size=(3, 4))
+    bank = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(centre)], "key long, m array<double>")
+    rows = np.concatenate([centre, *[v[key == k][:2] for k in range(3)]]) / 0.05
+    got = {r.idx: r for r in memory.instance_losses(memory.instance_bank(bank, batch, 2), batch, 0.05).collect()}
+    for i in range(12):
+        z = rows @ v[i]
+        assert got[i].centroid == pytest.approx(log_sum(z) - z[key[i]])
+        own = z[3:].reshape(3, 2)
+        logits = np.array([own[k].min() if k == key[i] else own[k].max() for k in range(3)])
+        assert got[i].instance == pytest.approx(log_sum(logits) - logits[key[i]])
+    hybrid = spark.createDataFrame([(k, x.tolist(), y.tolist()) for k, (x, y) in enumerate(zip(centre, v[:3], strict=True))], "key long, mean array<double>, hard array<double>")
+    mean, hard = (np.mean([log_sum(m @ x / 0.05) - m[k] @ x / 0.05 for x, k in zip(v, key, strict=True)]) for m in (centre, v[:3]))
+    assert memory.centre_loss(hybrid, batch).first().loss == pytest.approx(0.5 * (hard + max(0, mean - 0.2)))
+    assert memory.centre_loss(hybrid, batch, slack=1e9).first().loss == pytest.approx(0.5 * hard)
+    both = {o: [(r.place, r.key, r.m) for r in memory.stacked(hybrid, o).orderBy("place", "key").collect()] for o in (("mean", "hard"), ("hard", "mean"))}
+    assert [x[2] for x in both["mean", "hard"]] == [x[2] for x in both["hard", "mean"][3:] + both["hard", "mean"][:3]] == [*centre.tolist(), *v[:3].tolist()]
+    moved = {r.key: r.m for r in memory.model_average(bank, bank.selectExpr("key", "transform(m, x -> x + 1) as m")).collect()}
+    assert np.allclose([moved[k] for k in range(3)], centre + 0.001)
+
+
+def test_camera_losses_equal_plain_loops(spark):
+    """Six classes of two cameras and three identities; scores at, above and below the own class's."""
+    rng = np.random.default_rng(6)
+    cam, pid = np.arange(6) // 3, np.arange(6) % 3
+    z = rng.uniform(-1, 1, (8, 6))
+    own = np.arange(8) % 6
+    z[0, (own[0] + 1) % 3] = z[0, own[0]]  # a tie counts as harder
+    z[1, own[1]] = -0.99  # beyond the angular margin's turn
+    rows = [(i, c, float(z[i, c]), bool(c == own[i]), bool(pid[c] == pid[own[i]]), bool(cam[c] == cam[own[i]])) for i in range(8) for c in range(6)]
+    df = spark.createDataFrame(rows, "idx long, key long, z double, target boolean, positive boolean, same_cam boolean")
+    total = 0
+    for i in range(8):
+        x = np.where((cam == cam[own[i]]) & (z[i] >= z[i, own[i]]), z[i] * 1.012 + 0.012, z[i])
+        x[own[i]] = z[i, own[i]] - 0.1
+        total += log_sum(16 * x) - 16 * x[own[i]]
+    assert losses.same_camera_margin(df).first().loss == pytest.approx(total / 8)
+
+    def adversarial(epsilon, extra, angle):
+        out = 0
+        for i in range(8):
+            x = z[i].copy()
+            if angle:
+                wide = math.cos(math.acos(x[own[i]]) + angle) if x[own[i]] > math.cos(math.pi - angle) else x[own[i]] - math.sin(math.pi - angle) * angle
+                x = np.where(cam == cam[own[i]], 1.2 * x + 0.2, x)
+                x[own[i]] = wide
+            x = 16 * x
+            positive = pid == pid[own[i]]
+            for c in np.flatnonzero(positive):
+                weight = epsilon / positive.sum() + (extra if c == own[i] else 0)
+                out += weight * (math.log(np.exp(x[~positive]).sum() + math.exp(x[c])) - x[c])
+        return out / 8
+
+    assert losses.camera_adversarial(df).first().loss == pytest.approx(adversarial(0.1, 0, 0))
+    assert losses.camera_adversarial(df, own=0.9).first().loss == pytest.approx(adversarial(0.1, 0.9, 0))
+    assert losses.camera_adversarial(df, epsilon=1.0, angle=0.7).first().loss == pytest.approx(adversarial(1.0, 0, 0.7))
+
+
+def test_larger_is_closer(spark):
+    found = spark.createDataFrame([(0, 0, 1.0, True), (0, 1, 0.3, True), (0, 2, 0.6, False), (0, 3, 0.6, False)], "i long, j long, z double, same boolean")
+    row = losses.hardest(found, "z", larger=True).first()
+    assert (row.hp, row.hn, row.jp, row.jn) == (0.3, 0.6, 1, 2)
+    assert losses.triplet(found, d="z", larger=True).first().loss == pytest.approx(0.6)
+
+
+def test_running_aggregates_over_chunks(spark):
+    from vicinity.streaming.running import running
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=500)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "k long, x double").repartition(6)
+    for how, want in (("sum", np.cumsum(x)), ("max", np.maximum.accumulate(x))):
+        got = running(df, "k", {"x": how}).orderBy("k").collect()
+        assert np.allclose([r.running_x for r in got], want)

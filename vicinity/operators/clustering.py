@@ -6,7 +6,6 @@ Sequential steps (greedy association) are ordered folds in one task over pre-red
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,13 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to ``spark.checkpoint.dir`` (a temporary folder only where none is set) and read from there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vicinity-"))
-    return df.checkpoint(eager=True)
+from vicinity.operators.checkpoints import cut
 
 
 def components(edges: DataFrame) -> DataFrame:

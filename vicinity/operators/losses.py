@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def hardest(found: DataFrame, d: str = "d") -> DataFrame:
-    """(i, hp, hn, jp, jn): each i's farthest pair of the same label and nearest of another, with their places; pairs with itself count."""
-    far = F.max(F.when(F.col("same"), F.struct(F.col(d).alias("d"), (-F.col("j")).alias("n"))))
-    near = F.min(F.when(~F.col("same"), F.struct(F.col(d).alias("d"), F.col("j").alias("n"))))
+def hardest(found: DataFrame, d: str = "d", larger: bool = False) -> DataFrame:
+    """(i, hp, hn, jp, jn): each i's farthest pair of the same label and nearest of another, with their places; pairs with itself count.
+
+    With ``larger``, d is a similarity: larger is closer. Ties go to the lower j.
+    """
+    key = -F.col(d) if larger else F.col(d)
+    far = F.max(F.when(F.col("same"), F.struct(key.alias("d"), (-F.col("j")).alias("n"))))
+    near = F.min(F.when(~F.col("same"), F.struct(key.alias("d"), F.col("j").alias("n"))))
     by = found.groupBy("i").agg(far.alias("p"), near.alias("q"))
-    return by.select("i", F.col("p.d").alias("hp"), F.col("q.d").alias("hn"), (-F.col("p.n")).alias("jp"), F.col("q.n").alias("jn"))
+    sign = -1 if larger else 1
+    return by.select("i", (F.col("p.d") * sign).alias("hp"), (F.col("q.d") * sign).alias("hn"), (-F.col("p.n")).alias("jp"), F.col("q.n").alias("jn"))
 
 
-def triplet(found: DataFrame, margin: float | None = 0.3, hard_factor: float = 0.0) -> DataFrame:
-    """One row (loss): mean of max(0, hp - hn + margin), or of log(1 + exp(hp - hn)) without a margin."""
+def triplet(found: DataFrame, margin: float | None = 0.3, hard_factor: float = 0.0, d: str = "d", larger: bool = False) -> DataFrame:
+    """One row (loss): mean of max(0, hp - hn + margin), or of log(1 + exp(hp - hn)) without a margin; of hn - hp with ``larger``."""
     gap = F.col("hp") * (1 + hard_factor) - F.col("hn") * (1 - hard_factor)
+    gap = -gap if larger else gap
     one = F.greatest(F.lit(0.0), gap + margin) if margin is not None else F.log1p(F.exp(gap))
-    return hardest(found).agg(F.avg(one).alias("loss"))
+    return hardest(found, d, larger).agg(F.avg(one).alias("loss"))
 
 
 def weighted_triplet(found: DataFrame) -> DataFrame:
@@ -64,8 +72,37 @@ def top_k_contrast(found: DataFrame, k: int = 8) -> DataFrame:
     return log_softmax(z).where("same").groupBy("idx").agg(F.avg("lp").alias("lp")).agg((-F.avg("lp")).alias("loss"))
 
 
-def camera_contrast(found: DataFrame, temperature: float = 0.07, margin: float = 0.0) -> DataFrame:
-    """One row (loss): softmax within each i's own camera (``same_cam``), positives less a margin."""
-    z = (F.col("z") - F.when(F.col("same"), margin).otherwise(0.0)) / temperature
-    rows = found.where("same_cam").select(F.col("i").alias("idx"), F.col("j").alias("key"), F.lit(0).alias("label"), z.alias("z"), "same")
-    return log_softmax(rows).where("same").groupBy("idx").agg(F.avg("lp").alias("lp")).agg((-F.avg("lp")).alias("loss"))
+def _with_target(z: DataFrame) -> DataFrame:
+    """``z`` with gt, the score of each idx's own class."""
+    return z.withColumn("gt", F.max(F.when(F.col("target"), F.col("z"))).over(Window.partitionBy("idx")))
+
+
+def same_camera_margin(z: DataFrame, *, scale: float = 16.0, margin: float = 0.1, push: float = 0.012) -> DataFrame:
+    """One row (loss): cross entropy of classes, the own one less a margin.
+
+    ``z``: (idx, key, z, target, positive, same_cam), a row a vector and class. Classes of the vector's camera that score at
+    least as its own become harder: (1 + push) * z + push.
+    """
+    harder = ~F.col("target") & F.col("same_cam") & (F.col("z") >= F.col("gt"))
+    out = F.when(harder, F.col("z") * (1 + push) + push).otherwise(F.col("z")) - F.when(F.col("target"), margin).otherwise(0.0)
+    rows = log_softmax(_with_target(z).withColumn("z", out * scale))
+    return rows.where("target").agg((-F.avg("lp")).alias("loss"))
+
+
+def camera_adversarial(z: DataFrame, *, scale: float = 16.0, epsilon: float = 0.1, own: float | None = None, angle: float | None = None, push: float = 0.2) -> DataFrame:
+    """One row (loss) of ``z`` as above: each positive class (of the same identity) against the negative classes alone.
+
+    Positives share the weight ``epsilon``; the own class has ``own`` more. With ``angle``, the own class's score is that of
+    an angle larger by it, and the scores of the camera's other classes become (1 + push) * z + push.
+    """
+    if angle is not None:
+        cosine = F.least(F.greatest("z", F.lit(-1.0)), F.lit(1.0))
+        wider = cosine * math.cos(angle) - F.sqrt(1 - cosine * cosine) * math.sin(angle)
+        wider = F.when(cosine > math.cos(math.pi - angle), wider).otherwise(cosine - math.sin(math.pi - angle) * angle)
+        z = z.withColumn("z", F.when(F.col("target"), wider).when(F.col("same_cam"), cosine * (1 + push) + push).otherwise(cosine))
+    w = Window.partitionBy("idx")
+    z = z.withColumn("z", F.col("z") * scale).withColumn("n", F.sum(F.col("positive").cast("long")).over(w))
+    z = z.withColumn("against", F.sum(F.when(~F.col("positive"), F.exp("z")).otherwise(0.0)).over(w))
+    weight = F.when(F.col("positive"), F.lit(epsilon) / F.col("n")).otherwise(0.0) + F.when(F.col("target"), F.lit(own or 0.0)).otherwise(0.0)
+    one = (F.log(F.col("against") + F.exp("z")) - F.col("z")) * weight
+    return z.groupBy("idx").agg(F.sum(one).alias("loss")).agg(F.avg("loss").alias("loss"))

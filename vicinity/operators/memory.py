@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vicinity.functions.vectors import dot, normalize
 from vicinity.operators.groups import vector_mean
@@ -59,6 +60,43 @@ def update_hybrid(bank: DataFrame, batch: DataFrame, momentum: float = 0.2) -> D
     return mean.withColumnRenamed("m", "mean").join(hard.withColumnRenamed("m", "hard"), "key")
 
 
+def stacked(hybrid: DataFrame, order: tuple[str, str] = ("mean", "hard")) -> DataFrame:
+    """(place, key, m): both banks of ``update_hybrid``, one under the other in this order (places 0 and 1)."""
+    first, second = (hybrid.select(F.lit(n).alias("place"), "key", F.col(c).alias("m")) for n, c in enumerate(order))
+    return first.unionByName(second)
+
+
+def model_average(teacher: DataFrame, student: DataFrame, momentum: float = 0.999) -> DataFrame:
+    """(key, m): each parameter vector of ``teacher`` (key, m) moved towards that of ``student``, without a unit length."""
+    joined = teacher.join(student.select("key", F.col("m").alias("_s")), "key")
+    return joined.select("key", F.zip_with("m", "_s", lambda x, y: x * momentum + y * (1 - momentum)).alias("m"))
+
+
+def instance_bank(bank: DataFrame, feat: DataFrame, instances: int) -> DataFrame:
+    """(key, slot, m): centroids in slot 0, each key's first ``instances`` vectors (by idx) in the slots after it."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("idx"))
+    some = feat.withColumn("slot", place).where(F.col("slot") <= instances).select("key", "slot", F.col("v").alias("m"))
+    return bank.select("key", F.lit(0).alias("slot"), "m").unionByName(some)
+
+
+def instance_losses(bank: DataFrame, batch: DataFrame, temperature: float = 0.05) -> DataFrame:
+    """(idx, centroid, instance): cross entropies over all slots of ``instance_bank``, and over each key's instances.
+
+    The own key is stood for by its instance with the least score, every other by that with the largest.
+    """
+    z = batch.select("idx", F.col("key").alias("label"), "v").crossJoin(bank).select("idx", "key", "slot", "label", (dot(F.col("v"), F.col("m")) / temperature).alias("z"))
+    slots = cross_entropy(z.select("idx", F.when(F.col("slot") == 0, F.col("key")).alias("key"), "label", "z")).withColumnRenamed("loss", "centroid")
+    found = z.where("slot > 0").groupBy("idx", "key", "label").agg(F.min("z").alias("least"), F.max("z").alias("most"))
+    logits = found.select("idx", "key", "label", F.when(F.col("key") == F.col("label"), F.col("least")).otherwise(F.col("most")).alias("z"))
+    return slots.join(cross_entropy(logits).withColumnRenamed("loss", "instance"), "idx")
+
+
+def centre_loss(hybrid: DataFrame, batch: DataFrame, temperature: float = 0.05, slack: float = 0.2) -> DataFrame:
+    """One row (loss): half of the hard bank's cross entropy and of what the mean bank's has above ``slack``."""
+    one = lambda c: cross_entropy(scores(hybrid.select("key", F.col(c).alias("m")), batch, temperature)).agg(F.avg("loss").alias(c))
+    return one("hard").crossJoin(one("mean")).select((0.5 * (F.col("hard") + F.greatest(F.lit(0.0), F.col("mean") - slack))).alias("loss"))
+
+
 def scores(bank: DataFrame, batch: DataFrame, temperature: float = 1.0) -> DataFrame:
     """(idx, key, label, z): every vector's score with every key."""
     return batch.select("idx", F.col("key").alias("label"), "v").crossJoin(bank).select("idx", "key", "label", (dot(F.col("v"), F.col("m")) / temperature).alias("z"))

@@ -9,6 +9,7 @@ from vicinity.functions import names
 from vicinity.operators import labels
 from vicinity.plans.registry import FEAT, IDS, NAMES, query
 from vicinity.sources import fixtures, readers
+from vicinity.streaming.running import running
 
 
 @query("s3_market_names", f"WITH {NAMES} SELECT idx, CAST(regexp_extract(name, '^(\\d+)_c(\\d+)', 1) AS INT) AS pid, CAST(regexp_extract(name, '^(\\d+)_c(\\d+)', 2) AS INT) AS cam FROM names")
@@ -57,8 +58,8 @@ def _(spark, d):
     return readers.parse_index(lines)
 
 
-query("s19_regdb_list", "SELECT 'visible/' || vec_id || '.bmp' AS path, label FROM embeddings WHERE vec_id % 2 = 0")(
-    lambda spark, d: readers.parse_index(fixtures.table(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.concat(F.lit("visible/"), F.col("vec_id").cast("string"), F.lit(".bmp "), F.col("label").cast("string")).alias("value"))))
+query("s19_regdb_list", "SELECT 'visible/' || vec_id || '.bmp' AS path, label FROM embeddings")(
+    lambda spark, d: readers.parse_index(fixtures.table(spark, d, "embeddings").select(F.concat(F.lit("visible/"), F.col("vec_id").cast("string"), F.lit(".bmp "), F.col("label").cast("string")).alias("value"))))
 
 
 @query("s15_id_list", "SELECT DISTINCT label AS id, lpad(CAST(label AS VARCHAR), 4, '0') AS name FROM embeddings")
@@ -123,5 +124,9 @@ query("f13_whitespace_clean", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\
     lambda spark, d: fixtures.table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")).alias("text")))
 query("f4_zero_pad", "SELECT DISTINCT label, lpad(CAST(label AS VARCHAR), 4, '0') AS padded FROM embeddings")(
     lambda spark, d: fixtures.table(spark, d, "embeddings").select("label", names.padded(F.col("label")).alias("padded")).distinct())
-query("e12_best_so_far", "WITH e AS (SELECT CAST(o_orderkey AS BIGINT) AS epoch, o_totalprice AS map FROM orders WHERE o_orderkey < 200) SELECT epoch, map, max(map) OVER (ORDER BY epoch) AS best, map >= max(map) OVER (ORDER BY epoch) AS is_best FROM e")(
-    lambda spark, d: fixtures.table(spark, d, "orders").where("o_orderkey < 200").select(F.col("o_orderkey").alias("epoch"), F.col("o_totalprice").alias("map")).withColumn("best", F.max("map").over(Window.orderBy("epoch"))).withColumn("is_best", F.col("map") >= F.col("best")))
+
+
+@query("e12_best_so_far", "WITH e AS (SELECT CAST(o_orderkey AS BIGINT) AS epoch, o_totalprice AS map FROM orders) SELECT epoch, map, max(map) OVER (ORDER BY epoch) AS best, map >= max(map) OVER (ORDER BY epoch) AS is_best FROM e")
+def _(spark, d):
+    epochs = fixtures.table(spark, d, "orders").select(F.col("o_orderkey").alias("epoch"), F.col("o_totalprice").alias("map"))
+    return running(epochs, "epoch", {"map": "max"}).select("epoch", "map", F.col("running_map").alias("best"), (F.col("map") >= F.col("running_map")).alias("is_best"))

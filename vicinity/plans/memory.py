@@ -9,22 +9,24 @@ from vicinity.functions import pixels, schedules
 from vicinity.functions import vectors as vec
 from vicinity.operators import losses as lo
 from vicinity.operators import memory as me
-from vicinity.operators.groups import normalized_centroids
+from vicinity.operators.groups import normalized_centroids, vector_mean
 from vicinity.operators.pairwise import pairs
 from vicinity.plans.association import _DIMS, exploded
 from vicinity.plans.neighbours import DOT, feats
 from vicinity.plans.registry import FEAT, query
 from vicinity.sources import fixtures
-from vicinity.streaming.running import running_averages
+from vicinity.streaming.running import running, running_averages
 
-BANK = f"{FEAT}, cm AS (SELECT pid AS key, k, avg(v[k]) AS x FROM feat, {_DIMS} WHERE idx % 2 = 0 GROUP BY pid, k), c0 AS (SELECT key, list(x ORDER BY k) AS c FROM cm GROUP BY key), bank AS (SELECT key, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS m FROM c0), batch AS (SELECT pid AS key, idx, v FROM feat WHERE idx % 7 = 1 AND pid <> 3), sc AS (SELECT b.*, bank.m, list_dot_product(b.v, m) AS s FROM batch b JOIN bank USING (key))"
+BANK = f"{FEAT}, cm AS (SELECT pid AS key, k, avg(v[k]) AS x FROM feat, {_DIMS} GROUP BY pid, k), c0 AS (SELECT key, list(x ORDER BY k) AS c FROM cm GROUP BY key), bank AS (SELECT key, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS m FROM c0), batch AS (SELECT pid AS key, idx, v FROM feat), sc AS (SELECT b.*, bank.m, list_dot_product(b.v, m) AS s FROM batch b JOIN bank USING (key))"
+_MV = "(SELECT bank.key, CASE WHEN ch.v IS NULL THEN m ELSE list_transform(range(1, 65), lambda n: m[n] * 0.2 + ch.v[n] * 0.8) END AS u FROM bank LEFT JOIN {ch} ch USING (key))"
+_UNIT = "(SELECT key, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS m FROM {mv})"
 _MOVE = "mv AS (SELECT bank.key, CASE WHEN ch.v IS NULL THEN m ELSE list_transform(range(1, 65), lambda n: m[n] * 0.2 + ch.v[n] * 0.8) END AS u, ch.v IS NULL AS still FROM bank LEFT JOIN ch USING (key)) SELECT key, k, round(CASE WHEN still THEN u[k] ELSE u[k] / sqrt(list_dot_product(u, u)) END, 6) AS x FROM mv, " + _DIMS
 
 
 def bank_and_batch(spark, d):
     f = feats(spark, d)
-    bank = normalized_centroids(f.where("idx % 2 = 0"), "pid").select(F.col("pid").alias("key"), F.col("v").alias("m"))
-    return bank, f.where("idx % 7 = 1 and pid <> 3").select(F.col("pid").alias("key"), "idx", "v")
+    bank = normalized_centroids(f, "pid").select(F.col("pid").alias("key"), F.col("v").alias("m"))
+    return bank, f.select(F.col("pid").alias("key"), "idx", "v")
 
 
 def _out(bank):
@@ -37,32 +39,85 @@ query("m2_update_mean", f"WITH {BANK}, {_MEANS}, {_MOVE}")(lambda spark, d: _out
 query("m3_update_hardest", f"WITH {BANK}, ch AS (SELECT key, arg_min(v, (s, idx)) AS v FROM sc GROUP BY key), {_MOVE}")(lambda spark, d: _out(me.update_hardest(*bank_and_batch(spark, d))))
 query("m4_update_easiest", f"WITH {BANK}, ch AS (SELECT key, arg_max(v, (s, -idx)) AS v FROM sc GROUP BY key), {_MOVE}")(lambda spark, d: _out(me.update_easiest(*bank_and_batch(spark, d))))
 query("m5_update_weighted", f"WITH {BANK}, bm AS (SELECT key, k, sum(v[k] * exp(-s / 0.09)) / sum(exp(-s / 0.09)) AS x FROM sc, {_DIMS} GROUP BY key, k), ch AS (SELECT key, list(x ORDER BY k) AS v FROM bm GROUP BY key), {_MOVE}")(lambda spark, d: _out(me.update_weighted(*bank_and_batch(spark, d))))
-query("m6_update_hybrid")(lambda spark, d: me.update_hybrid(*bank_and_batch(spark, d)).select("key", F.round(F.element_at("mean", 1), 6).alias("mean_1"), F.round(F.element_at("hard", 1), 6).alias("hard_1")))
+_HARD_CH = "hch AS (SELECT key, arg_min(v, (s, idx)) AS v FROM sc GROUP BY key)"
+_BOTH = f"{_MEANS}, {_HARD_CH}, mean_mv AS {_MV.format(ch='ch')}, hard_mv AS {_MV.format(ch='hch')}, mean_bank AS {_UNIT.format(mv='mean_mv')}, hard_bank AS {_UNIT.format(mv='hard_mv')}"
+
+
+@query("m6_update_hybrid", f"WITH {BANK}, {_BOTH}, st AS (SELECT 'mean, hard' AS banks, 0 AS place, * FROM mean_bank UNION ALL SELECT 'mean, hard', 1, * FROM hard_bank UNION ALL SELECT 'hard, mean', 0, * FROM hard_bank UNION ALL SELECT 'hard, mean', 1, * FROM mean_bank) SELECT banks, place, key, k, round(m[k], 6) AS x FROM st, {_DIMS}")
+def _(spark, d):
+    """Both orders in which the two banks are stacked."""
+    hybrid = me.update_hybrid(*bank_and_batch(spark, d))
+    both = [me.stacked(hybrid, order).select(F.lit(", ".join(order)).alias("banks"), "place", "key", F.col("m").alias("v")) for order in (("mean", "hard"), ("hard", "mean"))]
+    return exploded(both[0].union(both[1]), "banks", "place", "key")
+
+
 query("m7_scores", f"WITH {BANK} SELECT idx, bank.key, batch.key AS label, round(list_dot_product(v, m), 6) AS z FROM batch, bank")(
     lambda spark, d: me.scores(*bank_and_batch(spark, d)).select("idx", "key", "label", F.round("z", 6).alias("z")))
 _CE = f"WITH {BANK}, z AS (SELECT idx, bank.key, batch.key AS label, list_dot_product(v, m) / {{t}} AS z FROM batch, bank), t AS (SELECT idx, max(z) AS top, max(z) FILTER (key = label) AS own FROM z GROUP BY idx), l AS (SELECT z.idx, top + ln(sum(exp(z - top))) - own AS loss FROM z JOIN t USING (idx) GROUP BY z.idx, top, own)"
-query("m8_memory_loss", _CE.format(t="0.05") + " SELECT idx, round(loss, 6) AS loss FROM l")(
-    lambda spark, d: me.cross_entropy(me.scores(*bank_and_batch(spark, d), 0.05)).select("idx", F.round("loss", 6).alias("loss")))
-query("m9_centre_loss", _CE.format(t="0.05") + f", bm AS (SELECT key, k, avg(v[k]) AS x FROM batch, {_DIMS} GROUP BY key, k) SELECT round(0.5 * (avg(loss) + greatest(0.0, avg(loss) - 0.2)), 6) AS loss FROM l")(
-    lambda spark, d: me.cross_entropy(me.scores(*bank_and_batch(spark, d), 0.05)).agg(F.avg("loss").alias("l")).select(F.round(0.5 * (F.col("l") + F.greatest(F.lit(0.0), F.col("l") - 0.2)), 6).alias("loss")))
-query("m10_model_average", f"WITH {FEAT} SELECT idx, round(v[1] * 0.999 + v[2] * (1 - 0.999), 9) AS x FROM feat")(
-    lambda spark, d: feats(spark, d).select("idx", F.round(F.element_at("v", 1) * F.lit(0.999) + F.element_at("v", 2) * (1 - F.lit(0.999)), 9).alias("x")))
-query("a26_running_average", "SELECT o_orderkey, round(sum(o_totalprice * (o_orderkey % 5 + 1)) OVER w / sum(o_orderkey % 5 + 1) OVER w, 4) AS avg FROM orders WHERE o_orderkey < 2000 WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")(
-    lambda spark, d: (lambda w: fixtures.table(spark, d, "orders").where("o_orderkey < 2000").select("o_orderkey", F.round(F.sum(F.col("o_totalprice") * (F.col("o_orderkey") % 5 + 1)).over(w) / F.sum(F.col("o_orderkey") % 5 + 1).over(w), 4).alias("avg")))(Window.orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)))
+_INSTANCES = f"inst AS (SELECT key, rn AS slot, v AS m FROM (SELECT pid AS key, v, row_number() OVER (PARTITION BY pid ORDER BY idx) AS rn FROM feat) WHERE rn <= 4), slots AS (SELECT key, 0 AS slot, m FROM bank UNION ALL SELECT * FROM inst), zs AS MATERIALIZED (SELECT idx, slots.key, slot, batch.key AS label, list_dot_product(v, m) / 0.05 AS z FROM batch, slots), cl AS (SELECT idx, ln(sum(exp(z - 20))) + 20 - max(z) FILTER (key = label AND slot = 0) AS centroid FROM zs GROUP BY idx), lg AS (SELECT idx, key, label, CASE WHEN key = label THEN min(z) ELSE max(z) END AS z FROM zs WHERE slot > 0 GROUP BY idx, key, label), il AS (SELECT idx, ln(sum(exp(z - 20))) + 20 - max(z) FILTER (key = label) AS instance FROM lg GROUP BY idx)"
+
+
+@query("m8_memory_loss", _CE.format(t="0.05") + f", {_INSTANCES} SELECT idx, round(loss, 6) AS loss, round(centroid, 6) AS centroid, round(instance, 6) AS instance FROM l JOIN cl USING (idx) JOIN il USING (idx)")
+def _(spark, d):
+    """The hard bank's loss, and the two of the bank with instances."""
+    bank, batch = bank_and_batch(spark, d)
+    hard = me.cross_entropy(me.scores(bank, batch, 0.05))
+    both = me.instance_losses(me.instance_bank(bank, batch, 4), batch, 0.05)
+    return hard.join(both, "idx").select("idx", *[F.round(c, 6).alias(c) for c in ("loss", "centroid", "instance")])
+
+
+_BANK_CE = "(SELECT avg(top + ln(s) - own) FROM (SELECT idx, max(z) AS top, max(z) FILTER (key = label) AS own, sum(exp(z - 20)) * exp(20 - max(z)) AS s FROM (SELECT idx, b.key, batch.key AS label, list_dot_product(v, m) / 0.05 AS z FROM batch, {bank} b) GROUP BY idx))"
+
+
+@query("m9_centre_loss", f"WITH {BANK}, {_BOTH} SELECT round(0.5 * ({_BANK_CE.format(bank='hard_bank')} + greatest(0.0, {_BANK_CE.format(bank='mean_bank')} - 0.2)), 6) AS loss")
+def _(spark, d):
+    """Of the banks after the batch has moved them."""
+    bank, batch = bank_and_batch(spark, d)
+    return me.centre_loss(me.update_hybrid(bank, batch), batch).select(F.round("loss", 6).alias("loss"))
+
+
+@query("m10_model_average", f"WITH {BANK}, {_BOTH} SELECT bank.key, k, round(bank.m[k] * 0.999 + s.m[k] * (1 - 0.999), 6) AS x FROM bank JOIN hard_bank s USING (key), {_DIMS}")
+def _(spark, d):
+    """The bank as teacher of parameters, the bank moved by the hardest vectors as student."""
+    bank, batch = bank_and_batch(spark, d)
+    return _out(me.model_average(bank, me.update_hardest(bank, batch)))
+
+
+@query("a26_running_average", "SELECT o_orderkey, round(sum(o_totalprice * (o_orderkey % 5 + 1)) OVER w / sum(o_orderkey % 5 + 1) OVER w, 4) AS avg FROM orders WINDOW w AS (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)")
+def _(spark, d):
+    weight = (F.col("o_orderkey") % 5 + 1).cast("double")
+    orders = fixtures.table(spark, d, "orders").select("o_orderkey", weight.alias("w"), (F.col("o_totalprice") * weight).alias("s"))
+    rows = running(orders, "o_orderkey", {"s": "sum", "w": "sum"})
+    return rows.select("o_orderkey", F.round(F.col("running_s") / F.col("running_w"), 4).alias("avg"))
+
 
-FOUND = f"{FEAT}, s AS (SELECT * FROM feat WHERE idx % 4 = 0), f AS (SELECT a.idx AS i, b.idx AS j, sqrt(greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * {DOT}, 1e-12)) AS d, {DOT} AS z, a.pid = b.pid AS same, a.cam = b.cam AS same_cam FROM s a, s b)"
+FOUND = f"{FEAT}, f AS MATERIALIZED (SELECT a.idx AS i, b.idx AS j, sqrt(greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v) - 2 * {DOT}, 1e-12)) AS d, {DOT} AS z, a.pid = b.pid AS same, a.cam = b.cam AS same_cam FROM feat a, feat b)"
 
 
 def found(spark, d):
-    f = feats(spark, d).where("idx % 4 = 0")
+    f = feats(spark, d)
+    size = lambda c: f.select(F.col("idx").alias(c), vec.dot(F.col("v"), F.col("v")).alias(f"size_{c}"))
     dots = pairs(f, f, metric="dot").select("i", "j", F.col("d").alias("z"), F.col("same_pid").alias("same"), "same_cam")
-    return dots.join(pairs(f, f, metric="euclid").select("i", "j", F.sqrt(F.greatest("d", F.lit(1e-12))).alias("d")), ["i", "j"])
+    squared = F.greatest(F.col("size_i") + F.col("size_j") - 2 * F.col("z"), F.lit(1e-12))
+    return dots.join(size("i"), "i").join(size("j"), "j").select("i", "j", "z", "same", "same_cam", F.sqrt(squared).alias("d"))
 
 
-_HARD = ", h AS (SELECT i, max(d) FILTER (same) AS hp, min(d) FILTER (NOT same) AS hn, arg_max(j, (d, -j)) FILTER (same) AS jp, arg_min(j, (d, j)) FILTER (NOT same) AS jn FROM f GROUP BY i)"
+_HARD = ", h AS (SELECT i, min(z) FILTER (same) AS sp, max(z) FILTER (NOT same) AS sn, max(d) FILTER (same) AS hp, min(d) FILTER (NOT same) AS hn, arg_max(j, (d, -j)) FILTER (same) AS jp, arg_min(j, (d, j)) FILTER (NOT same) AS jn FROM f GROUP BY i)"
 _L = lambda df: df.select(F.round("loss", 6).alias("loss"))
-query("w13_hardest_pairs", f"WITH {FOUND}{_HARD} SELECT i, round(hp, 6) AS hp, round(hn, 6) AS hn, jp, jn FROM h")(lambda spark, d: lo.hardest(found(spark, d)).select("i", F.round("hp", 6).alias("hp"), F.round("hn", 6).alias("hn"), "jp", "jn"))
-query("l1_triplet", f"WITH {FOUND}{_HARD} SELECT round(avg(greatest(0.0, hp - hn + 0.3)), 6) AS loss FROM h")(lambda spark, d: _L(lo.triplet(found(spark, d))))
+@query("w13_hardest_pairs", f"WITH {FOUND}{_HARD} SELECT i, round(hp, 6) AS hp, round(hn, 6) AS hn, jp, jn, round(sp, 6) AS sp, round(sn, 6) AS sn FROM h")
+def _(spark, d):
+    """By distance, and by similarity (larger is closer)."""
+    f = found(spark, d)
+    by = lo.hardest(f, "z", larger=True).select("i", F.round("hp", 6).alias("sp"), F.round("hn", 6).alias("sn"))
+    return lo.hardest(f).select("i", F.round("hp", 6).alias("hp"), F.round("hn", 6).alias("hn"), "jp", "jn").join(by, "i")
+
+
+@query("l1_triplet", f"WITH {FOUND}{_HARD} SELECT round(avg(greatest(0.0, hp - hn + 0.3)), 6) AS loss, round(avg(greatest(0.0, sn - sp + 0.3)), 6) AS cosine FROM h")
+def _(spark, d):
+    f = found(spark, d)
+    return _L(lo.triplet(f)).crossJoin(lo.triplet(f, d="z", larger=True).select(F.round("loss", 6).alias("cosine")))
+
+
 query("l2_soft_triplet", f"WITH {FOUND}{_HARD} SELECT round(avg(ln(1 + exp(hp * 1.1 - hn * 0.9))), 6) AS loss FROM h")(lambda spark, d: _L(lo.triplet(found(spark, d), None, 0.1)))
 query("l3_weighted_triplet", f"WITH {FOUND}, h AS (SELECT i, sum(d * exp(d)) FILTER (same) / sum(exp(d)) FILTER (same) AS p, sum(d * exp(-d)) FILTER (NOT same) / sum(exp(-d)) FILTER (NOT same) AS n FROM f GROUP BY i) SELECT round(avg(ln(1 + exp(p - n))), 6) AS loss FROM h")(lambda spark, d: _L(lo.weighted_triplet(found(spark, d))))
 _LP = "lp AS (SELECT *, z - ln(sum(exp(z)) OVER (PARTITION BY {i})) AS lp FROM {t})"
@@ -74,9 +129,32 @@ query("l7_margin_loss", _ZB.format(e="(list_dot_product(v, m) - CASE WHEN bank.k
     lambda spark, d: me.cross_entropy(lo.margin_scores(me.scores(*bank_and_batch(spark, d)))).agg(F.round(F.avg("loss"), 6).alias("loss")))
 query("l5_supervised_contrast", f"WITH {FOUND}, {_LP.format(i='i', t='f')} SELECT round(-avg(x), 6) AS loss FROM (SELECT i, avg(lp) AS x FROM lp WHERE same GROUP BY i)")(lambda spark, d: _L(lo.supervised_contrast(found(spark, d))))
 query("l6_top_k_contrast", f"WITH {FOUND}, g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i, same ORDER BY z, j) AS n FROM f) WHERE NOT same OR n <= 8), {_LP.format(i='i', t='g')} SELECT round(-avg(x), 6) AS loss FROM (SELECT i, avg(lp) AS x FROM lp WHERE same GROUP BY i)")(lambda spark, d: _L(lo.top_k_contrast(found(spark, d))))
-query("l8_same_camera_rescaled", f"WITH {FOUND}, g AS (SELECT i, j, same, z * CASE WHEN same_cam AND NOT same THEN 0.012 ELSE 1.0 END * 30 AS z FROM f), {_LP.format(i='i', t='g')} SELECT round(-avg(x), 6) AS loss FROM (SELECT i, avg(lp) AS x FROM lp WHERE same GROUP BY i)")(
-    lambda spark, d: _L(lo.supervised_contrast(found(spark, d).withColumn("z", F.col("z") * F.when(F.col("same_cam") & ~F.col("same"), F.lit(0.012)).otherwise(F.lit(1.0)) * 30))))
-query("l9_camera_contrast", f"WITH {FOUND}, g AS (SELECT i, j, same, (z - CASE WHEN same THEN 0.1 ELSE 0.0 END) / 0.07 AS z FROM f WHERE same_cam), {_LP.format(i='i', t='g')} SELECT round(-avg(x), 6) AS loss FROM (SELECT i, avg(lp) AS x FROM lp WHERE same GROUP BY i)")(lambda spark, d: _L(lo.camera_contrast(found(spark, d), margin=0.1)))
+#: A class for each camera and identity, with the unit mean of its vectors.
+_PROXIES = f"{FEAT}, pm AS (SELECT cam AS kc, pid AS kp, k, avg(v[k]) AS x FROM feat, {_DIMS} GROUP BY cam, pid, k), pc AS (SELECT kc, kp, list(x ORDER BY k) AS c FROM pm GROUP BY kc, kp), z0 AS (SELECT idx, kc, kp, cam = kc AS same_cam, pid = kp AS positive, list_dot_product(v, c) / sqrt(list_dot_product(c, c)) AS z FROM feat, pc), z AS MATERIALIZED (SELECT *, same_cam AND positive AS target, max(z) FILTER (same_cam AND positive) OVER (PARTITION BY idx) AS gt FROM z0)"
+
+
+def proxy_scores(spark, d):
+    """(idx, key, z, target, positive, same_cam): each vector's score with the class of each camera and identity."""
+    f = feats(spark, d)
+    means = vector_mean(f.select(F.struct("cam", "pid").alias("key"), "v"), ["key"])
+    z = f.select("idx", "cam", "pid", F.col("v").alias("x")).crossJoin(means.select("key", vec.normalize(F.col("v")).alias("c")))
+    same_cam, positive = F.col("key.cam") == F.col("cam"), F.col("key.pid") == F.col("pid")
+    return z.select("idx", "key", vec.dot(F.col("x"), F.col("c")).alias("z"), (same_cam & positive).alias("target"), positive.alias("positive"), same_cam.alias("same_cam"))
+
+
+query("l8_same_camera_margin", f"WITH {_PROXIES}, o AS (SELECT idx, target, 16 * (CASE WHEN target THEN z - 0.1 WHEN same_cam AND z >= gt THEN 1.012 * z + 0.012 ELSE z END) AS o FROM z) SELECT round(avg(l), 6) AS loss FROM (SELECT idx, ln(sum(exp(o))) - max(o) FILTER (target) AS l FROM o GROUP BY idx)")(lambda spark, d: _L(lo.same_camera_margin(proxy_scores(spark, d))))
+_ADVERSARIAL = "(SELECT avg(l) FROM (SELECT idx, sum((ln(neg + exp(o)) - o) * w) AS l FROM (SELECT idx, o, sum(CASE WHEN positive THEN 0.0 ELSE exp(o) END) OVER p AS neg, {e} * positive::INT / sum(positive::INT) OVER p + {own} * target::INT AS w FROM {t} WINDOW p AS (PARTITION BY idx)) GROUP BY idx))"
+_WIDER = "arc AS (SELECT idx, positive, target, 16 * CASE WHEN target THEN CASE WHEN z > cos(pi() - 0.7) THEN cos(acos(z) + 0.7) ELSE z - sin(pi() - 0.7) * 0.7 END WHEN same_cam THEN 1.2 * z + 0.2 ELSE z END AS o FROM (SELECT * REPLACE (greatest(-1.0, least(1.0, z)) AS z) FROM z)), flat AS (SELECT idx, positive, target, 16 * z AS o FROM z)"
+
+
+@query("l9_camera_adversarial", f"WITH {_PROXIES}, {_WIDER} SELECT round({_ADVERSARIAL.format(e=0.1, own=0.0, t='flat')}, 6) AS camera, round({_ADVERSARIAL.format(e=1.0, own=0.0, t='arc')}, 6) AS angular, round({_ADVERSARIAL.format(e=0.1, own=0.9, t='flat')}, 6) AS multi_camera")
+def _(spark, d):
+    """The three forms: positives alone, with an angular margin, and with the own class on top."""
+    z = proxy_scores(spark, d)
+    forms = {"camera": {}, "angular": {"epsilon": 1.0, "angle": 0.7}, "multi_camera": {"own": 0.9}}
+    one = [lo.camera_adversarial(z, **options).select(F.round("loss", 6).alias(name)) for name, options in forms.items()]
+    return one[0].crossJoin(one[1]).crossJoin(one[2])
+
 
 _V = f"WITH {FEAT} SELECT idx, {{}} FROM feat"
 query("f1_unit_length", f"WITH {FEAT} SELECT idx, k, round(v[k] / (sqrt(list_dot_product(v, v)) + 1e-12), 6) AS x FROM feat, {_DIMS}")(lambda spark, d: exploded(feats(spark, d).withColumn("v", vec.normalize(F.col("v"), 1e-12)), "idx"))

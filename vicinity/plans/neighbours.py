@@ -54,11 +54,11 @@ query("f7_linear_fusion", _qg(f"0.7 * greatest(0.0, 2 - 2 * {DOT}) + (1 - 0.7) *
     lambda spark, d: pairs(*split(spark, d), metric="dot").select("i", "j", F.round(F.lit(0.7) * F.greatest(F.lit(0.0), 2 - 2 * F.col("d")) + (1 - F.lit(0.7)) * (1 - F.col("d")), 6).alias("d")))
 
 #: All pairs with tiers: 0 same camera and identity, 1 another camera, 2 the rest of the camera.
-PAIRS = f"{FEAT}, pairs AS (SELECT a.idx AS i, b.idx AS j, greatest(0.0, 2 - 2 * {DOT}) AS d, a.cam = b.cam AS same_cam, a.pid = b.pid AS same_pid FROM feat a, feat b)"
+PAIRS = f"{FEAT}, pairs AS MATERIALIZED (SELECT a.idx AS i, b.idx AS j, greatest(0.0, 2 - 2 * {DOT}) AS d, a.cam = b.cam AS same_cam, a.pid = b.pid AS same_pid FROM feat a, feat b)"
 
 
 def _top(name: str, k: int, tier: str = "0", where: str = "true", source: str = "pairs") -> str:
-    return f", {name} AS (SELECT * FROM (SELECT *, {tier} AS tier, row_number() OVER (PARTITION BY i ORDER BY {tier}, d, j) AS rk FROM {source} WHERE {where}) WHERE rk <= {k})"
+    return f", {name} AS MATERIALIZED (SELECT * FROM (SELECT *, {tier} AS tier, row_number() OVER (PARTITION BY i ORDER BY {tier}, d, j) AS rk FROM {source} WHERE {where}) WHERE rk <= {k})"
 
 
 TIERS = "CASE WHEN same_cam AND same_pid THEN 0 WHEN same_cam THEN 2 ELSE 1 END"
@@ -102,7 +102,7 @@ query("j9_brute_force_knn", f"{SPLIT}, p AS (SELECT a.idx AS i, b.idx AS j, grea
     lambda spark, d: pairs(*split(spark, d), k=20, metric="euclid").select("i", "j", F.round("d", 6).alias("d"), F.col("rk").cast("long").alias("rk")))
 query("j10_w9_cross_camera_top", f"WITH {PAIRS}{_top('top', 5, '0', 'NOT same_cam')} SELECT i, j, rk FROM top")(
     lambda spark, d: pairs(feats(spark, d), feats(spark, d), k=5, rule="cross").select("i", "j", F.col("rk").cast("long").alias("rk")))
-query("j11_mutual_top", f"WITH {PAIRS}{_top('top', 20)} SELECT i, j FROM top WHERE (j, i) IN (SELECT (i, j) FROM top)")(
+query("j11_mutual_top", f"WITH {PAIRS}{_top('top', 20)} SELECT a.i, a.j FROM top a JOIN top b ON a.i = b.j AND a.j = b.i")(
     lambda spark, d: nb.mutual(pairs(feats(spark, d), feats(spark, d), k=20).select("i", "j")))
 query("j12_k_reciprocal", f"WITH {PAIRS}{_top('top', 21)} SELECT a.i, a.j FROM top a JOIN top b ON a.i = b.j AND a.j = b.i")(
     lambda spark, d: nb.k_reciprocal(pairs(feats(spark, d), feats(spark, d), k=21), 21).select("i", "j"))
