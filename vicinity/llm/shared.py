@@ -1,24 +1,11 @@
-"""What the operators of this subpackage share: cutting lineage, and size-checked broadcasts."""
+"""What the operators of this subpackage share: cutting lineage (from the checkpoints), and size-checked broadcasts."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's ``spark.checkpoint.dir`` is used; a temporary folder only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vicinity-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: later jobs don't repeat its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from vicinity.operators.checkpoints import cut, ensure_checkpoint_dir  # noqa: F401
 
 
 def small(df: DataFrame, max_rows: int) -> DataFrame:
