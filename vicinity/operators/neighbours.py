@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vicinity.operators.pairwise import pairs, ranked
+from vicinity.operators.checkpoints import cut
+from vicinity.operators.pairwise import pair_lists, pairs
 
 
 def mutual(sets: DataFrame) -> DataFrame:
@@ -99,13 +100,13 @@ def jaccard(weights: DataFrame, eps: float = 0.0, of: DataFrame | None = None) -
 
 def structured_jaccard(feat: DataFrame, *, k_search: int = 20, k_intra: int = 10, k_cross: int = 10, tau: float = 2.0, beta: float = 0.5, alpha: float = 0.3) -> DataFrame:
     """Jaccard distances under known identities within each camera: tiers, caps, grouped weights, balanced expansion."""
-    near = typed_neighbours(pairs(feat, feat, k=k_search, rule="tiers"), k_intra, k_cross)
+    near = typed_neighbours(cut(pairs(feat, feat, k=k_search, rule="tiers")), k_intra, k_cross)
     return jaccard(balanced_expansion(grouped_softmax_weights(near, alpha, tau), near, beta), 1e-12)
 
 
 def reciprocal_jaccard(feat: DataFrame, *, k1: int = 20, k2: int = 6, include_self_in_k: bool = True) -> DataFrame:
     """Jaccard distances of k-reciprocal neighbours. With ``include_self_in_k`` k1 counts the vector itself."""
-    top = pairs(feat, feat, k=max(k1 + 1, k2), metric="gram")
+    top = cut(pairs(feat, feat, k=max(k1 + 1, k2), metric="gram"))
     k = k1 if include_self_in_k else k1 + 1
     near = k_reciprocal(top, k)
     sets = recall_expansion(near.select("i", "j"), k_reciprocal(top, min(half(k1) + 1, k)).select("i", "j"))
@@ -128,27 +129,31 @@ def distances(feat: DataFrame, sets: DataFrame) -> DataFrame:
     return sets.join(a, "i").join(b, "j").select("i", "j", (2 - 2 * dot(F.col("vi"), F.col("vj"))).alias("d"))
 
 
-def camera_aware_jaccard(feat: DataFrame, *, ckrnns: bool = True, clqe: bool = True, k1: int = 30, k2: int = 6, k1_intra: int = 5, k1_inter: int = 20, k2_intra: int = 3, k2_inter: int = 3) -> DataFrame:
-    """Jaccard distances with neighbours ranked within and across cameras apart; the two switches give four modes."""
-    everything = pairs(feat, feat, metric="gram")
-    top = ranked(everything, k1 + 1)
+def euclidean(feat: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sets`` (i, j) with the squared Euclidean distance d, at least 0."""
+    from vicinity.functions.vectors import dot
 
-    def typed(first_same: bool, k: int) -> DataFrame:
-        tier = F.when(F.col("same_cam") == F.lit(first_same), 0).otherwise(1)
-        return ranked(everything.withColumn("tier", tier), k)
+    a, b = (feat.select(F.col("idx").alias(c), F.col("v").alias(f"v{c}"), dot(F.col("v"), F.col("v")).alias(f"size_{c}")) for c in "ij")
+    d = F.col("size_i") + F.col("size_j") - 2 * dot(F.col("vi"), F.col("vj"))
+    return sets.join(a, "i").join(b, "j").select("i", "j", F.greatest(d, F.lit(0.0)).alias("d"))
 
+
+def camera_aware_jaccard(feat: DataFrame, *, ckrnns: bool = True, clqe: bool = True, k1: int = 30, k2: int = 6, k1_intra: int = 5, k1_inter: int = 20, k2_intra: int = 3, k2_inter: int = 3) -> DataFrame:
+    """Jaccard distances with neighbours ranked within and across cameras apart; the two switches give four modes."""
+    lists = {"top": ("all", max(k1 + 1, k2)), "intra": ("same camera", max(k1_intra + 1, k2_intra)), "inter": ("other camera", max(k1_inter + 1, k2_inter))}
+    found = cut(pair_lists(feat, feat, lists, metric="gram"))
+    part = lambda name, k: found.where((F.col("list") == name) & (F.col("rk") <= k)).select("i", "j", "rk")
     if ckrnns:
-        intra, inter = typed(True, k1_intra + 1), typed(False, k1_inter + 1)
-        sets = mutual(intra.select("i", "j")).union(mutual(inter.select("i", "j"))).distinct()
+        sets = mutual(part("intra", k1_intra + 1).select("i", "j")).union(mutual(part("inter", k1_inter + 1).select("i", "j"))).distinct()
     else:
-        near = k_reciprocal(top, k1 + 1).select("i", "j")
-        sets = recall_expansion(near, k_reciprocal(top, half(k1) + 1).select("i", "j"))
+        top = part("top", k1 + 1)
+        sets = recall_expansion(k_reciprocal(top, k1 + 1).select("i", "j"), k_reciprocal(top, half(k1) + 1).select("i", "j"))
     weights = softmax_weights(distances(feat, sets))
     if clqe:
-        lists = typed(True, k2_intra).select("i", F.col("j").alias("n")).union(typed(False, k2_inter).select("i", F.col("j").alias("n")))
+        near = part("intra", k2_intra).union(part("inter", k2_inter))
     else:
-        lists = top.where(F.col("rk") <= k2).select("i", F.col("j").alias("n"))
-    return jaccard(local_expansion(weights, lists))
+        near = part("top", k2)
+    return jaccard(local_expansion(weights, near.select("i", F.col("j").alias("n"))))
 
 
 def priority_jaccard(feat: DataFrame, *, k1: int = 20, k_search_factor: float = 1.5, clqe: bool = True, k2: int = 6, k2_id: int = 3, k2_intra: int = 3, k2_inter: int = 3) -> DataFrame:
@@ -156,16 +161,14 @@ def priority_jaccard(feat: DataFrame, *, k1: int = 20, k_search_factor: float =
     import math
 
     k_search = math.ceil(k1 * k_search_factor) + 1
-    everything = pairs(feat, feat)
-    tier = F.when(F.col("same_cam") & F.col("same_pid"), 0).when(~F.col("same_cam"), 1).otherwise(2)
-    near = priority_fill(ranked(everything.withColumn("tier", tier), k_search), k1)
-    weights = softmax_weights(near)
+    lists = {"priority": ("tiers", k_search), "top": ("all", k2), "identity": ("same identity", k2_id), "intra": ("camera's others", k2_intra), "inter": ("other camera", k2_inter)}
+    found = cut(pair_lists(feat, feat, lists))
+    weights = softmax_weights(priority_fill(found.where("list = 'priority'"), k1))
     if clqe:
-        kinds = ((F.col("same_cam") & F.col("same_pid"), k2_id), (F.col("same_cam") & ~F.col("same_pid"), k2_intra), (~F.col("same_cam"), k2_inter))
-        lists = reduce(DataFrame.union, [ranked(everything.withColumn("tier", F.when(ok, 0).otherwise(1)), k).select("i", F.col("j").alias("n")) for ok, k in kinds]).distinct()
+        near = found.where("list in ('identity', 'intra', 'inter')").select("i", F.col("j").alias("n")).distinct()
     else:
-        lists = ranked(everything, k2).select("i", F.col("j").alias("n"))
-    return jaccard(local_expansion(weights, lists), 1e-12)
+        near = found.where("list = 'top'").select("i", F.col("j").alias("n"))
+    return jaccard(local_expansion(weights, near), 1e-12)
 
 
 def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6, lam: float = 0.3) -> DataFrame:
@@ -174,15 +177,16 @@ def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6,
     Distances are squared and divided by each vector's largest before anything is ranked.
     """
     both = queries.unionByName(gallery)
-    d = pairs(both, both, metric="euclid").select("i", "j", (F.col("d") * F.col("d")).alias("d"))
-    d = d.withColumn("d", F.col("d") / F.max("d").over(Window.partitionBy("i"))).withColumn("tier", F.lit(0))
-    top = ranked(d, max(k1 + 1, k2))
+    found = cut(pair_lists(both, both, {"top": ("all", max(k1 + 1, k2)), "far": ("far", 1)}, metric="euclid"))
+    most = found.where("list = 'far'").select("i", (F.col("d") * F.col("d")).alias("most"))
+    top = found.where("list = 'top'")
     near = k_reciprocal(top, k1 + 1).select("i", "j")
     sets = recall_expansion(near, k_reciprocal(top, half(k1) + 1).select("i", "j"))
-    weights = softmax_weights(sets.join(d.select("i", "j", "d"), ["i", "j"]))
+    scaled = lambda d: (F.col("d") * F.col("d") / F.col("most")).alias("d")
+    weights = softmax_weights(euclidean(both, sets).join(most, "i").select("i", "j", scaled("d")))
     if k2 > 1:
         weights = local_expansion(weights, top.where(F.col("rk") <= k2).select("i", F.col("j").alias("n")))
-    found = jaccard(weights, 0.0, queries.select(F.col("idx").alias("i")))
-    block = d.join(queries.select(F.col("idx").alias("i")), "i", "left_semi").join(gallery.select(F.col("idx").alias("j")), "j", "left_semi")
-    blended = block.join(found, ["i", "j"], "left")
+    close = jaccard(weights, 0.0, queries.select(F.col("idx").alias("i")))
+    block = pairs(queries, gallery, metric="euclid").select("i", "j", "d").join(most, "i").select("i", "j", scaled("d"))
+    blended = block.join(close, ["i", "j"], "left")
     return blended.select("i", "j", (F.coalesce("jaccard", F.lit(1.0)) * (1 - lam) + F.col("d") * lam).alias("final"))

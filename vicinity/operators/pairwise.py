@@ -1,8 +1,8 @@
-"""All pairs of vectors, and the first k of each, by blocks of a matrix product.
+"""All pairs of vectors, and the first k of each under one or several rules, by blocks of a matrix product.
 
 Vectors are packed into blocks; each pair of blocks is one row, whose dot products numpy takes at
-once. With ``k``, a pair of blocks gives only each vector's first k, so what Spark ranks is
-(rows x blocks x k), not all pairs.
+once. The pairs of a left block come one after another, so a task keeps the first k of each left vector while
+it goes over the right blocks, and gives (rows x k) pairs for each partition of the right side; Spark ranks those.
 """
 
 from __future__ import annotations
@@ -13,8 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCK_ROWS = 256
-_BLOCK = "vectors binary, ids binary, cams binary, pids binary, n int"
+BLOCK_ROWS = 512
+BROADCAST_BYTES = 64 << 20
+_BLOCK = "block long, vectors binary, ids binary, cams binary, pids binary, n int"
+_FOUND = "list string, i long, j long, d double, tier int, same_cam boolean, same_pid boolean"
+#: Tiers by (same camera, same identity), both as arrays of bool; 9 is left out.
+_TIERS = {
+    "all": lambda cam, pid: np.zeros(cam.shape, np.int32),
+    "far": lambda cam, pid: np.zeros(cam.shape, np.int32),
+    "cross": lambda cam, pid: np.where(cam, 9, 0),
+    "tiers": lambda cam, pid: np.where(cam & pid, 0, np.where(cam, 2, 1)),
+    "same camera": lambda cam, pid: np.where(cam, 0, 1),
+    "other camera": lambda cam, pid: np.where(cam, 1, 0),
+    "same identity": lambda cam, pid: np.where(cam & pid, 0, 1),
+    "camera's others": lambda cam, pid: np.where(cam & ~pid, 0, 1),
+}
 
 
 def pack(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -26,54 +39,101 @@ def pack(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
                 part = batch.slice(i, block_rows)
                 cols = [np.array(part.column(c).fill_null(-1).to_numpy(zero_copy_only=False), np.int64).tobytes() for c in ("idx", "cam", "pid")]
                 flat = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.record_batch([pa.array([x]) for x in (flat.tobytes(), *cols)] + [pa.array([part.num_rows], pa.int32())], names=["vectors", "ids", "cams", "pids", "n"])
+                yield pa.record_batch([pa.array([part.column("idx")[0].as_py()])] + [pa.array([x]) for x in (flat.tobytes(), *cols)] + [pa.array([part.num_rows], pa.int32())], names=["block", "vectors", "ids", "cams", "pids", "n"])
 
     label = lambda c: (F.col(c) if c in df.columns else F.lit(-1)).cast("long").alias(c)
     return df.select(F.col("idx").cast("long").alias("idx"), label("cam"), label("pid"), "v").mapInArrow(apply, _BLOCK)
 
 
-def pairs(left: DataFrame, right: DataFrame, *, k: int | None = None, metric: str = "squared", rule: str = "all", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(i, j, d, tier, same_cam, same_pid) of vectors of ``left`` and ``right``.
+class _First:
+    """The first k pairs of each left vector by (tier, key, j), of all that were added."""
+
+    def __init__(self, k: int, rows: int):
+        self.k, self.kept = k, None
+        self.last = np.full(rows, 10), np.full(rows, np.inf)  # tier and key of each row's k-th pair
+
+    def add(self, tier: np.ndarray, key: np.ndarray, j: np.ndarray, *others: np.ndarray) -> None:
+        t, x = (a[:, None] for a in self.last)
+        rows, cols = np.nonzero((tier < 9) & ((tier < t) | ((tier == t) & (key <= x))))
+        new = [rows, tier[rows, cols], key[rows, cols], j[cols], *(a[rows, cols] for a in others)]
+        new = new if self.kept is None else [np.concatenate(x) for x in zip(self.kept, new, strict=True)]
+        order = np.lexsort((new[3], new[2], new[1], new[0]))
+        new = [a[order] for a in new]
+        place = np.arange(len(order)) - np.searchsorted(new[0], new[0])
+        self.kept = [a[place < self.k] for a in new]
+        full = place == self.k - 1
+        self.last[0][new[0][full]], self.last[1][new[0][full]] = new[1][full], new[2][full]
+
+
+def pair_lists(left: DataFrame, right: DataFrame, lists: dict[str, tuple[str, int | None]], *, metric: str = "squared", block_rows: int | None = None) -> DataFrame:
+    """(list, i, j, d, tier, same_cam, same_pid and, for a list with k, rk) of vectors of ``left`` and ``right``.
 
     ``metric``: "dot", "squared" (2 - 2 x.y, at least 0), "gram" (the same, not clamped) or "euclid"
-    (x.x + y.y - 2 x.y, at least 0). ``rule``: "all"; "cross" (other cameras only); "tiers", where
-    tier 0 is the same camera and identity, 1 another camera, 2 the rest of the camera. With ``k``, only each
-    i's first k by (tier, d, j), or by (-dot, j).
+    (x.x + y.y - 2 x.y, at least 0). ``lists`` has a rule and k by name: "all"; "far" (farthest first); "cross" (other cameras
+    only); "tiers", where tier 0 is the same camera and identity, 1 another camera, 2 the rest of the camera; "same
+    camera", "other camera", "same identity" (and camera), "camera's others": those first, then the rest. With k, only each
+    i's first k by (tier, d, j), or by (-dot, j); ties go to the lower j. All lists come from one product.
     """
+    spark = left.sparkSession
+    size = right.agg(F.sum(F.size("v")).alias("n")).first().n or 0
+    if block_rows is None:  # small inputs in smaller blocks, so that every core has some
+        block_rows = min(BLOCK_ROWS, max(32, -(-left.count() // (2 * spark.sparkContext.defaultParallelism))))
+
+    def distances(x, y):
+        d = x @ y.T
+        if metric in ("squared", "gram"):
+            d = 2 - 2 * d
+        elif metric == "euclid":
+            d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * d
+        return np.maximum(d, 0) if metric in ("squared", "euclid") else d
+
+    def rows_of(name, i, rows, j, d, tier, cam, pid):
+        return pa.record_batch({"list": pa.array([name] * len(rows), pa.string()), "i": pa.array(i[rows]), "j": pa.array(j), "d": pa.array(d), "tier": pa.array(tier.astype(np.int32)), "same_cam": pa.array(cam), "same_pid": pa.array(pid)})
 
     def apply(batches):
+        now, i, firsts = None, None, {}
+
+        def flush():
+            for name, first in firsts.items():
+                if first.kept is not None:
+                    rows, tier, _, j, d, cam, pid = first.kept
+                    yield rows_of(name, i, rows, j, d, tier, cam, pid)
+
         for batch in batches:
             for r in batch.to_pylist():
                 x, y = (np.frombuffer(r[f"vectors{s}"]).reshape(r[f"n{s}"], -1) for s in "ab")
-                (i, cam_i, pid_i), (j, cam_j, pid_j) = ([np.frombuffer(r[c + s], np.int64) for c in ("ids", "cams", "pids")] for s in "ab")
-                d = x @ y.T
-                if metric in ("squared", "gram"):
-                    d = 2 - 2 * d
-                elif metric == "euclid":
-                    d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * d
-                if metric in ("squared", "euclid"):
-                    d = np.maximum(d, 0)
+                (ids, cam_i, pid_i), (j, cam_j, pid_j) = ([np.frombuffer(r[c + s], np.int64) for c in ("ids", "cams", "pids")] for s in "ab")
+                if r["blocka"] != now:
+                    yield from flush()
+                    now, i, firsts = r["blocka"], ids, {name: _First(k, len(ids)) for name, (_, k) in lists.items() if k is not None}
+                d = distances(x, y)
                 cam, pid = cam_i[:, None] == cam_j[None], pid_i[:, None] == pid_j[None]
-                tier = np.where(cam & pid, 0, np.where(cam, 2, 1)) if rule == "tiers" else np.zeros(d.shape, np.int64)
-                key = -d if metric == "dot" else d
-                if rule == "cross":
-                    tier = np.where(cam, 9, 0)
-                if k is not None and k < d.shape[1]:
-                    cols = np.lexsort((np.broadcast_to(j, d.shape), key, tier), axis=-1)[:, :k]
-                    rows = np.repeat(np.arange(len(i)), k)
-                    cols = cols.ravel()
-                else:
-                    rows, cols = (a.ravel() for a in np.indices(d.shape))
-                ok = tier[rows, cols] < 9
-                rows, cols = rows[ok], cols[ok]
-                at = (rows, cols)
-                yield pa.record_batch({"i": pa.array(i[rows]), "j": pa.array(j[cols]), "d": pa.array(d[at]), "tier": pa.array(tier[at].astype(np.int32)), "same_cam": pa.array(cam[at]), "same_pid": pa.array(pid[at])})
-
-    tasks = max(8, left.sparkSession.sparkContext.defaultParallelism)
-    a, b = pack(left, block_rows), pack(right, block_rows)
-    a, b = (x.select(*[F.col(c).alias(c + s) for c in x.columns]) for x, s in ((a, "a"), (b, "b")))
-    out = a.repartition(tasks).crossJoin(b).mapInArrow(apply, "i long, j long, d double, tier int, same_cam boolean, same_pid boolean")
-    return ranked(out, k, descending=metric == "dot") if k is not None else out
+                for name, (rule, k) in lists.items():
+                    tier = _TIERS[rule](cam, pid)
+                    if k is not None:
+                        firsts[name].add(tier, -d if (metric == "dot") != (rule == "far") else d, j, d, cam, pid)
+                        continue
+                    rows, cols = np.nonzero(tier < 9)
+                    yield rows_of(name, i, rows, j[cols], d[rows, cols], tier[rows, cols], cam[rows, cols], pid[rows, cols])
+        yield from flush()
+
+    a, b = (x.select(*[F.col(c).alias(c + s) for c in x.columns]) for x, s in ((pack(left, block_rows), "a"), (pack(right, block_rows), "b")))
+    tasks = max(8, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = a.repartition(tasks).crossJoin(F.broadcast(b) if 8 * size <= BROADCAST_BYTES else b).mapInArrow(apply, _FOUND)
+    if all(k is None for _, k in lists.values()):
+        return out
+    far, k = F.lit(False), F.lit(None).cast("int")
+    for name, (rule, most) in lists.items():
+        if (metric == "dot") != (rule == "far"):
+            far = far | (F.col("list") == name)
+        k = F.when(F.col("list") == name, most).otherwise(k)
+    place = F.row_number().over(Window.partitionBy("list", "i").orderBy("tier", F.when(far, -F.col("d")).otherwise(F.col("d")), "j"))
+    return out.withColumn("rk", place).where(k.isNull() | (F.col("rk") <= k))
+
+
+def pairs(left: DataFrame, right: DataFrame, *, k: int | None = None, metric: str = "squared", rule: str = "all", block_rows: int | None = None) -> DataFrame:
+    """``pair_lists`` of one list: (i, j, d, tier, same_cam, same_pid and, with k, rk)."""
+    return pair_lists(left, right, {"one": (rule, k)}, metric=metric, block_rows=block_rows).drop("list")
 
 
 def ranked(found: DataFrame, k: int | None = None, descending: bool = False) -> DataFrame:

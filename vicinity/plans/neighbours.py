@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from vicinity.functions import vectors as vec
 from vicinity.operators import neighbours as nb
-from vicinity.operators.pairwise import pairs, ranked
+from vicinity.operators.pairwise import pair_lists, pairs, ranked
 from vicinity.plans.registry import FEAT, query
 from vicinity.sources import fixtures
 
@@ -74,15 +74,13 @@ query("p11_tiered_ranks", f"WITH {PAIRS}{_top('top', 20, TIERS)} SELECT i, j, ti
     lambda spark, d: pairs(feats(spark, d), feats(spark, d), k=20, rule="tiers").select("i", "j", "tier", F.round("d", 6).alias("d"), F.col("rk").cast("long").alias("rk")))
 _T4 = "CASE WHEN same_cam AND same_pid THEN 0 WHEN same_cam THEN 4000 ELSE 2000 END"
 query("p12_priority_ranks", f"WITH {PAIRS}{_top('top', 31, _T4)} SELECT i, j, tier, rk FROM top")(
-    lambda spark, d: ranked(pairs(feats(spark, d), feats(spark, d)).withColumn("tier", F.when(F.col("same_cam") & F.col("same_pid"), 0).when(F.col("same_cam"), 4000).otherwise(2000)), 31).select("i", "j", "tier", F.col("rk").cast("long").alias("rk")))
+    lambda spark, d: pairs(feats(spark, d), feats(spark, d), k=31, rule="tiers").select("i", "j", (F.col("tier") * 2000).alias("tier"), F.col("rk").cast("long").alias("rk")))
 query("p13_camera_lists", f"WITH {PAIRS}{_top('near', 6, 'CASE WHEN same_cam THEN 0 ELSE 1 END')}{_top('far', 21, 'CASE WHEN same_cam THEN 1 ELSE 0 END')} SELECT 'intra' AS list, i, j, rk FROM near UNION ALL SELECT 'inter', i, j, rk FROM far")(
     lambda spark, d: _camera_lists(feats(spark, d)))
 
 
 def _camera_lists(f):
-    every = pairs(f, f)
-    one = lambda name, same, k: ranked(every.withColumn("tier", F.when(F.col("same_cam") == F.lit(same), 0).otherwise(1)), k).select(F.lit(name).alias("list"), "i", "j", F.col("rk").cast("long").alias("rk"))
-    return one("intra", True, 6).union(one("inter", False, 21))
+    return pair_lists(f, f, {"intra": ("same camera", 6), "inter": ("other camera", 21)}).select("list", "i", "j", F.col("rk").cast("long").alias("rk"))
 
 
 query("p14_typed_lists", f"WITH {PAIRS}{_top('a', 3, 'CASE WHEN same_cam AND same_pid THEN 0 ELSE 1 END')}{_top('b', 3, 'CASE WHEN same_cam AND NOT same_pid THEN 0 ELSE 1 END')}{_top('c', 3, 'CASE WHEN NOT same_cam THEN 0 ELSE 1 END')} SELECT i, j FROM a UNION SELECT i, j FROM b UNION SELECT i, j FROM c")(
@@ -90,10 +88,8 @@ query("p14_typed_lists", f"WITH {PAIRS}{_top('a', 3, 'CASE WHEN same_cam AND sam
 
 
 def _typed_lists(f):
-    every = pairs(f, f)
-    kinds = (F.col("same_cam") & F.col("same_pid"), F.col("same_cam") & ~F.col("same_pid"), ~F.col("same_cam"))
-    lists = [ranked(every.withColumn("tier", F.when(k, 0).otherwise(1)), 3).select("i", "j") for k in kinds]
-    return lists[0].union(lists[1]).union(lists[2]).distinct()
+    lists = {"identity": ("same identity", 3), "intra": ("camera's others", 3), "inter": ("other camera", 3)}
+    return pair_lists(f, f, lists).select("i", "j").distinct()
 
 
 query("p15_cross_camera_upper", f"WITH {PAIRS} SELECT i, count(*) AS n, round(min(d), 6) AS nearest FROM pairs WHERE NOT same_cam AND i < j GROUP BY i")(
@@ -135,7 +131,15 @@ def _groups(f):
 query("j17_zip_join", f"WITH {FEAT} SELECT idx, cam, CAST(pid % 4 - 1 AS INT) AS p_label FROM feat WHERE pid % 4 - 1 <> -1")(
     lambda spark, d: feats(spark, d).select("idx", "cam").join(feats(spark, d).select("idx", (F.col("pid") % 4 - 1).cast("int").alias("p_label")), "idx").where("p_label <> -1"))
 query("j18_u4_junk_anti_join", f"{SPLIT} SELECT a.idx AS i, count(*) AS n FROM q a, g b WHERE NOT (a.pid = b.pid AND a.cam = b.cam) GROUP BY a.idx")(
-    lambda spark, d: (lambda q, g: q.select(F.col("idx").alias("i"), "pid", "cam").crossJoin(g.select(F.col("idx").alias("j"))).join(g.select(F.col("idx").alias("j"), "pid", "cam"), ["j", "pid", "cam"], "left_anti").groupBy("i").agg(F.count("*").alias("n")))(*split(spark, d)))
+    lambda spark, d: _not_junk(*split(spark, d)))
+
+
+def _not_junk(q, g):
+    """How many gallery rows aren't of the query's identity and camera: all less the group's."""
+    groups = g.groupBy("pid", "cam").agg(F.count("*").alias("junk"))
+    every = g.agg(F.count("*").alias("total"))  # one row
+    return q.join(groups, ["pid", "cam"], "left").crossJoin(every).select(F.col("idx").alias("i"), (F.col("total") - F.coalesce("junk", F.lit(0))).alias("n"))
+
 
 query("w1_full_argsort", f"{SPLIT} SELECT a.idx AS i, b.idx AS j, row_number() OVER (PARTITION BY a.idx ORDER BY greatest(0.0, 2 - 2 * {DOT}), b.idx) AS rk FROM q a, g b")(
     lambda spark, d: ranked(pairs(*split(spark, d))).select("i", "j", F.col("rk").cast("long").alias("rk")))
@@ -149,7 +153,7 @@ query("w5_typed_caps", f"WITH {PAIRS}{_top('top', 20, TIERS)}{TYPED} SELECT i, j
     lambda spark, d: nb.typed_neighbours(pairs(feats(spark, d), feats(spark, d), k=20, rule="tiers"), 10, 10).select("i", "j", "tier"))
 FILL = ", fill AS (SELECT i, j, d, tier FROM (SELECT a.*, row_number() OVER (PARTITION BY a.i ORDER BY (b.i IS NULL AND a.i <> a.j), a.rk) AS n FROM top a LEFT JOIN top b ON a.i = b.j AND a.j = b.i) WHERE n <= 20)"
 query("w6_priority_fill", f"WITH {PAIRS}{_top('top', 31, TIERS.replace('2', '3').replace('1', '2'))}{FILL} SELECT i, j FROM fill")(
-    lambda spark, d: nb.priority_fill(ranked(pairs(feats(spark, d), feats(spark, d)).withColumn("tier", F.when(F.col("same_cam") & F.col("same_pid"), 0).when(F.col("same_cam"), 3).otherwise(2)), 31), 20).select("i", "j"))
+    lambda spark, d: nb.priority_fill(pairs(feats(spark, d), feats(spark, d), k=31, rule="tiers"), 20).select("i", "j"))
 query("w7_smallest_pairs", f"WITH {PAIRS} SELECT i, j, round(d, 6) AS d FROM pairs WHERE NOT same_cam AND i < j ORDER BY pairs.d, i, j LIMIT 100")(
     lambda spark, d: pairs(feats(spark, d), feats(spark, d), rule="cross").where("i < j").orderBy("d", "i", "j").limit(100).select("i", "j", F.round("d", 6).alias("d")))
 query("w8_sorted_edges", f"WITH {PAIRS}{_top('top', 5, '0', 'NOT same_cam')} SELECT row_number() OVER (ORDER BY d, i, j) AS place, i, j FROM top WHERE i < j")(
@@ -159,9 +163,8 @@ query("u1_u2_u3_set_sizes", f"WITH {PAIRS}{_top('a', 6, 'CASE WHEN same_cam THEN
 
 
 def _set_sizes(f):
-    every = pairs(f, f)
-    a = ranked(every.withColumn("tier", F.when(F.col("same_cam"), 0).otherwise(1)), 6).groupBy("i").agg(F.collect_set("j").alias("a"))
-    b = ranked(every, 10).groupBy("i").agg(F.collect_set("j").alias("b"))
+    found = pair_lists(f, f, {"a": ("same camera", 6), "b": ("all", 10)})
+    a, b = (found.where(F.col("list") == c).groupBy("i").agg(F.collect_set("j").alias(c)) for c in "ab")
     return a.join(b, "i").select("i", F.size(F.array_union("a", "b")).cast("long").alias("union_size"), F.size(F.array_intersect("a", "b")).cast("long").alias("common"))
 
 
