@@ -16,6 +16,17 @@ from pyspark.sql.window import Window
 from vicinity.operators.checkpoints import cut
 
 
+HUB = 4096
+
+
+def on_hub(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``by`` (key, n, ..) on key, where n is how many rows have it. Keys of over ``HUB`` rows are broadcast
+    (there are at most a ``HUB``-th as many as rows), so that no task takes all rows of one; the others are shuffled."""
+    hubs = F.broadcast(by.where(F.col("n") > HUB).drop("n"))
+    others = rows.join(hubs.select(key), key, "left_anti").join(by.where(F.col("n") <= HUB).drop("n"), key)
+    return rows.join(hubs, key).unionByName(others)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the least node of each component of ``edges`` (a, b). Alternating large and small stars."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
@@ -26,10 +37,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = seen
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "a"))
+        large = on_hub(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = on_hub(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = cut(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
