@@ -10,7 +10,9 @@ a leak if the tiles cover ``MIN_COVERAGE`` of the item's words, in whatever orde
 
 Null and empty texts and items never match. Ties between matches go to the earlier place in the
 item, then in the document. Each of repeated rows is judged on its own; so is each repeated item.
-Empty tables give an empty result. A null doc_id or item_id is carried through.
+Empty tables give an empty result. A null doc_id or item_id is carried through. Texts are taken whole, however long
+and repetitive: what is held of a pair grows with the sum of its words, not with their product. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from vicinity.llm.shared import cut, small
 
 MIN_TILE = 5
 MIN_COVERAGE = 0.8
+PAIRS_AT_ONCE = 1 << 20
 BLOOM_BITS = 1 << 23
 ITEMS_TO_BROADCAST = 5_000
 
@@ -78,6 +81,26 @@ def _bitmap(items: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _starts(item: np.ndarray, doc: np.ndarray, order: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
+    """Where maximal matches begin: places in the item and in the document, some item places at a time.
+
+    The pairs of a seed that both repeat are gone through, ``PAIRS_AT_ONCE`` at a time, but only the beginnings are kept:
+    two runs of one word have as many as they have words, not as many as they have pairs.
+    """
+    n = high - low
+    cuts = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), PAIRS_AT_ONCE)).tolist()
+    for a, b in zip([0, *cuts[1:]], [*cuts[1:], len(n)], strict=True) if cuts else [(0, 0)]:
+        m = n[a:b]
+        i = np.repeat(np.arange(a, b), m)
+        j = order[np.repeat(low[a:b], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+        first = (i == 0) | (j == 0) | (item[i - 1] != doc[j - 1])
+        i, j = i[first], j[first]
+        for s in range(k):
+            same = item[i + s] == doc[j + s]
+            i, j = i[same], j[same]
+        yield i, j
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, min_tile: int = MIN_TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word hashes: (length, place in the item, place in the document) of each tile."""
     k = min(min_tile, len(item))
@@ -93,21 +116,17 @@ def tiles(item: np.ndarray, doc: np.ndarray, min_tile: int = MIN_TILE) -> list[t
     a, b = rolling(item), rolling(doc)
     order = np.argsort(b, kind="stable")
     low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    n = high - low
-    i = np.repeat(np.arange(len(a)), n)
-    j = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    same = np.ones(len(i), bool)
-    for s in range(k):
-        same &= item[i + s] == doc[j + s]
-    i, j = i[same], j[same]
-    diagonal = np.lexsort((i, j - i))  # runs of seeds along a diagonal are maximal matches
-    i, j = i[diagonal], j[diagonal]
+    i, j = (np.concatenate(x) for x in zip(*_starts(item, doc, order, low, high, k), strict=True))
     if not len(i):
         return []
-    new = np.concatenate([[True], (np.diff(j - i) != 0) | (np.diff(i) != 1)])
-    first = np.flatnonzero(new)
-    length = np.diff([*first, len(i)]) + k - 1
-    queue = [(-int(m), int(x), int(y)) for m, x, y in zip(length, i[first], j[first], strict=True)]
+    length, on = np.full(len(i), k), np.arange(len(i))
+    while len(on):  # a word further, where the match goes on
+        x, y = i[on] + length[on], j[on] + length[on]
+        on = on[(x < len(item)) & (y < len(doc))]
+        x, y = i[on] + length[on], j[on] + length[on]
+        on = on[item[x] == doc[y]]
+        length[on] += 1
+    queue = [(-int(m), int(x), int(y)) for m, x, y in zip(length, i, j, strict=True)]
     heapq.heapify(queue)
     in_item, in_doc, found = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
     while queue:
