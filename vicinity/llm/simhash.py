@@ -16,7 +16,8 @@ of its own. Nothing is left out.
 
 Null and empty texts have fingerprint zero, linked like any other. Repeated rows each come out.
 A null doc_id comes out, with the component of its fingerprint, whose id is the least doc_id
-that isn't null. Empty tables give empty results.
+that isn't null. A bit that is set in exactly half of the shingles (a tie) is 0. Texts are read whole, however long. Empty
+tables give empty results. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from xxhash import xxh64_digest
 
 from vicinity.llm import textblocks as tb
 from vicinity.llm.shared import cut
-from vicinity.operators.clustering import components
+from vicinity.operators.clustering import components, on_hub
 
 MAX_DISTANCE = 4
 SHINGLE = 4
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, *, max_distance: int = MAX_DISTANCE, shingl
     rows = cut(fingerprints(docs, shingle=shingle))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(distinct.select("fp"), distinct.count(), max_distance=max_distance, **options))
-    rooted = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
+    rooted = cut(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_fp = on_hub(rooted.select("fp", "root"), by_root, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
