@@ -663,8 +663,30 @@ def test_quality_verdicts_do_not_depend_on_the_table_size(spark):
         assert sum(x != bool(want) for x in some) <= 0.02 * len(some)
 
 
+def test_tiles_of_repeated_words_need_little_memory():
+    import tracemalloc
+
+    item, doc = np.zeros(200, np.uint64), np.zeros(32000, np.uint64)
+    tracemalloc.start()
+    assert decontamination.tiles(item, doc) == [(200, 0, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
 def test_extra_columns_with_clashing_names(spark, docs):
     wide = docs.withColumns({c: F.lit("clash") for c in ("fp", "size", "key", "uid", "row", "seed", "words", "trusted", "block", "score", "label", "i", "carried")})
     assert simhash.near_duplicates(wide).count() == license_scan.scan(wide).count() == source_mix.mix_by_document(wide).count() == suffix_dedup.removed_spans(wide).count() == docs.count()
     assert quality_rules.quality_rules(wide, docs.select("doc_id").limit(1)).count() == docs.count()
     assert suffix_dedup.kept_texts(wide).columns == wide.columns
+    items = spark.createDataFrame([(1, PASSAGE, "x", 2)], "item_id long, text string, words string, uid long")
+    assert sorted(str(r) for r in decontamination.leaks(wide.withColumn("item", F.lit("x")), items).collect()) == sorted(str(r) for r in decontamination.leaks(docs, items.select("item_id", "text")).collect())
+    model = quality_classifier.train(wide.withColumn("value", F.lit("x")), docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as label").where("doc_id is not null"))
+    kept = quality_classifier.keep_good(wide, model)
+    assert kept.columns == wide.columns and quality_classifier.score(wide, model).count() == docs.count()
+    assert kept.count() == quality_classifier.score(docs, model).where("predicted = 1").count()
+    assert attention_lm.score(wide.withColumn("ids", F.lit("x")), RANKS.read_bytes(), queries.WORD_PATTERN, least_ids=1).count() == docs.count()
+    pages = spark.createDataFrame([(1, "u", "<p>x", "clash")], "page_id long, url string, html string, text string")
+    assert html_extract.main_text(pages).columns == ["page_id", "url", "text", "n_chars"]
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x", "y")], "conv_id long, turn long, role string, text string, content string, formatted string")
+    turns = turns.withColumn("parts", chat_format.text_parts(F.col("text")))
+    assert chat_format.read_back(chat_format.format_chat(turns)).count() == 1

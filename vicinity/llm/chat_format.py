@@ -11,7 +11,8 @@ can come from a text, and taking the backslashes out again gives the text exactl
 Null texts and roles count as empty, an unknown part type as a document, a null list of parts
 as no parts. Turns are ordered by turn (null first), then role and content, so equal turn
 numbers and repeated rows have one order; each repeated row is a turn of its own. A null
-conv_id is a conversation. Empty tables give empty results.
+conv_id is a conversation. Texts are taken whole, however long. Other columns are ignored, whatever their names.
+Empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Phrases (``mit license`` and so on) are templates of one run each; every place w
 is counted. Words are runs of ``[0-9a-z]`` and non-ASCII characters after lower-casing A-Z.
 
 Null and empty texts have no words and no labels. Repeated rows are grouped by a row number of
-their own within each task, so each keeps its own result. Empty tables give empty results.
+their own within each task, so each keeps its own result. Places with equal votes (ties) all count. Texts are read
+whole, however long. Empty tables give empty results. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ labelled rows (those with the smallest hashes of doc_id), which is the one bound
 every row is scored, over its whole text.
 
 Null and empty texts have no words and are scored by their statistics. Repeated rows get equal
-scores. Without labelled rows every score is 0.5. Null metadata counts as 0.
+scores; ties among the sampled hashes go to the lower doc_id. Without labelled rows every score is 0.5. Null metadata
+counts as 0. Texts are read whole, however long. Empty tables give empty results. Columns that aren't named are ignored, or
+carried by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations

@@ -81,9 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()} | {"pipeline": corpus_pipeline.run}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 OP3_SQL = """

@@ -11,8 +11,8 @@ Ranks and running sums are taken within bounded chunks, with a prefix sum over t
 totals, so a source that holds most rows doesn't end up in one task.
 
 Null texts have size 0; a null source is a source of its own, last in order. Documents of size 0
-are returned with nothing taken. Repeated rows count one by one. Of an empty table nothing
-comes out.
+are returned with nothing taken. Repeated rows count one by one; equal hashes (ties) go by doc_id, then row. Texts are
+counted whole, however long. Of an empty table nothing comes out. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
