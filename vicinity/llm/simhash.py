@@ -242,6 +242,6 @@ def near_duplicates(docs: DataFrame, *, max_distance: int = MAX_DISTANCE, shingl
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(links(distinct.select("fp"), distinct.count(), max_distance=max_distance, **options))
     rooted = cut(distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    by_root = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
     by_fp = on_hub(rooted.select("fp", "root"), by_root, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
