@@ -1,11 +1,14 @@
 """Components, density clustering and label propagation over sparse pairs.
 
 Iterations run on the driver; their tables are cut with checkpoints in the shared folder.
-Sequential steps (greedy association) are ordered folds in one task over pre-reduced edges.
+Sequential steps (greedy association) are ordered folds over pre-reduced edges. A step depends only on earlier steps of its own
+component, so beyond ``FOLD_ROWS`` edges whole components are dealt to parts, a task each; one component has to fit into a task.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,6 +20,7 @@ from vicinity.operators.checkpoints import cut
 
 
 HUB = 4096
+FOLD_ROWS = 1 << 20
 
 
 def on_hub(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
@@ -67,9 +71,25 @@ def dbscan(nodes: DataFrame, close: DataFrame, min_samples: int) -> DataFrame:
     return nodes.select("idx").join(labels, "idx", "left").join(border, "idx", "left").select("idx", F.coalesce("label", "border", F.lit(-1)).cast("int").alias("label"))
 
 
-def ordered_fold(rows: DataFrame, order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``fold`` over all rows in order, in one task: for steps that depend on all steps before. Pre-reduce ``rows``."""
-    return rows.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda t: fold(t.sort_values(order, kind="stable")), schema)
+def in_components(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``rows``, cut, with ``_part``: rows whose links (a, b) are of one component share it, and a part has some ``FOLD_ROWS`` rows."""
+    rows = cut(rows)
+    parts = -(-rows.count() // FOLD_ROWS)
+    if parts <= 1:
+        return rows.withColumn("_part", F.lit(0))
+    roots = components(rows.select(F.col(a).alias("a"), F.col(b).alias("b"))).withColumnRenamed("node", a)
+    return cut(rows.join(roots, a, "left").withColumn("_part", F.pmod(F.xxhash64(F.coalesce("root", a)), F.lit(parts))).drop("root"))
+
+
+def ordered_fold(placed: DataFrame, order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fold`` over each part of ``in_components``, in order: for steps that depend on earlier steps of their component."""
+    return placed.groupBy("_part").applyInPandas(lambda t: fold(t.sort_values(order, kind="stable")), schema)
+
+
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with label: the place of their keys among the sorted distinct ones, from 0. Ranks are taken over distinct values."""
+    order = rows.select(*keys).distinct().withColumn("label", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("int"))
+    return rows.join(order, list(keys))
 
 
 def camera_exclusive_edges(candidates: DataFrame) -> DataFrame:
@@ -85,18 +105,19 @@ def camera_exclusive_edges(candidates: DataFrame) -> DataFrame:
                 out.append((i, j))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return ordered_fold(candidates.select("i", "j", "d", "cam_i", "cam_j"), ["d", "i", "j"], fold, "a long, b long")
+    rows = candidates.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "d", "cam_i", "cam_j")
+    return ordered_fold(in_components(rows, "i", "j"), ["d", "i", "j"], fold, "a long, b long")
 
 
 def constrained_unions(edges: DataFrame, nodes: DataFrame, max_unions: int | None = None) -> DataFrame:
     """(idx, label): union-find over ``edges`` (i, j, d) in order; sets with a common camera are not joined. ``nodes``: (idx, cam).
 
-    Labels follow each set's least node; nodes alone have labels of their own.
+    Labels follow each set's least node; nodes alone have labels of their own. ``max_unions`` bounds the unions of all
+    components together: the first ones in order count, and edges after the last of them are left out.
     """
 
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        cams = {i: {c} for i, c in zip(t.loc[t.kind == 0, "i"].tolist(), t.loc[t.kind == 0, "j"].tolist(), strict=True)}
-        parent = {i: i for i in cams}
+    def walk(t: pd.DataFrame, most: float = math.inf) -> tuple[list, dict]:
+        cams, parent, joined = {}, {}, []
 
         def find(x):
             while parent[x] != x:
@@ -104,109 +125,125 @@ def constrained_unions(edges: DataFrame, nodes: DataFrame, max_unions: int | Non
                 x = parent[x]
             return x
 
-        unions = 0
-        for i, j in t.loc[t.kind == 1, ["i", "j"]].itertuples(index=False):
-            if max_unions is not None and unions >= max_unions:
+        for i, j, d, ci, cj in zip(t.i.tolist(), t.j.tolist(), t.d.tolist(), t.cam_i.tolist(), t.cam_j.tolist(), strict=True):
+            if len(joined) >= most:
                 break
+            for x, c in ((i, ci), (j, cj)):
+                if x not in parent:
+                    parent[x], cams[x] = x, {c}
             a, b = sorted((find(i), find(j)))
             if a != b and cams[a].isdisjoint(cams[b]):
                 parent[b] = a
                 cams[a] |= cams.pop(b)
-                unions += 1
-        roots = {x: n for n, x in enumerate(sorted({find(i) for i in parent}))}
-        return pd.DataFrame([(i, roots[find(i)]) for i in parent], columns=["idx", "label"]).astype({"idx": "int64", "label": "int32"})
+                joined.append((d, i, j))
+        return joined, {x: find(x) for x in list(parent)}
 
-    both = nodes.select(F.lit(0).alias("kind"), F.col("idx").cast("long").alias("i"), F.col("cam").cast("long").alias("j"), F.lit(0.0).alias("d"))
-    both = both.unionByName(edges.select(F.lit(1).alias("kind"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("d").cast("double").alias("d")))
-    return ordered_fold(both, ["kind", "d", "i", "j"], fold, "idx long, label int")
+    def unions(t: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(walk(t)[0], columns=["d", "i", "j"]).astype({"d": "float64", "i": "int64", "j": "int64"})
+
+    def sets(t: pd.DataFrame, most: float = math.inf) -> pd.DataFrame:
+        return pd.DataFrame(list(walk(t, most)[1].items()), columns=["idx", "root"]).astype("int64")
+
+    cam = lambda c: nodes.select(F.col("idx").cast("long").alias(c), F.col("cam").alias(f"cam_{c}"))
+    rows = edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("d").cast("double").alias("d"))
+    order = ["d", "i", "j"]
+    placed = in_components(rows.join(cam("i"), "i").join(cam("j"), "j"), "i", "j")
+    if max_unions is not None and placed.select("_part").distinct().limit(2).count() == 1:
+        sets = functools.partial(sets, most=max_unions)
+    elif max_unions is not None:
+        last = ordered_fold(placed, order, unions, "d double, i long, j long").orderBy(*order).limit(max_unions).agg(F.max(F.struct(*order)).alias("last")).first().last
+        placed = placed.where(F.struct(*order) <= F.struct(F.lit(last.d), F.lit(last.i).cast("long"), F.lit(last.j).cast("long"))) if last else placed.where("false")
+    rooted = nodes.select(F.col("idx").cast("long").alias("idx")).join(ordered_fold(placed, order, sets, "idx long, root long"), "idx", "left")
+    return numbered(rooted.withColumn("root", F.coalesce("root", "idx")), "root").select("idx", "label")
 
 
 def agglomerate_groups(edges: DataFrame, threshold: float) -> DataFrame:
-    """(cam, id, gid) from ``edges`` (cam1, id1, cam2, id2, d) under ``threshold``, nearest first.
+    """(cam, id, gid) from ``edges`` (cam1, id1, cam2, id2, d) under ``threshold``, nearest first; ties go by both cameras, then both ids.
 
-    Two new groups found a set; a new one joins a set that lacks its camera; two sets merge if they share no camera.
+    Two new groups found a set; a new one joins a set that lacks its camera; two sets that share no camera make a new set.
+    gid numbers the sets that are left by when they were made.
     """
+    born = ["d", "cam1", "cam2", "id1", "id2"]
 
     def fold(t: pd.DataFrame) -> pd.DataFrame:
-        of: dict[tuple, int] = {}
-        sets: dict[int, list] = {}
-        fresh = 0
-        for c1, i1, c2, i2 in zip(t.cam1.tolist(), t.id1.tolist(), t.cam2.tolist(), t.id2.tolist(), strict=True):
-            x, y = (c1, i1), (c2, i2)
+        of: dict[tuple, tuple] = {}
+        sets: dict[tuple, list] = {}
+        for key in zip(*[t[c].tolist() for c in born], strict=True):
+            x, y = (key[1], key[3]), (key[2], key[4])
             gx, gy = of.get(x), of.get(y)
             if gx is None and gy is None:
-                sets[fresh] = [x, y]
-                of[x] = of[y] = fresh
-                fresh += 1
+                members = [x, y]
             elif gx is None or gy is None:
                 g, new = (gy, x) if gx is None else (gx, y)
                 if all(new[0] != c for c, _ in sets[g]):
                     sets[g].append(new)
                     of[new] = g
+                continue
             elif gx != gy and {c for c, _ in sets[gx]}.isdisjoint(c for c, _ in sets[gy]):
-                keep, gone = min(gx, gy), max(gx, gy)
-                for member in sets.pop(gone):
-                    sets[keep].append(member)
-                    of[member] = keep
-        return pd.DataFrame([(c, i, g) for (c, i), g in of.items()], columns=["cam", "id", "gid"]).astype("int64")
+                members = sets.pop(gx) + sets.pop(gy)
+            else:
+                continue
+            sets[key] = members
+            of.update(dict.fromkeys(members, key))
+        out = pd.DataFrame([(*x, *key) for x, key in of.items()], columns=["cam", "id", *born])
+        return out.astype({c: "float64" if c == "d" else "int64" for c in out.columns})
 
-    return ordered_fold(edges.where(F.col("d") < threshold), ["d", "cam1", "id1", "cam2", "id2"], fold, "cam long, id long, gid long")
+    rows = edges.where(F.col("d") < threshold).select(F.col("d").cast("double").alias("d"), *[F.col(c).cast("long").alias(c) for c in born[1:]])
+    rows = rows.withColumns({"_a": F.xxhash64("cam1", "id1"), "_b": F.xxhash64("cam2", "id2")})
+    found = ordered_fold(in_components(rows, "_a", "_b"), born, fold, "cam long, id long, d double, cam1 long, cam2 long, id1 long, id2 long")
+    return numbered(found, *born).select("cam", "id", F.col("label").cast("long").alias("gid"))
 
 
-def absorb_and_repel(links: DataFrame, groups: DataFrame, *, absorb: float = 0.8, repel: float = 0.3) -> DataFrame:
-    """(idx, label) of groups: each takes in, in order, groups of other cameras that have no label yet and a similarity of ``absorb`` or more.
+def absorb_and_repel(links: DataFrame, groups: DataFrame, *, absorb: float = 0.8, repel: float = 0.3, close: DataFrame | None = None) -> DataFrame:
+    """(idx, label) of groups: each, in order, founds a cluster with the groups of other cameras that have no label yet and a similarity
+    of ``absorb`` or more, leaving the one that it was in.
 
     ``links``: (i, j, s) similarities of groups over cameras; ``groups``: (idx). A group left over whose best similarity is
-    under ``repel`` stays -1; any other gets a label of its own.
+    under ``repel`` stays -1, unless ``close`` (i, j: pairs that are near, both ways and with itself) clusters those left by density, two and more;
+    any other gets a label of its own.
     """
 
     def fold(t: pd.DataFrame) -> pd.DataFrame:
-        nodes = t.loc[t.kind == 0, "i"].tolist()
-        label = dict.fromkeys(nodes, -1)
-        best: dict[int, float] = {}
-        near: dict[int, list] = {}
-        for i, j, s in t.loc[t.kind == 1, ["i", "j", "s"]].itertuples(index=False):
-            best[i] = max(best.get(i, -1.0), s)
-            if s >= absorb:
-                near.setdefault(i, []).append(j)
-        fresh = 0
-        for i in nodes:
-            taken = [j for j in near.get(i, []) if label[j] == -1]
-            if label[i] == -1 and taken:
-                label[i] = fresh
-                fresh += 1
-            for j in taken:
-                label[j] = label[i]
-        for i in nodes:
-            if label[i] == -1 and best.get(i, -1.0) >= repel:
-                label[i] = fresh
-                fresh += 1
-        return pd.DataFrame(list(label.items()), columns=["idx", "label"]).astype({"idx": "int64", "label": "int32"})
-
-    rows = groups.select(F.lit(0).alias("kind"), F.col("idx").cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0.0).alias("s"))
-    rows = rows.unionByName(links.select(F.lit(1).alias("kind"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("s").cast("double").alias("s")))
-    return ordered_fold(rows, ["kind", "i", "j"], fold, "idx long, label int")
+        founder: dict[int, int] = {}
+        for i, near in t.groupby("i", sort=True).j:
+            taken = [j for j in near.tolist() if j not in founder]
+            if taken:
+                founder.update(dict.fromkeys([*taken, int(i)], int(i)))
+        return pd.DataFrame(list(founder.items()), columns=["idx", "founder"]).astype("int64")
+
+    links = cut(links.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "s"))
+    found = ordered_fold(in_components(links.where(F.col("s") >= absorb).select("i", "j"), "i", "j"), ["i", "j"], fold, "idx long, founder long")
+    best = links.groupBy(F.col("i").alias("idx")).agg(F.max("s").alias("best"))
+    phase = F.when(F.col("founder").isNotNull(), 0).when(F.col("best") >= repel, 1)
+    rows = groups.select(F.col("idx").cast("long").alias("idx")).join(found, "idx", "left").join(best, "idx", "left").select("idx", phase.alias("phase"), F.coalesce("founder", "idx").alias("founder"))
+    if close is not None:
+        rows = cut(rows)
+        left = rows.where("phase is null").select("idx")
+        among = close.join(left.withColumnRenamed("idx", "i"), "i", "left_semi").join(left.withColumnRenamed("idx", "j"), "j", "left_semi")
+        dense = dbscan(left, among, 2).select("idx", F.when(F.col("label") != -1, 2).alias("phase"), F.col("label").cast("long").alias("founder"))
+        rows = rows.where("phase is not null").unionByName(dense)
+    rows = cut(rows)
+    return numbered(rows.where("phase is not null"), "phase", "founder").select("idx", "label").unionByName(rows.where("phase is null").select("idx", F.lit(-1).alias("label")))
 
 
 def propagate_known(near: DataFrame, nodes: DataFrame, limit: float = 0.5, k: int = 5) -> DataFrame:
-    """(idx, label): nodes with label -1 take, in order of idx, that of the first of their ``k`` nearest other-camera nodes within ``limit`` that has one; else a new one."""
+    """(idx, label): nodes with label -1 take, in order of idx, that of the first of their ``near`` (i, j, d, rk) to rank ``k`` and within ``limit`` that has one; else a new one.
 
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        label = dict(zip(t.loc[t.kind == 0, "i"].tolist(), t.loc[t.kind == 0, "j"].tolist(), strict=True))
-        lists: dict[int, list] = {}
-        for i, j in t.loc[t.kind == 1, ["i", "j"]].itertuples(index=False):
-            lists.setdefault(i, []).append(j)
-        fresh = max([-1, *label.values()]) + 1
-        for i in sorted(label):
-            if label[i] == -1:
-                label[i] = next((label[j] for j in lists.get(i, []) if label[j] != -1), -1)
-                if label[i] == -1:
-                    label[i], fresh = fresh, fresh + 1
-        return pd.DataFrame(list(label.items()), columns=["idx", "label"]).astype({"idx": "int64", "label": "int32"})
-
-    rows = nodes.select(F.lit(0).alias("kind"), F.col("idx").cast("long").alias("i"), F.col("label").cast("long").alias("j"), F.lit(0).cast("long").alias("rk"))
-    rows = rows.unionByName(near.where((F.col("rk") <= k) & (F.col("d") <= limit)).select(F.lit(1).alias("kind"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("rk").cast("long").alias("rk")))
-    return ordered_fold(rows, ["kind", "i", "rk"], fold, "idx long, label int")
+    When a node's turn comes, all nodes before it have a label: so its first neighbour that is known or before it decides, and following
+    these choices ends at the least node of a tree, which takes a known label or a new one. No step waits for another.
+    """
+    nodes = cut(nodes.select(F.col("idx").cast("long").alias("idx"), F.col("label").cast("int").alias("label")))
+    fresh = nodes.where("label = -1").select("idx")
+    known = nodes.select(F.col("idx").alias("j"), F.when(F.col("label") != -1, F.col("label")).alias("known"))
+    lists = near.where((F.col("rk") <= k) & (F.col("d") <= limit)).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "rk")
+    lists = lists.join(fresh.withColumnRenamed("idx", "i"), "i", "left_semi").join(known, "j").where("known is not null or j < i")
+    first = cut(lists.groupBy("i").agg(F.min_by(F.struct("j", "known"), "rk").alias("f")).select("i", "f.*"))
+    roots = components(first.where("known is null").select(F.col("i").alias("a"), F.col("j").alias("b")))
+    rooted = fresh.join(roots.withColumnRenamed("node", "idx"), "idx", "left").withColumn("root", F.coalesce("root", "idx"))
+    rooted = cut(rooted.join(first.select(F.col("i").alias("root"), "known"), "root", "left"))
+    last = nodes.agg(F.max("label").alias("last"))  # one row
+    new = numbered(rooted.where("known is null"), "root").crossJoin(F.broadcast(last)).select("idx", (F.col("label") + F.col("last") + 1).alias("label"))
+    return nodes.where("label <> -1").unionByName(rooted.where("known is not null").select("idx", F.col("known").alias("label"))).unionByName(new)
 
 
 def multi_step(nodes: DataFrame, edges: DataFrame, close: DataFrame, min_samples: int = 2, merge_noise: bool = True) -> DataFrame:

@@ -171,6 +171,19 @@ def priority_jaccard(feat: DataFrame, *, k1: int = 20, k_search_factor: float =
     return jaccard(local_expansion(weights, near), 1e-12)
 
 
+#: The published settings of the structured distance.
+PUBLISHED = {"k_search": 60, "k_intra": 25, "k_cross": 15, "tau": 2.5, "beta": 0.76}
+
+
+def training_distance(feat: DataFrame, kind: str, **options) -> DataFrame:
+    """Jaccard distances by name: "ICS" (identities known within cameras), "CAJ" (cameras known), "UN" (neither)."""
+    if kind not in ("ICS", "CAJ", "UN"):
+        raise ValueError(f"no such distance: {kind}")
+    if kind == "UN":
+        return reciprocal_jaccard(feat, **({"k1": 30, "k2": 6} | options))
+    return (structured_jaccard if kind == "ICS" else camera_aware_jaccard)(feat, **options)
+
+
 def rerank(queries: DataFrame, gallery: DataFrame, *, k1: int = 20, k2: int = 6, lam: float = 0.3) -> DataFrame:
     """(i, j, final) of each query and gallery vector: ``lam`` of the scaled distance and the rest of the Jaccard distance.
 

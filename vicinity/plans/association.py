@@ -135,14 +135,16 @@ def _(spark, d):
     means = gr.centroids(fixtures.identified(spark, d), "accum_id")
     cams = fixtures.identified(spark, d).select("accum_id", "cam").distinct()
     groups = means.join(cams, "accum_id").select(F.col("accum_id").alias("idx"), "cam", normalize(F.col("v")).alias("v"))
-    return cl.absorb_and_repel(pairs(groups, groups, metric="dot", rule="cross").select("i", "j", F.col("d").alias("s")).where("s >= 0.2"), groups, absorb=0.35)
+    groups = cl.cut(groups)
+    every = cl.cut(pairs(groups, groups, metric="dot").select("i", "j", F.col("d").alias("s"), "same_cam").where("s >= 0.2"))
+    return cl.absorb_and_repel(every.where("not same_cam").select("i", "j", "s"), groups, absorb=0.35, close=every.where("s >= 0.6").select("i", "j"))
 
 
 @query("c8_propagated_labels")
 def _(spark, d):
     f = feats(spark, d)
-    near = pairs(f, f, k=5, rule="cross")
-    return cl.propagate_known(near, f.select("idx", F.when(F.col("idx") % 3 == 0, -1).otherwise(F.col("pid")).alias("label")), limit=1.3)
+    near = pairs(f, f, k=6).where("i <> j and not same_cam")  # of a vector's five nearest those of other cameras
+    return cl.propagate_known(near, f.select("idx", F.when(F.col("idx") % 3 == 0, -1).otherwise(F.col("pid")).alias("label")), limit=1.3, k=6)
 
 
 @query("c12_group_agglomeration")

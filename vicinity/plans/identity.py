@@ -41,10 +41,11 @@ def _catalog(spark, d, name, relabel, junk=False):
 
 
 _CATALOG = f"WITH {NAMES} SELECT idx, name, CAST(regexp_extract(name, '^(\\d+)_c(\\d+)', 1) AS INT) AS pid, CAST(regexp_extract(name, '^(\\d+)_c(\\d+)', 2) AS INT) - 1 AS cam FROM names"
-for _name, _key in (("market1501", "s6_market_catalog"), ("msmt17", "s7_msmt_catalog"), ("dukemtmc", "s8_duke_catalog"), ("sysu_all", "s9_sysu_catalog"), ("llcm_rgb", "s11_llcm_rgb_catalog")):
+for _name, _key in (("market1501", "s6_market_catalog"), ("msmt17", "s7_msmt_catalog"), ("dukemtmc", "s8_duke_catalog"), ("sysu_all", "s9_sysu_catalog"), ("sysu_ir", "s9_sysu_ir_catalog"), ("sysu_rgb", "s9_sysu_rgb_catalog"), ("llcm_rgb", "s11_llcm_rgb_catalog")):
     query(_key, _CATALOG)(lambda spark, d, n=_name: _catalog(spark, d, n, False))
-query("s10_regdb_catalog", _CATALOG.replace("FROM names", "FROM names WHERE regexp_extract(name, '_c(\\d)', 1) IN ('1', '2')"))(
-    lambda spark, d: readers.catalog(fixtures.file_names(spark, d).where(F.col("name").rlike("_c[12]")), readers.COLLECTIONS["regdb_ir"]).select("idx", "name", "pid", "cam"))
+for _name, _key in (("regdb_ir", "s10_regdb_catalog"), ("regdb_rgb", "s10_regdb_rgb_catalog")):
+    query(_key, _CATALOG.replace("FROM names", "FROM names WHERE regexp_extract(name, '_c(\\d)', 1) IN ('1', '2')"))(
+        lambda spark, d, n=_name: readers.catalog(fixtures.file_names(spark, d).where(F.col("name").rlike("_c[12]")), readers.COLLECTIONS[n]).select("idx", "name", "pid", "cam"))
 query("s11_llcm_ir_catalog", f"WITH {NAMES}, c AS (SELECT idx, name, CAST(regexp_extract(name, '^(\\d+)_c', 1) AS INT) AS pid, CAST(regexp_extract(name, '_c(\\d)', 1) AS INT) AS c FROM names) SELECT idx, name, pid, CAST(CASE WHEN c < 3 THEN c - 1 ELSE c - 2 END AS INT) AS cam FROM c WHERE c <> 3")(
     lambda spark, d: _catalog(spark, d, "llcm_ir", False))
 query("p4_junk_dropped", _CATALOG + " WHERE idx % 50 <> 1")(lambda spark, d: _catalog(spark, d, "market1501", False, True))

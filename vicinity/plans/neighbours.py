@@ -186,9 +186,13 @@ def _below(found):
 
 
 query("r1_structured_jaccard", f"WITH {PAIRS}{_top('top', 20, TIERS)}{TYPED}{GROUPED}{BQE}{JACCARD.format(x='x', eps='1e-12')}")(lambda spark, d: _below(nb.structured_jaccard(feats(spark, d))))
+_PUBLISHED = (TYPED.replace("n <= 10", "n <= CASE WHEN tier = 0 THEN 25 ELSE 15 END"), GROUPED.replace("THEN 2.0", "THEN 2.5"), BQE.replace("ELSE 0.5", "ELSE CASE WHEN tier = 0 THEN 0.76 ELSE 0.24 END"))
+query("r6_published_structured", f"WITH {PAIRS}{_top('top', 60, TIERS)}{''.join(_PUBLISHED)}{JACCARD.format(x='x', eps='1e-12')}")(
+    lambda spark, d: _below(nb.training_distance(feats(spark, d), "ICS", **nb.PUBLISHED)))
 SOFT = ", w AS (SELECT s.i, s.j, 2 - 2 * list_dot_product(a.v, b.v) AS d FROM sets s JOIN feat a ON a.idx = s.i JOIN feat b ON b.idx = s.j), v AS (SELECT i, j, exp(-d) / sum(exp(-d)) OVER (PARTITION BY i) AS w FROM w)"
 LQE = ", x AS (SELECT t.i, v.j, sum(v.w / {k}) AS w FROM {lists} t JOIN v ON v.i = t.j WHERE t.rk <= {k} GROUP BY t.i, v.j)"
 query("r2_reciprocal_jaccard", f"WITH {PAIRS}{_top('top', 21)}{RECALL.format(top='top', k=20, h=11)}{SOFT}{LQE.format(k=6, lists='top')}{JACCARD.format(x='x', eps='0.0')}")(lambda spark, d: _below(nb.reciprocal_jaccard(feats(spark, d))))
+query("r6_unsupervised", f"WITH {PAIRS}{_top('top', 31)}{RECALL.format(top='top', k=30, h=16)}{SOFT}{LQE.format(k=6, lists='top')}{JACCARD.format(x='x', eps='0.0')}")(lambda spark, d: _below(nb.training_distance(feats(spark, d), "UN")))
 _INTRA, _INTER = _top("intra", 6, "CASE WHEN same_cam THEN 0 ELSE 1 END"), _top("inter", 21, "CASE WHEN same_cam THEN 1 ELSE 0 END")
 _CK = ", sets AS (SELECT a.i, a.j FROM intra a JOIN intra b ON a.i = b.j AND a.j = b.i UNION SELECT a.i, a.j FROM inter a JOIN inter b ON a.i = b.j AND a.j = b.i)"
 _CL = ", lists AS (SELECT i, j FROM intra WHERE rk <= 3 UNION ALL SELECT i, j FROM inter WHERE rk <= 3), x AS (SELECT t.i, v.j, sum(v.w / 6) AS w FROM lists t JOIN v ON v.i = t.j GROUP BY t.i, v.j)"

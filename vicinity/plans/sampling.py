@@ -13,6 +13,7 @@ from vicinity.plans.registry import query
 from vicinity.sources import fixtures
 
 query("s17_sysu_gallery")(lambda spark, d: sa.one_of_each(_paths(spark, d).where("cam in (1, 2, 4, 5)"), ["pid", "cam"], "idx", 0))
+query("s17_sysu_indoor_gallery")(lambda spark, d: sa.one_of_each(_paths(spark, d).where("cam in (1, 2)"), ["pid", "cam"], "idx", 0))
 query("s18_llcm_gallery")(lambda spark, d: sa.one_of_each(_paths(spark, d).where("cam > 3"), ["pid", "cam"], "idx", 1))
 query("a5_cluster_instances")(lambda spark, d: sa.k_of_each(feats(spark, d).select("idx", "pid"), "pid", 16, 2))
 query("b1_class_uniform")(lambda spark, d: sa.k_of_each(fixtures.identified(spark, d).select("idx", "accum_id"), "accum_id", 16, 3))
