@@ -59,9 +59,9 @@ def _hits(spark, d, distance):
     return pairs(q, g).where("not (same_cam and same_pid)").select("i", "j", distance.alias("d"), F.col("same_pid").alias("hit"))
 
 
-query("e4_mean_ap", _e4(f"greatest(0.0, 2 - 2 * {DOT})") + _E4)(lambda spark, d: ev.mean_ap(_hits(spark, d, F.col("d"))).select("i", F.round("ap", 6).alias("ap")))
+query("e4_mean_ap", _e4(f"greatest(0.0, 2 - 2 * {DOT})") + _E4)(lambda spark, d: ev.average_precision(*split(spark, d)).select("i", F.round("ap", 6).alias("ap")))
 query("e4_mean_ap_tied", _e4(f"floor(greatest(0.0, 2 - 2 * {DOT}) * 10)") + _E4)(lambda spark, d: ev.mean_ap(_hits(spark, d, F.floor(F.col("d") * 10))).select("i", F.round("ap", 6).alias("ap")))
-query("e5_evaluate_all", _e4(f"greatest(0.0, 2 - 2 * {DOT})") + ", u AS (SELECT i, sum(pr * h / total) AS ap FROM t WHERE total > 0 GROUP BY i) SELECT round(avg(ap), 6) AS \"mAP\" FROM u")(lambda spark, d: ev.mean_ap(_hits(spark, d, F.col("d"))).agg(F.round(F.avg("ap"), 6).alias("mAP")))
+query("e5_evaluate_all", _e4(f"greatest(0.0, 2 - 2 * {DOT})") + ", u AS (SELECT i, sum(pr * h / total) AS ap FROM t WHERE total > 0 GROUP BY i) SELECT round(avg(ap), 6) AS \"mAP\" FROM u")(lambda spark, d: ev.average_precision(*split(spark, d)).agg(F.round(F.avg("ap"), 6).alias("mAP")))
 
 
 def _cross(junk: str, dedup: bool) -> str:
