@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from vicinity.operators import evaluation as ev
-from vicinity.operators import pairwise
+from vicinity.operators import losses, pairwise
 
 VECTORS = "idx long, pid int, cam int, v array<double>"
 
@@ -76,3 +76,32 @@ def test_row_folds_beyond_a_broadcast(spark, monkeypatch):
     monkeypatch.setattr(pairwise, "BROADCAST_BYTES", 0)
     got = pairwise.row_folds(q, df, lambda i, pi, ci, j, pj, cj, d: {"i": i, "n": d.shape[1] + 0 * i, "sum": d.sum(1)}, "i long, n long, sum double", metric="dot")
     assert {(r.i, r.n): r.sum for r in got.collect()} == pytest.approx({(i, 48): (x @ x.T)[i].sum() for i in range(0, 48, 5)})
+
+
+def test_losses_without_rows_of_pairs(spark):
+    x, pid, _, _, _, df = copies(spark)
+    z = x @ x.T
+    d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 1e-12))
+    same = pid[:, None] == pid[None]
+    soft, full, top = [], [], []
+    for i in range(48):
+        soft.append(np.log1p(np.exp(d[i, same[i]].max() * 1.1 - d[i, ~same[i]].min() * 0.9)))
+        full.append(z[i, same[i]].mean() - np.log(np.exp(z[i]).sum()))
+        chosen = np.sort(z[i, same[i]])[:8]
+        top.append(chosen.mean() - np.log(np.exp(chosen).sum() + np.exp(z[i, ~same[i]]).sum()))
+    for got, want in ((losses.vector_triplet(df, None, 0.1), np.mean(soft)), (losses.vector_contrast(df), -np.mean(full)), (losses.vector_contrast(df, 8), -np.mean(top))):
+        assert no_pair_is_shuffled(got)
+        assert got.first().loss == pytest.approx(want)
+
+
+def test_pair_distances_are_products_and_exact_near_zero(spark):
+    x, *_, df = copies(spark)
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    p = np.clip(x, 1e-6, 1.0)
+    kl = lambda a, b: (a * np.log(a / b)).sum(-1)
+    cos = x @ x.T / np.sqrt((x * x).sum(1)[:, None] * (x * x).sum(1))
+    want = {"difference": d, "distance": np.sqrt(np.maximum(d, 1e-12)), "cosine": cos, "cosine distance": (1 - cos) / 2, "symmetric kl": (kl(p[:, None], p[None]) + kl(p[None], p[:, None])) / 2}
+    for metric, matrix in want.items():
+        got = pairwise.pair_distances(df, df, metric=metric).collect()
+        assert len(got) == 48 * 48
+        assert max(abs(r.d - matrix[r.i, r.j]) for r in got) < 1e-12

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vicinity.operators.pairwise import row_folds
+
 
 def hardest(found: DataFrame, d: str = "d", larger: bool = False) -> DataFrame:
     """(i, hp, hn, jp, jn): each i's farthest pair of the same label and nearest of another, with their places; pairs with itself count.
@@ -30,6 +34,19 @@ def triplet(found: DataFrame, margin: float | None = 0.3, hard_factor: float = 0
     return hardest(found, d, larger).agg(F.avg(one).alias("loss"))
 
 
+def vector_triplet(feat: DataFrame, margin: float | None = 0.3, hard_factor: float = 0.0) -> DataFrame:
+    """``triplet`` over all pairs of ``feat`` (idx, pid, cam, v) by distance, worked out in the tasks that have the distances."""
+
+    def fold(i, pid_i, cam_i, j, pid_j, cam_j, d):
+        same = pid_i[:, None] == pid_j[None]
+        ends = np.where(same, d, -np.inf).max(1), np.where(same, np.inf, d).min(1)
+        return {"i": i} | {c: pa.array(np.sqrt(np.maximum(x, 1e-12)), mask=np.isinf(x)) for c, x in zip(("hp", "hn"), ends, strict=True)}
+
+    gap = F.col("hp") * (1 + hard_factor) - F.col("hn") * (1 - hard_factor)
+    one = F.greatest(F.lit(0.0), gap + margin) if margin is not None else F.log1p(F.exp(gap))
+    return row_folds(feat, feat, fold, "i long, hp double, hn double", metric="euclid").agg(F.avg(one).alias("loss"))
+
+
 def weighted_triplet(found: DataFrame) -> DataFrame:
     """One row (loss): positives weighted by softmax(d), negatives by softmax(-d), then log(1 + exp(p - n))."""
     e = F.when(F.col("same"), F.exp("d")).otherwise(F.exp(-F.col("d")))
@@ -72,6 +89,24 @@ def top_k_contrast(found: DataFrame, k: int = 8) -> DataFrame:
     return log_softmax(z).where("same").groupBy("idx").agg(F.avg("lp").alias("lp")).agg((-F.avg("lp")).alias("loss"))
 
 
+def vector_contrast(feat: DataFrame, k: int | None = None, temperature: float = 1.0) -> DataFrame:
+    """``supervised_contrast`` over all pairs of ``feat`` by dot product; with ``k``, ``top_k_contrast``. Worked out in the tasks that have the products."""
+
+    def fold(i, pid_i, cam_i, j, pid_j, cam_j, d):
+        d, out = d / temperature, []
+        for r in range(len(i)):
+            same = pid_j == pid_i[r]
+            own = d[r, same]
+            chosen = own if k is None or len(own) <= k else np.partition(own, k - 1)[:k]
+            if len(chosen):
+                against = np.concatenate([chosen, d[r, ~same]])
+                top = against.max()
+                out.append((i[r], chosen.mean() - top - np.log(np.exp(against - top).sum())))
+        return {"i": pa.array([x[0] for x in out], pa.int64()), "lp": pa.array([x[1] for x in out], pa.float64())}
+
+    return row_folds(feat, feat, fold, "i long, lp double", metric="dot").agg((-F.avg("lp")).alias("loss"))
+
+
 def _with_target(z: DataFrame) -> DataFrame:
     """``z`` with gt, the score of each idx's own class."""
     return z.withColumn("gt", F.max(F.when(F.col("target"), F.col("z"))).over(Window.partitionBy("idx")))
