@@ -263,3 +263,16 @@ def test_running_aggregates_over_chunks(spark):
     for how, want in (("sum", np.cumsum(x)), ("max", np.maximum.accumulate(x))):
         got = running(df, "k", {"x": how}).orderBy("k").collect()
         assert np.allclose([r.running_x for r in got], want)
+
+
+def test_rerank_puts_pairs_that_share_no_neighbour_at_jaccard_distance_1(spark):
+    rng = np.random.default_rng(3)
+    x = np.eye(8)[np.arange(60) % 2] + rng.normal(size=(60, 8)) * 0.05  # two groups apart, each larger than a neighbourhood
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, 0, 0, x[i].tolist()) for i in range(60)], VECTORS)
+    d = np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0) ** 2
+    d /= d.max(1, keepdims=True)
+    got = {(r.i, r.j): r.final for r in nb.rerank(df.where("idx < 20"), df.where("idx >= 20")).collect()}
+    assert len(got) == 20 * 40
+    assert all(f == pytest.approx(0.7 + 0.3 * d[i, j]) for (i, j), f in got.items() if i % 2 != j % 2)
+    assert all(f < 0.7 + 0.3 * d[i, j] - 1e-6 for (i, j), f in got.items() if i % 2 == j % 2)
