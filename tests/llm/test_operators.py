@@ -281,6 +281,24 @@ def test_attention_gradients():
             assert slope == pytest.approx(size, rel=3e-2, abs=2e-4), (k, context)
 
 
+def test_attention_rows_left_out_and_sums_by_row():
+    """Places behind a text's end are weighed instead of cut out, and rows of the tables are summed without a call for each."""
+    rng = np.random.default_rng(4)
+    vocabulary, trainer = trained(rng.integers(0, 400, 130), np.array([0, 7, 130]))
+    h, y, target = rng.normal(size=(5000, attention_lm.WIDTH)).astype(np.float32), vocabulary.classes[rng.integers(0, 400, 5000)], rng.random(5000) < 0.9
+    logs, dh, dense = attention_lm.class_log_probabilities(trainer.p, h, y, True, target)
+    want_logs, want_dh, want = attention_lm.class_log_probabilities(trainer.p, h[target], y[target], True)
+    assert np.allclose(logs[target], want_logs, atol=1e-5) and np.allclose(dh[target], want_dh, atol=1e-7) and not dh[~target].any()
+    assert dense.keys() == want.keys() and all(np.allclose(dense[k], want[k], atol=1e-6) for k in want)
+    for rows in (rng.integers(0, 3000, 5000), rng.integers(0, 50, 5000), np.minimum(rng.zipf(1.5, 5000), 3000)):
+        for chosen in (None, np.flatnonzero(target)):
+            some = slice(None) if chosen is None else chosen
+            total = np.zeros((3001, attention_lm.WIDTH))
+            np.add.at(total, rows[some], h[some])
+            found, sums, counts = attention_lm._row_sums(rows.astype(np.int16), h, chosen)
+            assert np.array_equal(found, np.unique(rows[some])) and np.array_equal(counts, np.bincount(rows[some])[found]) and np.allclose(sums, total[found], atol=1e-3)
+
+
 def test_attention_lm_equals_a_plain_loop():
     """Log probabilities of the registered settings against one place at a time; nothing later matters, and all ids' sum to 1."""
     rng = np.random.default_rng(2)

@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,9 @@ _PIECES = "name string, piece long, weights binary, rows binary"
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 _MASKED = np.float32(-1e9)
 _HIGHEST = np.float32(60)
+_FEW = 4
+_AT_ONCE = 2048
+_EDGES = np.arange(GROUPS + 1, dtype=np.int16)
 
 
 def is_held_out(ids: np.ndarray) -> np.ndarray:
@@ -140,8 +144,8 @@ class Tokens:
         begin = np.cumsum(count) - count
         table[np.repeat(begin[real], sizes) + np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = ids
         n = count[self.which]
-        self.ids = table[np.repeat(begin[self.which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         self.token_at = np.concatenate([[0], np.cumsum(n)])  # each token's first id
+        self.ids = table[np.repeat(begin[self.which] - self.token_at[:-1], n) + np.arange(self.token_at[-1])]
         self.ids_at = self.token_at[self.at]
 
 
@@ -229,6 +233,12 @@ def start(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
             "group_b": vocabulary.log_group.copy(), "member": normal(0.3 * d**-0.5, GROUPS, d, MEMBERS), "member_b": vocabulary.log_member.copy()}
 
 
+@cache
+def _pair_rows() -> np.ndarray:
+    """The row of each two classes."""
+    return (tb.mix(np.arange((CLASSES + 1) ** 2, dtype=np.uint64) + np.uint64(7)) % np.uint64(PAIR_ROWS)).astype(np.int16)
+
+
 class Windows:
     """Texts' ids in windows of ``WINDOW`` places, of which the first ``context`` are only read."""
 
@@ -241,7 +251,7 @@ class Windows:
         before = np.empty_like(last)
         before[1:], before[some] = last[:-1], CLASSES
         self.one = last.astype(np.int16)
-        self.two = (tb.mix((before * (CLASSES + 1) + last).astype(np.uint64) + np.uint64(7)) % np.uint64(PAIR_ROWS)).astype(np.int16)
+        self.two = _pair_rows()[before * (CLASSES + 1) + last]
         scored = WINDOW - context
         count = -(-n // scored)
         self.text = np.repeat(np.arange(len(n)), count)
@@ -263,34 +273,41 @@ def _offsets(context: int) -> np.ndarray:
     return np.arange(context, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 
 
-def _with_ones(x: np.ndarray, last: np.ndarray | float = 1.0) -> np.ndarray:
-    out = np.empty((*x.shape[:2], x.shape[2] + 1), np.float32)
-    out[:, :, :-1], out[:, :, -1] = x, last
+def _with_last(x: np.ndarray, last: np.ndarray | float, axis: int = -1) -> np.ndarray:
+    """``x`` with one more column (or, along axis -2, row)."""
+    out = np.empty([n + (k == axis % x.ndim) for k, n in enumerate(x.shape)], np.float32)
+    if axis == -1:
+        out[..., :-1], out[..., -1] = x, last
+    else:
+        out[..., :-1, :], out[..., -1, :] = x, last
     return out
 
 
+def _joined(p: dict[str, np.ndarray]) -> np.ndarray:
+    """What gives a place's query, key and value at once; the value's goes through ``wo`` right away."""
+    return np.concatenate([p["wq"] * np.float32(KEY_WIDTH**-0.5), p["wk"], p["wv"] @ p["wo"]], axis=1)
+
+
 def forward(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, ok: np.ndarray, context: int) -> tuple:
     """States (windows x scored places, WIDTH) from rows of the tables (windows, WINDOW), and what training needs."""
     n, d = len(one), WIDTH
     e = p["one"].take(one, 0)
     e += p["two"].take(two, 0)
-    flat = e.reshape(-1, d)
-    x = np.ascontiguousarray(e[:, context:])
-    q = (x.reshape(-1, d) @ (p["wq"] * np.float32(KEY_WIDTH**-0.5))).reshape(n, -1, KEY_WIDTH)
-    k, v = (flat @ p["wk"]).reshape(n, WINDOW, -1), (flat @ p["wv"]).reshape(n, WINDOW, -1)
-    s = q @ k.transpose(0, 2, 1)
+    qkv = (e.reshape(-1, d) @ _joined(p)).reshape(n, WINDOW, -1)
+    q, k, v = qkv[:, context:, :KEY_WIDTH], qkv[:, :, KEY_WIDTH : 2 * KEY_WIDTH], qkv[:, :, 2 * KEY_WIDTH :]
+    s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))  # small products are slow on a transposed view
     off = _offsets(context)
     s += np.where(off >= 0, p["rel"][np.maximum(off, 0)], _MASKED)
-    if context and not ok.all():
-        s += np.where(ok, np.float32(0), _MASKED)[:, None, :]
+    some = np.flatnonzero(~ok[:, :context].all(1))  # places behind a text's end are later than all that count
+    if len(some):
+        s[some] += np.where(ok[some], np.float32(0), _MASKED)[:, None, :]
     if s.max() > _HIGHEST:
         s -= s.max(2, keepdims=True)
     a = np.exp(s, out=s)
-    v = _with_ones(v)
+    r = (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(1e-30))).reshape(n, -1, 1)
     o = a @ v
-    r = 1 / (o[:, :, d:] + np.float32(1e-30))
-    o = o[:, :, :d] * r
-    return x.reshape(-1, d) + o.reshape(-1, d) @ p["wo"], (e, x, q, k, v, a, o, r)
+    o *= r
+    return (e[:, context:] + o).reshape(-1, d), (e, q, k, v, a, o, r)
 
 
 def _exp(z: np.ndarray) -> np.ndarray:
@@ -299,90 +316,115 @@ def _exp(z: np.ndarray) -> np.ndarray:
     return np.exp(z, out=z)
 
 
-def class_log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, train: bool) -> tuple:
-    """Log probability of class y in each state h; in training also the gradients of their mean's negative."""
-    n = len(y)
+def class_log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, train: bool, target: np.ndarray | None = None) -> tuple:
+    """Log probability of class y in each state h; in training also the gradients of their mean's negative, over the rows in ``target``.
+
+    Rows are sorted by group, so that both levels of a group's rows are one product, and taken ``_AT_ONCE`` at a time, which
+    stay in the cache; biases are one more row of the weights.
+    """
+    n, d = h.shape
     group = y // np.int16(MEMBERS)
     order = np.argsort(group, kind="stable")  # 16-bit numbers: a radix sort
     back = np.empty_like(order)
     back[order] = np.arange(n)
-    hs, at_group = h.take(order, 0), np.arange(0, n * GROUPS, GROUPS) + group
-    at_member = np.arange(0, n * MEMBERS, MEMBERS) + (y - group * np.int16(MEMBERS)).take(order)
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))]).tolist()
-    spans = [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-    z = h @ p["group"]
-    z += p["group_b"]
-    eg = _exp(z)
-    z = np.empty((n, MEMBERS), np.float32)
-    for g, a, b in spans:
-        np.matmul(hs[a:b], p["member"][g], out=z[a:b])
-        z[a:b] += p["member_b"][g]
-    em = _exp(z)
-    sg, sm = eg @ np.ones(GROUPS, np.float32), em @ np.ones(MEMBERS, np.float32)
-    out = np.log(eg.ravel().take(at_group) / sg)
-    out += np.log(em.ravel().take(at_member) / sm).take(back)
+    hs, group, member = _with_last(h, 1.0).take(order, 0), group.take(order), (y % np.int16(MEMBERS)).take(order)
+    both = np.empty((GROUPS, d + 1, GROUPS + MEMBERS), np.float32)
+    both[:, :-1, :GROUPS], both[:, -1, :GROUPS], both[:, :-1, GROUPS:], both[:, -1, GROUPS:] = p["group"], p["group_b"], p["member"], p["member_b"]
+    logs = np.empty(n, np.float32)
+    if train:
+        share = np.full(n, 1 / n, np.float32) if target is None else target.take(order).astype(np.float32) / np.float32(target.sum())
+        ds, dm, turned = np.empty_like(h), np.zeros_like(both), np.ascontiguousarray(both[:, :-1].transpose(0, 2, 1))
+    for i in range(0, n, _AT_ONCE):
+        part = slice(i, i + _AT_ONCE)
+        x, m = hs[part], len(group[part])
+        cuts = np.searchsorted(group[part], _EDGES).tolist()
+        spans = [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        z = np.empty((m, GROUPS + MEMBERS), np.float32)
+        for g, a, b in spans:
+            np.matmul(x[a:b], both[g], out=z[a:b])
+        levels = _exp(z.reshape(2 * m, -1))  # two rows a state, as GROUPS == MEMBERS
+        total = (levels @ np.ones(MEMBERS, np.float32)).reshape(m, 2)
+        own = np.empty((m, 2), np.int64)
+        own[:, 0], own[:, 1] = group[part], member[part]
+        own += np.arange(0, 2 * m * MEMBERS, MEMBERS).reshape(m, 2)
+        got = z.ravel().take(own) / total
+        two = np.log(got)
+        np.add(two[:, 0], two[:, 1], out=logs[part])
+        if not train:
+            continue
+        weight = share[part][:, None]
+        levels *= (weight / total).reshape(-1, 1)
+        z.ravel()[own] = got * weight - weight
+        for g, a, b in spans:
+            np.matmul(z[a:b], turned[g], out=ds[i + a : i + b])
+            dm[g] += x[a:b].T @ z[a:b]
     if not train:
-        return out, None, None
-    eg *= (np.float32(1 / n) / sg)[:, None]
-    eg.ravel()[at_group] -= np.float32(1 / n)
-    em *= (np.float32(1 / n) / sm)[:, None]
-    em.ravel()[at_member] -= np.float32(1 / n)
-    ds, dm, db_ = np.empty_like(hs), np.zeros_like(p["member"]), np.zeros_like(p["member_b"])
-    for g, a, b in spans:
-        np.matmul(em[a:b], p["member"][g].T, out=ds[a:b])
-        np.matmul(hs[a:b].T, em[a:b], out=dm[g])
-        db_[g] = em[a:b].sum(0)
-    dh = eg @ p["group"].T
-    dh += ds.take(back, 0)
-    return out, dh, {"group": h.T @ eg, "group_b": eg.sum(0), "member": dm, "member_b": db_}
-
-
-def _row_sums(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sum of d by row, and how many each has."""
+        return logs.take(back), None, None
+    dg = dm[:, :, :GROUPS].sum(0)
+    return logs.take(back), ds.take(back, 0), {"group": dg[:-1], "group_b": dg[-1], "member": dm[:, :-1, GROUPS:], "member_b": dm[:, -1, GROUPS:]}
+
+
+def _row_sums(rows: np.ndarray, d: np.ndarray, chosen: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of d by row, and how many each has; of the chosen places or all."""
+    if chosen is not None:
+        rows = rows.take(chosen)
     order = np.argsort(rows, kind="stable")
-    r = rows[order]
+    r = rows.take(order)
+    if chosen is not None:
+        order = chosen.take(order)
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    return r[first], np.add.reduceat(d.take(order, 0), first, axis=0), np.diff(first, append=len(r))
+    counts = np.diff(first, append=len(r))
+    if len(first) * 8 < len(r):
+        return r.take(first), np.add.reduceat(d.take(order, 0), first, axis=0), counts
+    out = d.take(order.take(first), 0)  # most rows are met once or twice: reduceat would cost a call each
+    few = counts <= _FEW
+    for k in range(1, _FEW):
+        some = np.flatnonzero(few & (counts > k))
+        out[some] = out.take(some, 0) + d.take(order.take(first.take(some) + k), 0)
+    if not few.all():
+        many = np.flatnonzero(~few)
+        n = counts.take(many)
+        out[many] = np.add.reduceat(d.take(order[np.repeat(~few, counts)], 0), np.cumsum(n) - n, axis=0)
+    return r.take(first), out, counts
 
 
 def gradients(p: dict[str, np.ndarray], w: Windows, chosen) -> tuple[dict, dict]:
     """Of the mean cross entropy of the classes in the chosen windows: dense ones, and (rows, sums, counts) of the tables."""
     place, ok = w.places(chosen)
     one, two = w.one[place], w.two[place]
-    h, (e, x, q, k, v, a, o, r) = forward(p, one, two, ok, w.context)
-    d, target = WIDTH, ok[:, w.context :].ravel()
+    h, (e, q, k, v, a, o, r) = forward(p, one, two, ok, w.context)
+    d, whole = WIDTH, ok.all()
     y = w.classes[place[:, w.context :]].ravel()
-    if target.all():
-        _, dh, g = class_log_probabilities(p, h, y, True)
-    else:
-        _, some, g = class_log_probabilities(p, h[target], y[target], True)
-        dh = np.zeros_like(h)
-        dh[target] = some
+    _, dh, g = class_log_probabilities(p, h, y, True, None if whole else ok[:, w.context :].ravel())
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    g["wo"] = flat(o).T @ dh
-    do = (dh @ p["wo"].T).reshape(o.shape) * r
-    ds = _with_ones(do, -(flat(do * o) @ np.ones(d, np.float32)).reshape(o.shape[:2])) @ v.transpose(0, 2, 1)
-    dv = flat(a.transpose(0, 2, 1) @ do)
+    do = dh.reshape(o.shape) * r
+    ds = _with_last(do, -(flat(do * o) @ np.ones(d, np.float32)).reshape(o.shape[:2])) @ _with_last(v.transpose(0, 2, 1), 1.0, -2)
     ds *= a
-    dq, dk = flat(ds @ k), flat(ds.transpose(0, 2, 1) @ q)
-    scale = np.float32(KEY_WIDTH**-0.5)
-    off = _offsets(w.context)
+    dqkv = np.empty((len(e), WINDOW, 2 * KEY_WIDTH + d), np.float32)
+    dqkv[:, : w.context, :KEY_WIDTH] = 0
+    np.matmul(ds, k, out=dqkv[:, w.context :, :KEY_WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[:, :, KEY_WIDTH : 2 * KEY_WIDTH])
+    np.matmul(a.transpose(0, 2, 1), do, out=dqkv[:, :, 2 * KEY_WIDTH :])
+    dqkv, off = flat(dqkv), _offsets(w.context)
     g["rel"] = np.bincount(np.maximum(off, 0).ravel(), np.where(off >= 0, ds.sum(0), 0).ravel(), minlength=WINDOW).astype(np.float32)
-    g |= {"wq": flat(x).T @ dq * scale, "wk": flat(e).T @ dk, "wv": flat(e).T @ dv}
-    de = (dk @ p["wk"].T + dv @ p["wv"].T).reshape(e.shape)
-    de[:, w.context :] += (dh + (dq @ p["wq"].T) * scale).reshape(o.shape)
-    de, read = flat(de), ok.ravel()
-    if not read.all():
-        de, one, two = de[read], one.ravel()[read], two.ravel()[read]
-    return g, {"one": _row_sums(one.ravel(), de), "two": _row_sums(two.ravel(), de)}
+    joined = flat(e).T @ dqkv
+    dwq, dwk, dwv = joined[:, :KEY_WIDTH], joined[:, KEY_WIDTH : 2 * KEY_WIDTH], joined[:, 2 * KEY_WIDTH :]
+    g |= {"wq": dwq * np.float32(KEY_WIDTH**-0.5), "wk": dwk, "wv": dwv @ p["wo"].T, "wo": p["wv"].T @ dwv}
+    de = (dqkv @ _joined(p).T).reshape(e.shape)
+    de[:, w.context :] += dh.reshape(o.shape)
+    de, read = flat(de), None if whole else np.flatnonzero(ok)
+    return g, {"one": _row_sums(one.ravel(), de, read), "two": _row_sums(two.ravel(), de, read)}
 
 
 class Trainer:
     """Parameters on their way: Adam for the dense ones, Adagrad by row for the tables."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        self.p = {k: v.copy() for k, v in p.items()}
-        self.mean, self.square = ({k: np.zeros_like(v) for k, v in p.items() if k not in _TABLES} for _ in range(2))
+        self.names = [k for k in p if k not in _TABLES]
+        self.dense = np.concatenate([p[k].ravel() for k in self.names])  # one array, of which ``p`` has parts
+        parts = np.split(self.dense, np.cumsum([p[k].size for k in self.names])[:-1])
+        self.p = {k: v.copy() for k, v in p.items()} | {k: x.reshape(p[k].shape) for k, x in zip(self.names, parts, strict=True)}
+        self.mean, self.square = np.zeros_like(self.dense), np.zeros_like(self.dense)
         self.rows = {k: np.full(len(p[k]), 1e-10, np.float32) for k in _TABLES}
         self.met = {k: np.zeros(len(p[k])) for k in _TABLES}
         self.steps, self.ids = 0, 0
@@ -391,16 +433,15 @@ class Trainer:
         self.steps += 1
         dense, tables = gradients(self.p, w, chosen)
         slower = 1 / (1 + self.steps / 1000)
-        for k, g in dense.items():
-            m, s = self.mean[k], self.square[k]
-            m += np.float32(0.1) * (g - m)
-            s += np.float32(0.01) * (g * g - s)
-            self.p[k] -= np.float32(RATE * slower / (1 - 0.9**self.steps)) * m / (np.sqrt(s / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
+        g, m, s = np.concatenate([dense[k].ravel() for k in self.names]), self.mean, self.square
+        m += np.float32(0.1) * (g - m)
+        s += np.float32(0.01) * (g * g - s)
+        self.dense -= np.float32(RATE * slower / (1 - 0.9**self.steps)) * m / (np.sqrt(s / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
         for k, (rows, g, met) in tables.items():
-            s = self.rows[k]
-            s[rows] += (g * g) @ np.full(WIDTH, 1 / WIDTH, np.float32)
-            g *= (np.float32(ROW_RATE * slower) / np.sqrt(s[rows]))[:, None]
-            self.p[k][rows] -= g
+            s = self.rows[k].take(rows) + (g * g) @ np.full(WIDTH, 1 / WIDTH, np.float32)
+            self.rows[k][rows] = s
+            g *= (np.float32(ROW_RATE * slower) / np.sqrt(s))[:, None]
+            self.p[k][rows] = self.p[k].take(rows, 0) - g
             self.met[k][rows] += met
 
     def learn(self, vocabulary: Vocabulary, ids: np.ndarray, at: np.ndarray, seed: int) -> None:
@@ -468,7 +509,8 @@ def log_probabilities(p: dict, vocabulary: Vocabulary, ids: np.ndarray, at: np.n
         target = ok[:, CONTEXT:].ravel()
         where = place[:, CONTEXT:].ravel()
         if not target.all():
-            h, where = h[target], where[target]
+            some = np.flatnonzero(target)
+            h, where = h.take(some, 0), where.take(some)
         out[where] = class_log_probabilities(p, h, w.classes[where], False)[0]
     return out + vocabulary.log_share[ids]
 
