@@ -299,6 +299,27 @@ def test_attention_rows_left_out_and_sums_by_row():
             assert np.array_equal(found, np.unique(rows[some])) and np.array_equal(counts, np.bincount(rows[some])[found]) and np.allclose(sums, total[found], atol=1e-3)
 
 
+def test_attention_lm_scores_and_splits_do_not_depend_on_what_came_before(monkeypatch):
+    """Windows that share their context across batches or texts, and words that the process has met in other blocks."""
+    rng = np.random.default_rng(5)
+    ids, at = rng.integers(0, 400, 400), np.array([0, 1, 25, 200, 224, 400])
+    vocabulary, trainer = trained(ids, at)
+    want = np.concatenate([attention_lm.log_probabilities(trainer.p, vocabulary, ids[a:b], np.array([0, b - a])) for a, b in itertools.pairwise(at)])
+    for batch in (1, 2, 3, 256):
+        assert np.allclose(attention_lm.log_probabilities(trainer.p, vocabulary, ids, at, batch), want, atol=1e-5)
+
+    fresh = lambda: attention_lm.Subwords(RANKS.read_bytes(), queries.WORD_PATTERN)
+    texts = [" ".join(f"w\u00f6rd{i * k % 17} Some{i}thing" for i in range(40)) for k in range(1, 7)] + ["", "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16") * 3]
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(attention_lm, "KNOWN_WORDS", most)
+        kept = fresh()
+        for t in texts * 2:
+            block = next(tb.blocks(pyarrow.record_batch({"text": pyarrow.array([t, "some more"])}), "text"))
+            got, new = attention_lm.Tokens(block, kept), attention_lm.Tokens(block, fresh())
+            assert got.ids.tolist() == new.ids.tolist() and got.ids_at.tolist() == new.ids_at.tolist()
+        assert len(kept.known) <= most + 80
+
+
 def test_attention_lm_equals_a_plain_loop():
     """Log probabilities of the registered settings against one place at a time; nothing later matters, and all ids' sum to 1."""
     rng = np.random.default_rng(2)

@@ -20,7 +20,8 @@ Scoring cuts a document's ids into windows that overlap by ``CONTEXT``; a window
 context, so each id is scored once. Beside it stands ``base_score``, that of unigram counts smoothed with
 0.1 over all training documents: blocks ask buckets for the counts of their distinct words, and nothing is left out.
 
-Texts are tokenised once and whole, however long; their ids are kept in the checkpoint folder. Null and empty texts
+Texts are tokenised once and whole, however long; their ids are kept in the checkpoint folder. A process keeps the ids of words
+that it has split, by their hashes, and starts anew beyond ``KNOWN_WORDS``. Null and empty texts
 are one end. Repeated rows get a row each and count each; ties in frequency go to the lower id. A null
 doc_id is never held out. With no training documents, counts are 0 and the model is as it starts. Empty tables give
 empty results. Other columns of ``docs`` are ignored, whatever their names.
@@ -30,10 +31,12 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import as_strided
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +58,7 @@ LEAST_IDS, MOST_PASSES = 4_000_000, 4
 TASK_IDS = 1 << 20
 BLOCK_BYTES = 4 << 20
 BUCKET_WORDS = 1 << 21
+KNOWN_WORDS = 1 << 20
 ALPHA = 0.1
 _END = np.uint64(0xE4D0E4D0E4D0E4D1)  # the end's word hash
 _BLOCKS = "block long, turn int, ids long, words long, docs binary, sizes binary, tokens binary, subwords binary, which binary, hashes binary, counts binary"
@@ -65,9 +69,8 @@ _PIECES = "name string, piece long, weights binary, rows binary"
 _SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 _MASKED = np.float32(-1e9)
 _HIGHEST = np.float32(60)
-_FEW = 4
-_AT_ONCE = 2048
-_EDGES = np.arange(GROUPS + 1, dtype=np.int16)
+_FEW = 4  # times that a row is met
+_AT_ONCE, _PIECE = 2048, 512  # rows of the softmax, and of one product
 
 
 def is_held_out(ids: np.ndarray) -> np.ndarray:
@@ -87,6 +90,29 @@ class Subwords:
         self.size = self.end + 1
         self.begins = np.zeros(self.size, bool)
         self.begins[[i for t, i in table.items() if t[:1] == b" "]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.known_at, self.known_sizes, self.known_ids = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int32))
+
+    def by_hash(self, hashes: np.ndarray, words: Callable[[np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """As a call, for words of ascending ``hashes``: ``words`` gives those at some places, of which only new ones are split; the process keeps up to ``KNOWN_WORDS``."""
+        if len(self.known) > KNOWN_WORDS:
+            self.forget()
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = np.flatnonzero(at < len(self.known))
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        new = np.flatnonzero(new)
+        ids, sizes = self(words(new))
+        self.known_at = np.insert(self.known_at, at[new], len(self.known_ids) + np.cumsum(sizes) - sizes)
+        self.known_sizes = np.insert(self.known_sizes, at[new], sizes)
+        self.known = np.insert(self.known, at[new], hashes[new])
+        self.known_ids = np.concatenate([self.known_ids, ids.astype(np.int32)])
+        at = np.searchsorted(self.known, hashes)
+        sizes = self.known_sizes[at]
+        first = np.cumsum(sizes) - sizes
+        return self.known_ids[np.repeat(self.known_at[at] - first, sizes) + np.arange(sizes.sum())], sizes
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after another, and how many each has."""
@@ -137,7 +163,7 @@ class Tokens:
         raw = low.data.tobytes()
         real = np.flatnonzero(inside[first])
         at = place[first[real]]
-        ids, sizes = subwords([raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)])
+        ids, sizes = subwords.by_hash(self.hashes[real], lambda new: [raw[a:b] for a, b in zip(words.starts[at[new]].tolist(), words.ends[at[new]].tolist(), strict=True)])
         count = np.ones(len(self.hashes), np.int64)
         count[real] = sizes
         table = np.full(count.sum(), subwords.end, np.int64)
@@ -246,12 +272,13 @@ class Windows:
         self.context, self.classes, self.at = context, classes, at
         n = np.diff(at)
         some = at[:-1][n > 0]
-        last = np.empty(len(classes), np.int64)  # the id before each place
-        last[1:], last[some] = classes[:-1], CLASSES
-        before = np.empty_like(last)
-        before[1:], before[some] = last[:-1], CLASSES
-        self.one = last.astype(np.int16)
-        self.two = _pair_rows()[before * (CLASSES + 1) + last]
+        self.one = np.empty(len(classes), np.int16)  # the id before each place
+        self.one[1:], self.one[some] = classes[:-1], CLASSES
+        pair = np.empty(len(classes), np.int32)  # the id before that, and it
+        pair[1:], pair[some] = self.one[:-1], CLASSES
+        pair *= CLASSES + 1
+        pair += self.one
+        self.two = _pair_rows()[pair]
         scored = WINDOW - context
         count = -(-n // scored)
         self.text = np.repeat(np.arange(len(n)), count)
@@ -289,11 +316,19 @@ def _joined(p: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def forward(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, ok: np.ndarray, context: int) -> tuple:
-    """States (windows x scored places, WIDTH) from rows of the tables (windows, WINDOW), and what training needs."""
-    n, d = len(one), WIDTH
+    """States (windows x scored places, WIDTH) from rows of the tables (windows, WINDOW), and what training needs.
+
+    Rows may also be one array: the first window's context and then all windows' scored places, each window's context being the end of the one before.
+    """
+    n, d = len(ok), WIDTH
     e = p["one"].take(one, 0)
     e += p["two"].take(two, 0)
-    qkv = (e.reshape(-1, d) @ _joined(p)).reshape(n, WINDOW, -1)
+    qkv = e.reshape(-1, d) @ _joined(p)
+    if one.ndim == 1:
+        a, b = qkv.strides
+        qkv, x = as_strided(qkv, (n, WINDOW, qkv.shape[1]), ((WINDOW - context) * a, a, b), writeable=False), e[context:].reshape(n, -1, d)
+    else:
+        qkv, x = qkv.reshape(n, WINDOW, -1), e[:, context:]
     q, k, v = qkv[:, context:, :KEY_WIDTH], qkv[:, :, KEY_WIDTH : 2 * KEY_WIDTH], qkv[:, :, 2 * KEY_WIDTH :]
     s = q @ np.ascontiguousarray(k.transpose(0, 2, 1))  # small products are slow on a transposed view
     off = _offsets(context)
@@ -307,7 +342,7 @@ def forward(p: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, ok: np.n
     r = (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(1e-30))).reshape(n, -1, 1)
     o = a @ v
     o *= r
-    return (e[:, context:] + o).reshape(-1, d), (e, q, k, v, a, o, r)
+    return (x + o).reshape(-1, d), (e, q, k, v, a, o, r)
 
 
 def _exp(z: np.ndarray) -> np.ndarray:
@@ -337,8 +372,10 @@ def class_log_probabilities(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarr
     for i in range(0, n, _AT_ONCE):
         part = slice(i, i + _AT_ONCE)
         x, m = hs[part], len(group[part])
-        cuts = np.searchsorted(group[part], _EDGES).tolist()
-        spans = [(g, a, b) for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        new = np.arange(m) % _PIECE == 0  # where another product begins
+        new[1:] |= group[part][1:] != group[part][:-1]
+        cuts = np.flatnonzero(new)
+        spans = list(zip(group[part][cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), m], strict=True))
         z = np.empty((m, GROUPS + MEMBERS), np.float32)
         for g, a, b in spans:
             np.matmul(x[a:b], both[g], out=z[a:b])
@@ -372,8 +409,10 @@ def _row_sums(rows: np.ndarray, d: np.ndarray, chosen: np.ndarray | None) -> tup
     r = rows.take(order)
     if chosen is not None:
         order = chosen.take(order)
-    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    counts = np.diff(first, append=len(r))
+    new = np.ones(len(r) + 1, bool)
+    new[1:-1] = r[1:] != r[:-1]
+    bounds = np.flatnonzero(new)
+    first, counts = bounds[:-1], bounds[1:] - bounds[:-1]
     if len(first) * 8 < len(r):
         return r.take(first), np.add.reduceat(d.take(order, 0), first, axis=0), counts
     out = d.take(order.take(first), 0)  # most rows are met once or twice: reduceat would cost a call each
@@ -391,14 +430,16 @@ def _row_sums(rows: np.ndarray, d: np.ndarray, chosen: np.ndarray | None) -> tup
 def gradients(p: dict[str, np.ndarray], w: Windows, chosen) -> tuple[dict, dict]:
     """Of the mean cross entropy of the classes in the chosen windows: dense ones, and (rows, sums, counts) of the tables."""
     place, ok = w.places(chosen)
-    one, two = w.one[place], w.two[place]
+    one, two = w.one.take(place), w.two.take(place)
     h, (e, q, k, v, a, o, r) = forward(p, one, two, ok, w.context)
     d, whole = WIDTH, ok.all()
-    y = w.classes[place[:, w.context :]].ravel()
+    y = w.classes.take(place[:, w.context :].ravel())
     _, dh, g = class_log_probabilities(p, h, y, True, None if whole else ok[:, w.context :].ravel())
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    do = dh.reshape(o.shape) * r
-    ds = _with_last(do, -(flat(do * o) @ np.ones(d, np.float32)).reshape(o.shape[:2])) @ _with_last(v.transpose(0, 2, 1), 1.0, -2)
+    wide = np.empty((*o.shape[:2], d + 1), np.float32)
+    do = np.multiply(dh.reshape(o.shape), r, out=wide[:, :, :-1])
+    np.negative(np.einsum("nij,nij->ni", do, o), out=wide[:, :, -1])
+    ds = wide @ _with_last(v.transpose(0, 2, 1), 1.0, -2)
     ds *= a
     dqkv = np.empty((len(e), WINDOW, 2 * KEY_WIDTH + d), np.float32)
     dqkv[:, : w.context, :KEY_WIDTH] = 0
@@ -407,7 +448,7 @@ def gradients(p: dict[str, np.ndarray], w: Windows, chosen) -> tuple[dict, dict]
     np.matmul(a.transpose(0, 2, 1), do, out=dqkv[:, :, 2 * KEY_WIDTH :])
     dqkv, off = flat(dqkv), _offsets(w.context)
     g["rel"] = np.bincount(np.maximum(off, 0).ravel(), np.where(off >= 0, ds.sum(0), 0).ravel(), minlength=WINDOW).astype(np.float32)
-    joined = flat(e).T @ dqkv
+    joined = sum(flat(e)[i : i + _PIECE].T @ dqkv[i : i + _PIECE] for i in range(0, len(dqkv), _PIECE))
     dwq, dwk, dwv = joined[:, :KEY_WIDTH], joined[:, KEY_WIDTH : 2 * KEY_WIDTH], joined[:, 2 * KEY_WIDTH :]
     g |= {"wq": dwq * np.float32(KEY_WIDTH**-0.5), "wk": dwk, "wv": dwv @ p["wo"].T, "wo": p["wv"].T @ dwv}
     de = (dqkv @ _joined(p).T).reshape(e.shape)
@@ -505,13 +546,14 @@ def log_probabilities(p: dict, vocabulary: Vocabulary, ids: np.ndarray, at: np.n
     w = Windows(vocabulary.classes[ids], at, CONTEXT)
     for i in range(0, len(w), batch):
         place, ok = w.places(slice(i, i + batch))
-        h, _ = forward(p, w.one[place], w.two[place], ok, CONTEXT)
+        rows = np.concatenate([place[0, :CONTEXT], place[:, CONTEXT:].ravel()])
+        h, _ = forward(p, w.one.take(rows), w.two.take(rows), ok, CONTEXT)
         target = ok[:, CONTEXT:].ravel()
         where = place[:, CONTEXT:].ravel()
         if not target.all():
             some = np.flatnonzero(target)
             h, where = h.take(some, 0), where.take(some)
-        out[where] = class_log_probabilities(p, h, w.classes[where], False)[0]
+        out[where] = class_log_probabilities(p, h, w.classes.take(where), False)[0]
     return out + vocabulary.log_share[ids]
 
 
